@@ -110,8 +110,8 @@ def zone_table(name: str, first: int = 1900, last: int = 2110) -> ZoneTable | No
 _FIELDS = ("Y", "M", "D", "A", "B", "J", "V", "U", "h", "m", "s", "oh", "om", "f")
 _AT = {k: i for i, k in enumerate(_FIELDS)}
 
-_CLOCK = r"(?P<h>99?):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?"
-_HOUR = r"(?P<h>99?)\s*(?P<ap>[AaPp])\.?[Mm]\.?"
+_CLOCK = r"(?P<h>99?):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
+_HOUR = r"(?P<h>99?)\s*(?P<ap>[AaPp])\.?[Mm]\.?(?![A-Za-z])"
 _PACKED = r"(?P<h>99)(?P<m>99)(?:(?P<s>99)(?:[.,](?P<f>9+))?)?"
 _ZONE = (
     r"(?:\s*(?:(?:UTC|GMT|utc|gmt)?\s?(?P<sg>[+\-\u2212])(?P<oh>99?)(?::?(?P<om>99))?(?:\s*\[[^\]]*\])?"
