@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filament.runtime import is_blank, persisted
+from filament.runtime import bounded_broadcast, is_blank, persisted
 
 
 @dataclass(frozen=True)
@@ -50,27 +50,51 @@ def value_counts(cols: list[ProfiledColumn]) -> DataFrame:
     return out
 
 
-def count_deltas(counts: DataFrame, loads: DataFrame) -> DataFrame:
+class Loads:
+    """The loads present in each table, in order; as many as deliveries, so they fit into expressions."""
+
+    def __init__(self, counts: DataFrame) -> None:
+        found: dict[str, list[int]] = {}
+        for t, n in sorted((r[0], r[1]) for r in counts.where(F.col("load_no").isNotNull()).select("table_name", "load_no").distinct().collect()):
+            found.setdefault(t, []).append(n)
+        self.of = found
+
+    def _map(self, pairs: list[tuple[str, int, int]]) -> Column:
+        """Load that the pairs name for table_name and load_no, else null."""
+        if not pairs:
+            return F.lit(None).cast("int")
+        return F.try_element_at(F.create_map(*(F.lit(x) for t, n, m in pairs for x in (f"{t}/{n}", m))), F.concat_ws("/", "table_name", "load_no"))
+
+    @property
+    def next(self) -> Column:
+        return self._map([(t, n, m) for t, loads in self.of.items() for n, m in zip(loads, loads[1:], strict=False)])
+
+    @property
+    def prior(self) -> Column:
+        return self._map([(t, n, m) for t, loads in self.of.items() for m, n in zip(loads, loads[1:], strict=False)])
+
+    def between(self, since: Column, until: Column) -> Column:
+        """Loads of table_name from since until before until (null: all later ones)."""
+        every = F.lit(None).cast("array<int>")
+        for t, loads in self.of.items():
+            every = F.when(F.col("table_name") == t, F.array(*map(F.lit, loads))).otherwise(every)
+        return F.filter(every, lambda n: (n >= since) & (until.isNull() | (n < until)))
+
+
+def count_deltas(counts: DataFrame, loads: Loads) -> DataFrame:
     """(table_name, column_name, value, load_no, delta): signed changes of the counts from load to load.
 
-    counts: value_counts(); loads: (table_name, load_no, next_load_no). A value's count in
-    a load is undone in the next load present, where its new count is added.
+    counts: value_counts(). A value's count in a load is undone in the next load present,
+    where its new count is added.
     """
     of = ["table_name", "column_name", "value"]
-    seen = counts.join(F.broadcast(loads), ["table_name", "load_no"])
-    added = seen.select(*of, "load_no", F.col("n").alias("delta"))
-    undone = seen.where(F.col("next_load_no").isNotNull()).select(*of, F.col("next_load_no").alias("load_no"), (-F.col("n")).alias("delta"))
-    return added.unionByName(undone).groupBy(*of, "load_no").agg(F.sum("delta").alias("delta")).where("delta <> 0")
-
-
-def load_order(counts: DataFrame) -> DataFrame:
-    """(table_name, load_no, prior_load_no, next_load_no): the loads present, as many rows as deliveries."""
-    w = Window.partitionBy("table_name").orderBy("load_no")
-    loads = counts.where(F.col("load_no").isNotNull()).select("table_name", "load_no").distinct()
-    return loads.select("table_name", "load_no", F.lag("load_no").over(w).alias("prior_load_no"), F.lead("load_no").over(w).alias("next_load_no"))
+    seen = counts.where(F.col("load_no").isNotNull())
+    signed = F.array(F.struct(F.col("load_no"), F.col("n").alias("delta")), F.struct(loads.next.alias("load_no"), (-F.col("n")).alias("delta")))
+    both = seen.select(*of, F.explode(signed).alias("x")).select(*of, "x.*").where(F.col("load_no").isNotNull())
+    return both.groupBy(*of, "load_no").agg(F.sum("delta").alias("delta")).where("delta <> 0")
 
 
-def counts_as_of(deltas: DataFrame, loads: DataFrame) -> DataFrame:
+def counts_as_of(deltas: DataFrame, loads: Loads) -> DataFrame:
     """(table_name, column_name, load_no, value, n): the maintained counts after each load, zero counts left out.
 
     A running sum by value holds from its delta's load until before the value's next delta;
@@ -85,11 +109,7 @@ def counts_as_of(deltas: DataFrame, loads: DataFrame) -> DataFrame:
         F.lead("load_no").over(w).alias("until"),
         F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
     ).where("n <> 0")
-    r, o = runs.alias("r"), F.broadcast(loads).alias("o")
-    return r.join(
-        o,
-        (F.col("r.table_name") == F.col("o.table_name")) & (F.col("o.load_no") >= F.col("r.since")) & (F.col("r.until").isNull() | (F.col("o.load_no") < F.col("r.until"))),
-    ).select("r.table_name", "r.column_name", "o.load_no", "r.value", "r.n")
+    return runs.select("table_name", "column_name", F.explode(loads.between(F.col("since"), F.col("until"))).alias("load_no"), "value", "n")
 
 
 def medians(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -120,7 +140,6 @@ class Profile:
     """metrics: one row a column and load; shift: half the sum of absolute differences of shares against the prior load."""
 
     metrics: DataFrame
-    loads: DataFrame
     counts: DataFrame
 
 
@@ -135,26 +154,25 @@ def profile(cols: list[ProfiledColumn]) -> Profile:
     with a null load_no belong to no load. Empty tables have no rows.
     """
     counts = persisted(value_counts(cols), "value-counts")
-    spark = counts.sparkSession
-    loads = persisted(load_order(counts), "loads")
+    loads = Loads(counts)
     deltas = persisted(count_deltas(counts, loads), "count-deltas")
     state = persisted(counts_as_of(deltas, loads), "counts-as-of")
     by = ["table_name", "column_name", "load_no"]
 
-    numeric = spark.createDataFrame([(c.table_name, c.column, c.numeric, c.terms is not None) for c in cols], "table_name string, column_name string, numeric boolean, checked boolean")
     terms = None
     for c in cols:
         if c.terms is not None:
             own = c.terms.select(F.lit(c.table_name).alias("table_name"), F.lit(c.column).alias("column_name"), F.col("term").alias("value")).distinct()
             terms = own if terms is None else terms.unionByName(own)
-    if terms is None:
-        terms = spark.createDataFrame([], "table_name string, column_name string, value string")
-    known = state.join(F.broadcast(numeric), ["table_name", "column_name"])
-    known = known.join(terms.withColumn("accepted", F.lit(True)), ["table_name", "column_name", "value"], "left")
+    known = state.withColumn("accepted", F.lit(None).cast("boolean"))
+    if terms is not None:
+        known = state.join(bounded_broadcast(terms.withColumn("accepted", F.lit(True))), ["table_name", "column_name", "value"], "left")
+    which = lambda p: F.concat_ws("/", "table_name", "column_name").isin([f"{c.table_name}/{c.column}" for c in cols if p(c)])
+    known = known.withColumn("numeric", which(lambda c: c.numeric))
     number = F.when(F.col("numeric"), F.expr("try_cast(value as bigint)"))
     inside = number.between(*map(F.lit, RANGE))
     filled = F.col("value").isNotNull()
-    violating = filled & F.when(F.col("numeric"), ~F.coalesce(inside, F.lit(False))).otherwise(F.col("checked") & F.col("accepted").isNull())
+    violating = filled & F.when(F.col("numeric"), ~F.coalesce(inside, F.lit(False))).otherwise(which(lambda c: c.terms is not None) & F.col("accepted").isNull())
     n = F.col("n")
     base = known.groupBy(*by, "numeric").agg(
         F.sum("n").alias("rows"),
@@ -167,20 +185,19 @@ def profile(cols: list[ProfiledColumn]) -> Profile:
     )
     full = F.col("rows") - F.col("blanks")
     base = base.withColumn("entropy", F.when(full > 0, F.log2(full) - F.col("nlogn") / full)).drop("nlogn")
-    base = persisted(base.join(F.broadcast(loads.select("table_name", "load_no", "prior_load_no")), ["table_name", "load_no"]), "profile")
-
-    # shares side by side: a value counts for its load, and against it in the next one
-    totals = F.broadcast(base.select(*by, full.alias("filled")).where("filled > 0"))
-    shares = state.where(filled).join(totals, by).select(*by, "value", (F.col("n") / F.col("filled")).alias("share"))
-    order = F.broadcast(loads.select("table_name", "load_no", "next_load_no"))
-    before = shares.join(order, ["table_name", "load_no"]).where("next_load_no is not null")
-    signed = shares.unionByName(before.select("table_name", "column_name", F.col("next_load_no").alias("load_no"), "value", (-F.col("share")).alias("share")))
-    moved = signed.groupBy(*by, "value").agg(F.sum("share").alias("d")).groupBy(*by).agg((F.sum(F.abs("d")) / 2).alias("shift"))
-    prior = totals.select("table_name", "column_name", F.col("load_no").alias("prior_load_no"))
-    comparable = base.select(*by, "prior_load_no").join(totals.select(*by), by).join(prior, ["table_name", "column_name", "prior_load_no"]).select(*by)
+    base = persisted(base.withColumn("prior_load_no", loads.prior), "profile")
+
+    # shares side by side: a value counts for its load, and as the prior one in the next load
+    totals = F.broadcast(base.select(*by, full.alias("filled")))
+    share = F.col("n") / F.col("filled")
+    pair = F.array(F.struct("load_no", share.alias("now"), F.lit(0.0).alias("before")), F.struct(loads.next.alias("load_no"), F.lit(0.0).alias("now"), share.alias("before")))
+    sides = state.where(filled).join(totals, by).select("table_name", "column_name", "value", F.explode(pair).alias("x")).select("table_name", "column_name", "value", "x.*")
+    moved = sides.where(F.col("load_no").isNotNull()).groupBy(*by, "value").agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
+    moved = moved.groupBy(*by).agg(F.sum("now").alias("now"), F.sum("before").alias("before"), (F.sum(F.abs(F.col("now") - F.col("before"))) / 2).alias("shift"))
+    moved = moved.where((F.col("now") > 0) & (F.col("before") > 0)).select(*by, "shift")
     middle = medians(known.where(inside).select(*by, number.alias("value"), "n"), by)
-    metrics = base.join(F.broadcast(comparable.join(moved, by)), by, "left").join(F.broadcast(middle), by, "left")
-    return Profile(metrics, loads, state)
+    metrics = base.join(F.broadcast(moved), by, "left").join(F.broadcast(middle), by, "left")
+    return Profile(metrics, state)
 
 
 def out_of_line(p: Profile, null_rate: float = 0.20, violating: float = 0.05, shift: float = 0.25, factor: float = 3.0) -> DataFrame:
