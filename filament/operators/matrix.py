@@ -20,7 +20,7 @@ def make_bins(chroms: DataFrame, size: int) -> DataFrame:
     """(bin_id, chrom, start, end) of chroms (chrom, length, ord): bins restart with each chromosome, the last one may be short."""
     n = F.ceil(F.col("length") / size)
     offset = F.coalesce(F.sum(n).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as chromosomes
-    placed = chroms.select("chrom", "length", offset.alias("offset"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    placed = chroms.withColumn("offset", offset).select("chrom", "length", "offset", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
     return placed.select((F.col("offset") + F.col("i")).alias("bin_id"), "chrom", (F.col("i") * size).alias("start"), F.least((F.col("i") + 1) * size, F.col("length")).alias("end"))
 
 
@@ -81,7 +81,7 @@ def dense_tile(window: DataFrame, value: str = "count", tile: int = TILE) -> Dat
         return pd.DataFrame({"block": [base64.b64encode(block.tobytes()).decode()], "min_value": [float(np.nanmin(block))], "max_value": [float(np.nanmax(block))], "size": [block.size]})
 
     cells = window.select("row", "col", F.col(value).cast("double").alias("v"))
-    return cells.groupBy(F.lit(0)).applyInPandas(pack, "block string, min_value double, max_value double, size int")
+    return cells.groupBy().applyInPandas(pack, "block string, min_value double, max_value double, size int")
 
 
 def tileset_info(bins: DataFrame, resolutions: list[int], uid: str, name: str, coordinates: str | None = None) -> dict:

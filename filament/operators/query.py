@@ -33,7 +33,11 @@ def distinct_values(docs: DataFrame, fields: list[str], tree: Any = None, allowe
     known = set(leaf_paths(docs.schema)) if allowed is None else allowed
     if unknown := set(fields) - known:
         raise ValueError(f"not queryable: {sorted(unknown)}")
-    pairs = F.concat(*(F.transform(path_values(docs.schema, f), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))) for f in fields))
+
+    def named(name: str) -> Column:
+        return F.transform(path_values(docs.schema, name), lambda v: F.struct(F.lit(name).alias("field"), v.cast("string").alias("value")))
+
+    pairs = F.concat(*map(named, fields))
     rows = docs.where(matching(tree, docs.schema)).select(F.explode(pairs).alias("x")).select("x.*")
     return rows.where(F.col("value").isNotNull()).distinct()
 

@@ -1,6 +1,13 @@
 """All queries of the core by name, and their SQL."""
 
-from filament.plans import data_problems, data_problems_sql
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = dict(data_problems.QUERIES)
-ORACLE = dict(data_problems_sql.ORACLE)
+from filament.plans import data_problems, data_problems_sql, reference_queries
+
+QUERIES = dict(data_problems.QUERIES) | dict(reference_queries.QUERIES)
+ORACLE = dict(data_problems_sql.ORACLE) | dict(reference_queries.ORACLE)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Nested file documents, filtered and paged."""
+    return reference_queries.QUERIES["files_page"](spark, d)

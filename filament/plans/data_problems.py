@@ -85,7 +85,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
     m = _profile(spark, d).metrics
-    return m.select("table_name", "column_name", "load_no", "rows", "blanks", "distinct_values", "violations", F.round("entropy", 6).alias("entropy"), "low", "high", "median", F.round("shift", 6).alias("shift"))
+    return m.select("table_name", "column_name", "load_no", "rows", "blanks", "distinct_values", "violations", F.round("entropy", 6).alias("entropy"), F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "median", F.round("shift", 6).alias("shift"))
 
 
 # ------------------------------------------------------------------ 5 nested records

@@ -80,7 +80,7 @@ SELECT table_name, column_name, load_no, 'distribution' FROM metrics
 WHERE CASE WHEN column_name = 'value' THEN greatest(med, prior_med) > 3 * least(med, prior_med) AND med IS NOT NULL AND prior_med IS NOT NULL ELSE shift > 0.25 END"""
 P4_PROFILE = f"""
 WITH {_VALUES}
-SELECT table_name, column_name, load_no, n_rows AS rows, blanks, distinct_values, violations, round(entropy, 6) AS entropy, low, high, med AS median, round(shift, 6) AS shift FROM metrics"""
+SELECT table_name, column_name, load_no, n_rows AS rows, blanks, distinct_values, violations, round(entropy, 6) AS entropy, CAST(low AS VARCHAR) AS low, CAST(high AS VARCHAR) AS high, med AS median, round(shift, 6) AS shift FROM metrics"""
 
 P6_FOUND = r"""
 WITH cleaned AS (
