@@ -193,7 +193,7 @@ def shaped_records(df: DataFrame, key: str, payload: str, schema: Node) -> DataF
 
         return pd.Series([one(t) for t in texts], dtype=object)
 
-    root = T.StructType([T.StructField(k, n.data_type()) for k, n in sorted(schema.below.items())])
+    root = T.StructType([*(T.StructField(k, n.data_type()) for k, n in sorted(schema.below.items())), T.StructField(PLAIN, T.StringType())])
     texts = df.select(F.col(key), canonical(F.col(payload).cast("string")).alias("text")).where(F.col("text").isNotNull())
     return persisted(texts.select(key, F.from_json("text", root).alias("record")), "records")
 
