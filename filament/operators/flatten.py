@@ -79,8 +79,13 @@ FILE = _struct(
 )
 
 
-def _any(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in columns))
+def _any(struct: Column) -> Column:
+    """Whether any member of a struct is set.
+
+    One look at the whole struct: a condition on each member would be rewritten in terms of
+    every subset of the columns selected from it.
+    """
+    return F.to_json(struct) != "{}"
 
 
 def _blank_null(c: Column) -> Column:
@@ -114,14 +119,15 @@ class Dump:
             require_none(missing_parents(self.tables[child], foreign, self.tables[parent], keys), f"{child} {foreign} without {parent}")
 
     def stats(self) -> DataFrame:
-        """(name, value): rows_<table>, conflicts_<table> and the counters."""
-        rows = [t.agg(F.lit(f"rows_{n}").alias("name"), F.count("*").alias("value")) for n, t in self.tables.items()]
-        rows += [r.conflicts().select(F.concat(F.lit("conflicts_"), "table_name").alias("name"), F.col("conflicts").alias("value")) for r in self.registries.values() if r.columns]
-        counted = self.documents.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in self.counters.items()))
-        rows.append(counted.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in self.counters)))))
-        rows.append(self.registries["project"].stubs_created().select(F.lit("project_stubs_created").alias("name"), F.col("stubs_created").alias("value")))
-        rows.append(self.registries["project"].stubs_surviving().select(F.lit("project_stubs_surviving").alias("name"), F.col("stubs_surviving").alias("value")))
-        return reduce(DataFrame.unionByName, rows)
+        """(name, value): rows_<table>, conflicts_<table> and the counters; one job a figure, so that no plan holds all tables."""
+        spark = self.documents.sparkSession
+        out = {f"rows_{n}": t.count() for n, t in self.tables.items()}
+        out |= {f"conflicts_{n}": r.conflicts().first()["conflicts"] for n, r in self.registries.items() if r.columns}
+        counted = self.documents.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in self.counters.items())).first()
+        out |= counted.asDict()
+        out["project_stubs_created"] = self.registries["project"].stubs_created().first()[0]
+        out["project_stubs_surviving"] = self.registries["project"].stubs_surviving().first()[0]
+        return spark.createDataFrame(sorted(out.items()), "name string, value long")
 
     def conflict_samples(self, most: int = 1000) -> DataFrame:
         return reduce(DataFrame.unionByName, (r.conflict_samples(most) for r in self.registries.values() if r.columns))
@@ -185,8 +191,8 @@ def flatten(docs: DataFrame) -> Dump:
 
     def extension(df: DataFrame, x: str, kind: T.StructType, skip: tuple[str, ...] = (), **other: Column) -> DataFrame:
         names = [n for n in kind.names if n not in skip and n not in other]
-        rows = df.select(*(F.col(k).alias(a) for a, k in zip(KEY, KEYS[x.split(".")[0]], strict=True)), *(F.col(f"{x}.{c}").alias(c) for c in names), *(v.alias(k) for k, v in other.items()), "ord", stub)
-        return rows.where(_any([*names, *other]))
+        rows = df.where(_any(F.col(x).dropFields(*skip) if skip else F.col(x)))
+        return rows.select(*(F.col(k).alias(a) for a, k in zip(KEY, KEYS[x.split(".")[0]], strict=True)), *(F.col(f"{x}.{c}").alias(c) for c in names), *(v.alias(k) for k, v in other.items()), "ord", stub)
 
     KEYS = {"extra": KEY, "c": tuple(f"c.{k}" for k in KEY), "b": tuple(f"b.{k}" for k in KEY), "s": tuple(f"s.{k}" for k in KEY)}
     fo = f.withColumn("ord", at_file)

@@ -38,10 +38,7 @@ class Registry:
         return self.copies.where(~F.col("stub")).withColumns({"_kept": kept, "_nth": nth}).where("_nth > 1")
 
     def _differs(self) -> Column:
-        out = F.lit(False)
-        for c in self.columns:
-            out = out | ~F.col(c).eqNullSafe(F.col(f"_kept.{c}"))
-        return out
+        return ~F.struct(*self.columns).eqNullSafe(F.col("_kept"))
 
     def conflicts(self) -> DataFrame:
         """(table_name, conflicts): how many real copies differ from the kept one."""
