@@ -99,5 +99,7 @@ def looks_processable(head: Column) -> Column:
     """Whether the first bytes of a file are gzip, or text: UTF-8 without NUL; other binary files are not."""
     start = F.substring(head, 1, 512)
     gz = F.startswith(start, F.lit(b"\x1f\x8b"))
-    text = F.decode(start, "UTF-8")
-    return gz | (~F.contains(start, F.lit(b"\x00")) & ~F.substring(text, 1, 508).contains("�"))
+    text = F.lit(False)
+    for cut in range(4):  # the 512th byte may be inside a character
+        text = text | F.is_valid_utf8(F.substring(start, F.lit(1), F.octet_length(start) - cut).cast("string"))
+    return gz | (~F.contains(start, F.lit(b"\x00")) & text)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from filament.plans import data_problems, data_problems_sql, reference_queries
+from filament.runtime import prepare
 
 QUERIES = dict(data_problems.QUERIES) | dict(reference_queries.QUERIES)
 ORACLE = dict(data_problems_sql.ORACLE) | dict(reference_queries.ORACLE)
@@ -10,4 +11,4 @@ ORACLE = dict(data_problems_sql.ORACLE) | dict(reference_queries.ORACLE)
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Nested file documents, filtered and paged."""
-    return reference_queries.QUERIES["files_page"](spark, d)
+    return reference_queries.page_of_files(prepare(spark), d, 0)

@@ -83,7 +83,11 @@ WHERE status IN ('released', 'archived') AND data_access_level = 'public' AND pr
 ORDER BY row_id LIMIT 25 OFFSET 25"""
 )
 def files_page(spark, d):
-    page = query.files(file_docs(spark, d), [_FLAGSHIP], page=1, page_size=25, key=("row_id",))
+    return page_of_files(spark, d, 1)
+
+
+def page_of_files(spark: SparkSession, d: str, page: int) -> DataFrame:
+    page = query.files(file_docs(spark, d), [_FLAGSHIP], page=page, page_size=25, key=("row_id",))
     return page.select("row_id", "filename", F.col("dcc.dcc_name").alias("dcc_name"), F.col("project.name").alias("project_name"), F.get("collections", F.lit(0))["name"].alias("collection_name"))
 
 
