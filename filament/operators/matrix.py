@@ -101,3 +101,10 @@ def links_in_tile(links: DataFrame, start: int, end: int) -> DataFrame:
 def rectangles_in_tile(links: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
     """Interactions whose rectangle (a across, b down) overlaps a window."""
     return links.where((F.col("a_start") < x[1]) & (F.col("a_end") > x[0]) & (F.col("b_start") < y[1]) & (F.col("b_end") > y[0]))
+
+
+def tile_requests(ids: DataFrame, column: str, order: str) -> DataFrame:
+    """(uid, tiles): the requested tiles (uid.z.x.y) of each tileset in order; ids that are none are left out."""
+    good = ids.where(F.col(column).rlike(r"^[A-Za-z0-9_-]+(\.\d+){1,3}$"))
+    tagged = F.array_sort(F.collect_list(F.struct(order, column)))
+    return good.groupBy(F.substring_index(column, ".", 1).alias("uid")).agg(F.transform(tagged, lambda x: x[column]).alias("tiles"))

@@ -35,3 +35,58 @@ def drop_slice(spark, path: str, slice_of: dict[str, str]) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(jvm_path) and fs.delete(jvm_path, True))
+
+
+def changes_between(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, change): keys that were added, dropped or updated (any of columns differs) from old to new; keys are unique."""
+    a = old.select(*keys, F.struct(*columns).alias("_old"))
+    b = new.select(*keys, F.struct(*columns).alias("_new"))
+    change = F.when(F.col("_old").isNull(), F.lit("added")).when(F.col("_new").isNull(), F.lit("dropped")).when(~F.col("_old").eqNullSafe(F.col("_new")), F.lit("updated"))
+    return a.join(b, keys, "full").select(*keys, change.alias("change")).where(F.col("change").isNotNull())
+
+
+def _fs(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Write df as a new version under path and make it the current one by an atomic rename; readers need no lock.
+
+    A run that fails leaves an unnamed folder that is deleted, and the version before in place.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(f"{path}/{version}")
+    except Exception:
+        p, fs = _fs(spark, f"{path}/{version}")
+        fs.delete(p, True)
+        raise
+    p, fs = _fs(spark, f"{path}/_next-{version}")
+    out = fs.create(p, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    replace = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+    replace[0] = hadoop.Options.Rename.OVERWRITE
+    full = fs.makeQualified(p)
+    hadoop.FileContext.getFileContext(full.toUri(), spark._jsc.hadoopConfiguration()).rename(full, fs.makeQualified(_fs(spark, f"{path}/CURRENT")[0]), replace)
+    return version
+
+
+def read_current(spark, path: str) -> DataFrame:
+    """The version that is current when this is called; it stays readable while later ones are published."""
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def write_clustered(df: DataFrame, path: str, by: str, key: str, filters: tuple[str, ...] = ()) -> None:
+    """Parquet in place of indexes: partitions by one column, rows in order of key (row-group statistics), Bloom filters on further columns."""
+    # ranges of both columns, so that one large partition is written by many tasks
+    writer = df.repartitionByRange(by, key).sortWithinPartitions(by, key).write.mode("overwrite").partitionBy(by)
+    for c in filters:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)

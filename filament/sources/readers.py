@@ -3,17 +3,102 @@
 from __future__ import annotations
 
 import gzip
+import json
 import os
 import re
 import shutil
+import time
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from filament.functions import scalars
 
+T = TypeVar("T")
+
+
+# ------------------------------------------------------------------ fetching
+def with_retries(fetch: Callable[[], T], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> T:
+    """The result of a call, tried again after 1, 2, 4 … seconds if it fails."""
+    for i in range(attempts):
+        try:
+            return fetch()
+        except OSError:
+            if i == attempts - 1:
+                raise
+            sleep(2**i)
+    raise ValueError("no attempts")
+
+
+def offset_pages(fetch: Callable[[int, int], dict], size: int = 1000) -> Iterator[dict]:
+    """Pages of a search by offset until its total is reached or a page is empty."""
+    at = 0
+    while True:
+        page = fetch(at, size)
+        yield page
+        n = len(page.get("@graph", []))
+        at += n
+        if not n or at >= page.get("total", 0):
+            return
+
+
+def keyset_pages(fetch: Callable[[list | None, int], dict], size: int = 1000) -> Iterator[dict]:
+    """Pages of a search that continue after the last hit's sort key, until a page is short."""
+    after = None
+    while True:
+        page = fetch(after, size)
+        hits = page.get("hits", {}).get("hits", [])
+        if hits:
+            yield page
+        if len(hits) < size:
+            return
+        after = hits[-1]["sort"]
+
+
+def accession_batches(accessions: Iterable[str], size: int = 100) -> list[list[str]]:
+    """Distinct accessions in order, in batches."""
+    every = sorted(set(accessions))
+    return [every[i : i + size] for i in range(0, len(every), size)]
+
+
+class PageSource(DataSource):
+    """Saved search pages as a table (page, value), a partition for each file; damaged pages are skipped.
+
+    spark.dataSource.register(PageSource); spark.read.format("search_pages").option("folder", …).load()
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "search_pages"
+
+    def schema(self) -> str:
+        return "page string, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PageReader(self.options["folder"])
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(n) for n in sorted(os.listdir(self.folder)) if n.endswith(".json")]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with open(os.path.join(self.folder, partition.value), encoding="utf-8") as f:
+            text = f.read()
+        try:
+            json.loads(text)
+        except ValueError:
+            return
+        yield partition.value, text
+
 
 # ------------------------------------------------------------------ archives and folders
 def extract_archive(archive: str, folder: str) -> str:

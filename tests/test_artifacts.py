@@ -222,3 +222,32 @@ def test_artifacts(spark, tmp_path):
     assert readers.peek(readers.fetch_atomically(str(tmp_path / "s.gz"), str(tmp_path / "t.gz")), 7) == b"hellohe"
     df = spark.createDataFrame([([("ftp", "f"), ("https", ""), ("s3", "u")],)], "m array<struct<type:string,url:string>>")
     assert df.select(readers.access_url(F.col("m"))).first()[0] == "u"
+
+
+def test_paging(spark, tmp_path):
+    calls = []
+    data = list(range(25))
+    pages = list(readers.offset_pages(lambda at, n: {"@graph": data[at : at + n], "total": 25}, 10))
+    assert [len(p["@graph"]) for p in pages] == [10, 10, 5]
+    keyed = list(readers.keyset_pages(lambda after, n: {"hits": {"hits": [{"sort": [i]} for i in data if after is None or i > after[0]][:n]}}, 10))
+    assert [len(p["hits"]["hits"]) for p in keyed] == [10, 10, 5]
+    assert readers.accession_batches(["b", "a", "b"], 1) == [["a"], ["b"]]
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("no")
+        return "yes"
+
+    waits = []
+    assert readers.with_retries(flaky, sleep=waits.append) == "yes" and waits == [1, 2]
+    (tmp_path / "a.json").write_text('{"@graph": [{"accession": "4dnf1"}]}')
+    (tmp_path / "b.json").write_text("{broken")
+    spark.dataSource.register(readers.PageSource)
+    loaded = spark.read.format("search_pages").option("folder", str(tmp_path)).load()
+    assert [r.accession for r in readers.file_search(loaded).collect()] == ["4DNF1"]
+
+
+def test_tile_requests(spark):
+    df = spark.createDataFrame([(2, "b.0.0"), (1, "b.1.0"), (0, "a.0.0.0"), (3, "../x")], "n int, t string")
+    assert {r.uid: r.tiles for r in matrix.tile_requests(df, "t", "n").collect()} == {"a": ["a.0.0.0"], "b": ["b.1.0", "b.0.0"]}

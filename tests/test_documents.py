@@ -199,3 +199,19 @@ def test_slices(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [2, 3]
     assert slices.drop_slice(spark, path, {"s": "b"}) and not slices.drop_slice(spark, path, {"s": "zz"})
     assert [r.v for r in spark.read.parquet(path).collect()] == [3]
+
+
+def test_publish(spark, tmp_path):
+    path = str(tmp_path / "p")
+    slices.publish(spark.range(3), path)
+    before = slices.read_current(spark, path)
+    slices.publish(spark.range(5), path)
+    assert (before.count(), slices.read_current(spark, path).count()) == (3, 5)
+    with pytest.raises(Exception, match="boom|raise_error|USER_RAISED"):
+        slices.publish(spark.range(1).select(F.raise_error(F.lit("boom"))), path)
+    assert slices.read_current(spark, path).count() == 5 and len(list((tmp_path / "p").glob("v-*"))) == 2
+    slices.write_clustered(spark.range(100).withColumn("s", F.col("id") % 2), str(tmp_path / "c"), "s", "id", ("id",))
+    assert spark.read.parquet(str(tmp_path / "c")).where("s = 1 and id > 90").count() == 5
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(2, None), (3, "y"), (4, "n")], "k int, v string")
+    assert sorted(tuple(r) for r in slices.changes_between(a, b, ["k"], ["v"]).collect()) == [(1, "dropped"), (3, "updated"), (4, "added")]
