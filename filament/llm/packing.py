@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from filament.llm import tokens
 
 CAPACITY = 2_048
-#: Bytes of text a shard holds on average; the shards' number follows the corpus.
-SHARD_BYTES = 8 << 20
+#: Bytes of text and items a shard holds on average at most; the shards' number follows the corpus.
+SHARD_BYTES, SHARD_ITEMS = 8 << 20, 8_192
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's items say nothing about neighbours.
@@ -133,10 +133,11 @@ def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, folder:
     several parts: whole containers, and the rest, if any, as an item. Empty and null texts
     have one part of 0 tokens. Repeated rows are each placed. An empty table has no rows.
     """
-    total = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string"))).alias("bytes"), F.count("*").alias("rows")).first()
+    shards = max(1, -(-(size["bytes"] or 0) // SHARD_BYTES), -(-size["rows"] // SHARD_ITEMS))
     items = sized_items(df, key, text, capacity, folder, vocabulary)
-    items = items.withColumn("shard", F.pmod(F.xxhash64(F.col(key), F.col("n_tokens")), F.lit(shards)).cast("int"))
+    # the row's place is hashed too, so that repeated rows do not meet in one shard
+    items = items.withColumn("shard", F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     kind = df.schema[key].dataType.simpleString()
 
     def fill(table: pa.Table) -> pa.Table:
