@@ -52,14 +52,23 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/filament/{what}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session, once the results that read them are written; how many there were."""
+    paths = getattr(spark, "_filament_scratch", [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark._filament_scratch = []
+    return len(paths)
+
+
+def persisted(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: it outlives lost executors."""
-    path = scratch_path(df.sparkSession, what)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, what)
+    spark._filament_scratch = [*getattr(spark, "_filament_scratch", []), path]
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
