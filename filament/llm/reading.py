@@ -126,13 +126,21 @@ class Fit:
         return self._softmax(self._standard(x) @ self.b)
 
 
-def most_of(p: np.ndarray, lengths: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-    """Level of each text: its sentences vote, by the root of their words (ends of sentences get lost); no sentence, the middle level 2."""
-    n = len(per_text)
-    owner = np.repeat(np.arange(n), per_text)
-    vote = (np.eye(len(LEVELS))[p.argmax(1)] + 0.25 * p) * np.sqrt(lengths)[:, None]
-    votes = np.zeros((n, len(LEVELS)))
-    np.add.at(votes, owner, vote)
+def usual_lengths(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Median sentence length of each level, over the sentences that the fit gives it; the overall one for a level without any."""
+    best = p.argmax(1)
+    return np.array([np.median(lengths[best == i]) if (best == i).any() else np.median(lengths) for i in range(len(LEVELS))])
+
+
+def most_of(p: np.ndarray, lengths: np.ndarray, per_text: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Level of most sentences of each text; a text without a sentence has the middle level 2.
+
+    Ends of sentences get lost, so a stretch of words counts as many sentences of a level as
+    the level's usual length goes into it.
+    """
+    owner = np.repeat(np.arange(len(per_text)), per_text)
+    votes = np.zeros((len(per_text), len(LEVELS)))
+    np.add.at(votes, owner, p * lengths[:, None] / usual)
     votes[per_text == 0, LEVELS.index(2)] = 1
     return np.array(LEVELS)[votes.argmax(1)]
 
@@ -188,13 +196,15 @@ def reading_levels(docs: DataFrame, labels: DataFrame, corpus: DataFrame, key: s
     words, lengths = (np.concatenate([np.asarray(x, np.int64) for x in sample[c]]) for c in ("words", "lengths"))
     per_text = sample["lengths"].map(len).to_numpy()
     y = np.repeat([LEVELS.index(v) for v in sample["level"]], per_text)
-    fit = Fit(formula(words, lengths, grades), y, np.repeat(1 / per_text, per_text))
+    x = formula(words, lengths, grades)
+    fit = Fit(x, y, np.repeat(1 / per_text, per_text))
+    usual = usual_lengths(fit.levels(x), lengths)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             w = Words(list(batch["text"]), place)
             p = fit.levels(formula(w.words, w.lengths, grades)) if len(w.lengths) else np.zeros((0, len(LEVELS)))
-            yield pd.DataFrame({key: batch[key], level: most_of(p, w.lengths, w.per_text).astype(np.int32)})
+            yield pd.DataFrame({key: batch[key], level: most_of(p, w.lengths, w.per_text, usual).astype(np.int32)})
 
     texts = docs.select(key, F.col(text).cast("string").alias("text")).where(~is_blank(F.col("text")))
     graded = texts.mapInPandas(grade, schema)
