@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from filament.functions import scalars
 from filament.operators.ordered import collected, filled, first_wins, last_wins, lookup, with_order
+from filament.runtime import persisted
 
 ENTITY = ("id_namespace", "local_id")
 TABLES = (
@@ -69,7 +70,11 @@ def materialize(tables: dict[str, DataFrame], submission: str | None = None) ->
     in <column>_raw beside a null term; an anatomy that is missed is null. A file without a
     usable link to a collection takes the last collection of the same persistent_id.
     """
-    t = {name: with_order(df if submission is None or name == "dcc" else df.where(F.col("submission") == submission)) for name, df in tables.items()}
+    t = {}
+    for name, df in tables.items():
+        own = df if submission is None or name == "dcc" else df.where(F.col("submission") == submission)
+        # an order taken as read must not change when rows are read again
+        t[name] = own if "ord" in own.columns else persisted(with_order(own), f"ordered-{name}")
 
     # subjects
     race = _list(t["subject_race"].where(filled("subject_id_namespace", "subject_local_id", "race")), ["subject_id_namespace", "subject_local_id"], F.col("race"), "race")
