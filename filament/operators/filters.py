@@ -20,7 +20,7 @@ FOLDED = ("accession_id", "collections.accession_id")
 
 def _equal(c: Column, kind: T.DataType, path: list[str], value: Any) -> Column:
     if isinstance(kind, T.ArrayType):
-        return F.exists(c, lambda x: F.coalesce(_equal(x, kind.elementType, path, value), F.lit(False)))
+        return F.exists(c, lambda x: _equal(x, kind.elementType, path, value))
     if path:
         return _equal(c.getField(path[0]), kind[path[0]].dataType, path[1:], value)
     return c == F.lit(value)
@@ -31,7 +31,8 @@ def _leaf(schema: T.StructType, path: tuple[str, ...], value: Any, folded: tuple
         value = str(value).strip().upper()
         if not value:
             return None
-    return F.coalesce(_equal(F.col(path[0]), schema[path[0]].dataType, list(path[1:]), value), F.lit(False))
+    # a null stays null: trees only combine by and / or, and a plain comparison reaches the scan
+    return _equal(F.col(path[0]), schema[path[0]].dataType, list(path[1:]), value)
 
 
 def leaf_paths(schema: T.StructType) -> list[str]:

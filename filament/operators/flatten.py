@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from filament.functions.scalars import canonical_json, parse_int, timestamp_utc
 from filament.operators.integrity import duplicate_keys, missing_parents, not_one_to_one, require_none
 from filament.operators.registry import Registry
+from filament.runtime import persisted
 
 KEY = ("id_namespace", "local_id")
 
@@ -183,6 +184,7 @@ def flatten(docs: DataFrame) -> Dump:
     bs = cs.select("submission", "ord", F.col("c.id_namespace").alias("c_ns"), F.col("c.local_id").alias("c_id"), F.posexplode("c.biosamples").alias("j", "b")).withColumn("ord", F.concat_ws(".", "ord", F.lit("1"), place("j"))).where(F.col("b").isNotNull())
     s1 = bs.select("submission", "ord", F.col("b.id_namespace").alias("p_ns"), F.col("b.local_id").alias("p_id"), F.posexplode("b.subjects").alias("k", "s")).withColumn("ord", F.concat_ws(".", "ord", place("k"))).where(F.col("s").isNotNull())
     s2 = cs.select("submission", "ord", F.col("c.id_namespace").alias("p_ns"), F.col("c.local_id").alias("p_id"), F.posexplode("c.subjects").alias("k", "s")).withColumn("ord", F.concat_ws(".", "ord", F.lit("2"), place("k"))).where(F.col("s").isNotNull())
+    cs, bs, s1, s2 = (persisted(df, n) for df, n in ((cs, "collections"), (bs, "biosamples"), (s1, "biosample-subjects"), (s2, "collection-subjects")))  # read by many tables
     ss = s1.unionByName(s2)
     stub = F.lit(False).alias("stub")
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filament.functions import ontology, scalars
-from filament.operators import enrich, filters, integrity, intervals, matrix, ordered, query, slices
+from filament.operators import enrich, filters, flatten, integrity, intervals, materialize, matrix, nested, ordered, query, slices
 from filament.operators.registry import Registry
-from filament.runtime import bounded_broadcast, persisted, prepare, table
+from filament.runtime import bounded_broadcast, persisted, prepare, scratch_path, table
 from filament.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -756,11 +756,73 @@ def heartbeat_sessions(spark, d):
     return jobs.heartbeat_gaps(table(spark, d, "events"), "user_id", "ts", timedelta(seconds=3600))
 
 
+def _job_events(spark: SparkSession, d: str) -> DataFrame:
+    """Four events a job – claim, start, heartbeat, complete – at the events' times, so in any order; 97 keys."""
+    n = F.floor(F.col("event_id") / 4)
+    kind = F.element_at(F.array(*map(F.lit, ("claim", "start", "heartbeat", "complete"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select(
+        F.concat(F.lit("key-"), (n % 97).cast("string")).alias("workflow_key"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.concat(F.lit("job-"), n.cast("string")).alias("job_id"), F.lit(None).cast("string").alias("payload"),
+    )
+
+
 @register()
 def job_fold(spark, d):
     """The job table folded from the events; a state machine that SQL cannot run."""
-    e = table(spark, d, "events").select(
-        F.concat(F.lit("key-"), (F.col("user_id") % 97).cast("string")).alias("workflow_key"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("job_id"),
-        F.lit("claim").alias("kind"), F.lit(None).cast("string").alias("payload"),
+    return jobs.fold_jobs(_job_events(spark, d))
+
+
+@register()
+def job_fold_stream(spark, d):
+    """T7, T8 as a stream with state by key; the last state of each job."""
+    events = persisted(_job_events(spark, d), "job-events")
+    source = spark.readStream.schema(events.schema).parquet(spark._filament_scratch[-1])
+    out, at = scratch_path(spark, "job-states"), scratch_path(spark, "job-stream")
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n}")
+
+    stream = jobs.job_stream(source).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", at).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    states = spark.read.schema(f"{jobs.JOB}, batch int, n int").parquet(out)
+    return ordered.last_wins(states, ["job_id"], ["n"]).drop("batch", "n")
+
+
+# ------------------------------------------------------------------ raw documents end to end
+def document_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The raw file documents in the document type, with their order; of repeated file keys the last delivered."""
+    raw = table(spark, d, "file_document")
+    schema = nested.merged_schema(raw, "payload", ["collections", "collections/biosamples", "collections/biosamples/subjects", "collections/subjects", "extra/fourdn/extra_files"])
+    records = nested.shaped_records(raw, "record_id", "payload", schema)
+    text = F.to_json("record")
+    docs = records.select("record_id", F.from_json(F.regexp_replace(text, '"plain_value":', '"id":'), flatten.FILE.simpleString()).alias("doc"))
+    docs = docs.join(raw.select("record_id", F.col("submission").alias("_submission"), "received_at"), "record_id").select("doc.*", "_submission", "received_at", F.col("record_id").alias("ord"))
+    docs = ordered.lookup(docs, table(spark, d, "c2m2_dcc"), {"_submission": "submission"}, "_centre", ["load_no", "row_id"], flatten.DCC.names)
+    docs = docs.withColumn("submission", F.coalesce("submission", "_submission")).withColumn("dcc", F.coalesce("dcc", "_centre")).drop("_centre")
+    return ordered.last_wins(docs, ["id_namespace", "local_id"], ["received_at", "ord"]).drop("_submission", "received_at")
+
+
+@register()
+def dump_stats(spark, d):
+    """Row counts, conflicts and counters of the raw documents' relational dump."""
+    return flatten.flatten(persisted(document_docs(spark, d), "documents")).stats()
+
+
+@register()
+def documents_rebuilt(spark, d):
+    """The dump's tables taken as raw tables and materialised again; objects by level and submission."""
+    t = flatten.flatten(persisted(document_docs(spark, d), "documents")).tables
+    text = lambda df: df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
+    of = {n: text(t[n]) for n in ("file", "dcc", "project", "collection", "biosample", "subject")}
+    of |= {n: text(t[n]).withColumn("submission", F.lit(None).cast("string")) for n in ("file_in_collection", "biosample_in_collection", "subject_in_collection", "collection_anatomy", "subject_race")}
+    of["biosample_from_subject"] = text(t["biosample_from_subject"]).withColumns({"submission": F.lit(None).cast("string"), "age_at_sampling": F.lit(None).cast("string")})
+    every = [r.submission for r in t["dcc"].select("submission").distinct().collect()]  # as many as centres
+    for n in ("file_format", "data_type", "assay_type", "anatomy", "ncbi_taxonomy"):  # terms hold for every submission
+        of[n] = text(t[n]).withColumn("submission", F.explode(F.array(*map(F.lit, every))))
+    of["subject_role_taxonomy"] = of["subject"].select("submission", F.col("id_namespace").alias("subject_id_namespace"), F.col("local_id").alias("subject_local_id"), F.col("taxonomy").alias("taxonomy_id")).where("taxonomy_id is not null")
+    of["subject"] = of["subject"].drop("taxonomy", "age_at_sampling")
+    docs = materialize.materialize({n: persisted(df, f"raw-{n}") for n, df in of.items()})
+    n = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias
+    c = F.col("collections")
+    return docs.groupBy("submission").agg(
+        F.count("*").alias("files"), n(F.size(c))("collections"), n(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["biosamples"])))("biosamples"), n(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["subjects"])))("subjects"),
     )
-    return jobs.fold_jobs(e)

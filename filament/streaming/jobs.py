@@ -73,7 +73,8 @@ def job_stream(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
         for e in pd.concat(list(frames)).sort_values(["ts", "job_id", "kind"], kind="stable").itertuples():
             keyed.apply(key[0], e.ts, e.kind, e.job_id, e.payload)
         state.update(([tuple(j[c].to_pydatetime() if isinstance(j[c], pd.Timestamp) else j[c] for c in columns) for j in keyed.jobs],))
-        yield pd.DataFrame([j for j in keyed.jobs if j != before.get(j["job_id"])], columns=columns)
+        changed = [j for j in keyed.jobs if j != before.get(j["job_id"])]
+        yield pd.DataFrame(changed, columns=columns).astype({"superseded_by": object, "error": object})
 
     keyed = events.select("workflow_key", "ts", "kind", "job_id", "payload").groupBy("workflow_key")
     return keyed.applyInPandasWithState(step, JOB, state_schema, "update", "NoTimeout")
