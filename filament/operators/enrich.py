@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from filament.functions import ontology, scalars
 from filament.functions.scalars import nonempty
 from filament.operators import flatten
-from filament.operators.ordered import first_match, first_wins, last_wins
+from filament.operators.ordered import first_contained, first_wins, last_wins
 from filament.runtime import bounded_broadcast
 
 NAMESPACE, SITE = "https://www.encodeproject.org/", "https://www.encodeproject.org"
@@ -142,9 +142,9 @@ def enrich_files(files: DataFrame, found: DataFrame, tiers: DataFrame) -> DataFr
 
 
 def enrich_subjects(subjects: DataFrame, donors: DataFrame) -> DataFrame:
-    """Subjects with the first donor (by ord) whose uuid is part of their local_id; the donors are few and go to every task."""
+    """Subjects with the first donor (by ord) whose uuid is part of their local_id."""
     d = donors.withColumnsRenamed({c: f"donor_{c}" for c in donors.columns})
-    return first_match(subjects, d, F.col("local_id").contains(F.col("donor_uuid")) & (F.col("donor_uuid") != ""), ["id_namespace", "local_id"], ["donor_ord"])
+    return first_contained(subjects, d, "local_id", "donor_uuid", ["id_namespace", "local_id"], ["donor_ord"])
 
 
 def prune_restricted(files: DataFrame, links: DataFrame, collections: DataFrame, datasets: DataFrame, submission: str = "hubmap") -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from filament.runtime import bounded_broadcast, persisted
+
 #: Column of the start position by format, counted from 0; other columns are plain text.
 START_COLUMN = {"bed": 1, "narrowpeak": 1, "broadpeak": 1, "vcf": 1, "gff": 3, "gff3": 3, "gtf": 3, "sam": 3}
 CHROM_COLUMN = {"sam": 2}
@@ -43,7 +45,7 @@ def coordinate_sorted(records: DataFrame) -> DataFrame:
     """Alignment records by the order of the reference names in the header (@SQ), unmapped (*) last, then position."""
     names = records.where(F.col("line").startswith("@SQ")).select(F.regexp_extract("line", r"\tSN:([^\t]+)", 1).alias("name"), "line_no")
     rank = names.select(F.col("name").alias("_name"), F.row_number().over(Window.orderBy("line_no")).alias("_rank"))  # as many rows as references
-    body = records.join(F.broadcast(rank), F.col("chrom") == F.col("_name"), "left")
+    body = records.join(bounded_broadcast(rank), F.col("chrom") == F.col("_name"), "left")
     return body.orderBy(~F.col("is_header"), F.when(F.col("is_header"), F.col("line_no")), F.col("_rank").asc_nulls_last(), "start", "line").drop("_name", "_rank")
 
 
@@ -60,14 +62,23 @@ def data_lines(records: DataFrame) -> DataFrame:
 def unsorted(df: DataFrame, group: list[str], order: str, ref: str, pos: str, first: int | None = None) -> DataFrame:
     """(group, out_of_order): how often a position falls below the one before it on the same reference.
 
-    first: only so many records of each group by order, as a probe; null looks at all.
+    first: only so many records of each group by order, as a probe; null looks at all. The
+    records are compared within ranges of (group, order), and the ends of the ranges with
+    each other, so that a large group is the work of many tasks.
     """
-    w = Window.partitionBy(*group).orderBy(order)
-    rows = df.withColumns({"_ref": F.lag(ref).over(w), "_pos": F.lag(pos).over(w), "_n": F.row_number().over(w)})
-    if first is not None:
-        rows = rows.where(F.col("_n") <= first)
-    bad = (F.col(ref) == F.col("_ref")) & (F.col(pos) < F.col("_pos"))
-    return rows.groupBy(*group).agg(F.count(F.when(bad, 1)).alias("out_of_order"))
+    rows = df.select(*group, F.col(order).alias("_at"), F.col(ref).alias("_ref"), F.col(pos).alias("_pos"))
+    if first is not None:  # the limit of a rank takes effect before the shuffle, too
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_at"))).where(F.col("_n") <= first).drop("_n")
+    rows = persisted(rows.repartitionByRange(*group, "_at").withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(*group, "_range").orderBy("_at")
+    below = (F.col("_ref") == F.lag("_ref").over(w)) & (F.col("_pos") < F.lag("_pos").over(w))
+    inside = rows.withColumn("_bad", below).groupBy(*group).agg(F.count(F.when(F.col("_bad"), 1)).alias("n"))
+    this = F.struct("_ref", "_pos")
+    ends = rows.groupBy(*group, "_range").agg(F.min_by(this, "_at").alias("head"), F.max_by(this, "_at").alias("tail"))  # a few rows a group: as many as ranges
+    prior = F.lag("tail").over(Window.partitionBy(*group).orderBy("_range"))
+    crossing = (F.col("head._ref") == F.col("_prior._ref")) & (F.col("head._pos") < F.col("_prior._pos"))
+    between = ends.withColumn("_prior", prior).groupBy(*group).agg(F.count(F.when(crossing, 1)).alias("n"))
+    return inside.unionByName(between).groupBy(*group).agg(F.sum("n").alias("out_of_order"))
 
 
 def overlapping(df: DataFrame, windows: DataFrame, group: str, start: str, end: str, bin_size: int) -> DataFrame:

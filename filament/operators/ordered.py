@@ -58,10 +58,20 @@ def collected(df: DataFrame, keys: list[str], value: Column, order: list[str], n
     return df.groupBy(*keys).agg(F.transform(tagged, lambda x: x["value"]).alias(name))
 
 
-def first_match(df: DataFrame, side: DataFrame, condition: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """df with the first side row (by order) that meets a condition other than equality; misses keep nulls.
+def first_contained(df: DataFrame, side: DataFrame, text: str, token: str, keys: list[str], order: list[str]) -> DataFrame:
+    """df with the first side row (by order) whose token stands in the text; rows without one keep nulls. Blank tokens stand nowhere.
 
-    The side must be small: it goes to every task, which pairs it with its own rows only.
+    The text's pieces of each length that tokens have (a few) are joined with the tokens by
+    equality, so that no row meets all tokens. keys tell df's rows apart.
     """
-    joined = df.join(F.broadcast(side), condition, "left")
-    return first_wins(joined, keys, order)
+    some = side.where(F.col(token) != "")
+    lengths = sorted(r[0] for r in some.select(F.char_length(token)).distinct().collect())
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    pieces = F.array_distinct(F.concat(none, *(F.when(F.char_length(text) >= n, at(n)).otherwise(none) for n in lengths)))
+    hits = df.select(*keys, F.explode(pieces).alias("_piece")).join(bounded_broadcast(some), F.col("_piece") == F.col(token))
+    first = first_wins(hits.drop("_piece"), keys, order).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(first, cond, "left").drop(*(f"_k_{k}" for k in keys))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filament.operators.ordered import first_wins
+from filament.runtime import bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -32,10 +33,14 @@ class Registry:
         return first_wins(self.copies, list(self.keys), ["stub", "ord"]).drop("ord", "stub")
 
     def _compared(self) -> DataFrame:
-        """Real copies but the first, with the kept one's columns beside theirs."""
-        kept = F.first(F.struct(*self.columns) if self.columns else F.struct(F.lit(0).alias("none"))).over(Window.partitionBy(*self.keys).orderBy("ord"))
-        nth = F.row_number().over(Window.partitionBy(*self.keys).orderBy("ord"))
-        return self.copies.where(~F.col("stub")).withColumns({"_kept": kept, "_nth": nth}).where("_nth > 1")
+        """Real copies after the first, with the first one's columns beside theirs. The first ones are joined, so a hot key's copies stay spread."""
+        real = self.copies.where(~F.col("stub"))
+        first = first_wins(real, list(self.keys), ["ord"])
+        kept = first.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)), F.col("ord").alias("_first"), F.struct(*self.columns).alias("_kept"))
+        cond = F.col("ord") > F.col("_first")
+        for i, k in enumerate(self.keys):
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return real.join(bounded_broadcast(kept), cond).drop(*(f"_k{i}" for i in range(len(self.keys))))
 
     def _differs(self) -> Column:
         return ~F.struct(*self.columns).eqNullSafe(F.col("_kept"))

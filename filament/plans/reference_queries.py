@@ -167,9 +167,9 @@ def edge_attribute(spark, d):
 SELECT p_partkey, n_name FROM part LEFT JOIN nation ON contains(lower(p_name || ' ' || p_type), lower(left(n_name, 2)))
 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n_nationkey) = 1""")
 def theta_contains_first(spark, d):
-    text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return ordered.first_match(table(spark, d, "part"), n, text.contains(F.lower(F.left("n_name", F.lit(2)))), ["p_partkey"], ["n_nationkey"]).select("p_partkey", "n_name")
+    parts = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.lower(F.left("n_name", F.lit(2))).alias("token"))
+    return ordered.first_contained(parts, n, "text", "token", ["p_partkey"], ["n_nationkey"]).select("p_partkey", "n_name")
 
 
 @register("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -608,12 +608,6 @@ def _beds(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "SELECT p_brand || chr(9) || l_suppkey || chr(9) || (l_suppkey + l_linenumber) || chr(9) || l_orderkey || chr(9) || l_partkey AS line, p_brand, l_suppkey, l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey"
 
 
-@register(f"SELECT line, row_number() OVER (PARTITION BY p_brand ORDER BY l_suppkey, line) AS pos FROM ({_LINES})")
-def interval_sort_rank(spark, d):
-    records = intervals.parsed(_beds(spark, d), "bed")
-    return records.select("line", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "line")).cast("bigint").alias("pos"))
-
-
 @register(f"SELECT line, row_number() OVER (ORDER BY p_brand, l_suppkey, line) AS place FROM ({_LINES})")
 def interval_sort(spark, d):
     """O3, G1: every line with its place in the sorted file."""
@@ -704,13 +698,6 @@ def link_tile(spark, d):
     return matrix.links_in_tile(e, 250, 300).select("event_id")
 
 
-@register("""
-SELECT 'u' || user_id % 50 AS uid, string_agg('u' || user_id % 50 || '.' || event_id % 9 || '.' || event_id % 7 || '.1', ' ' ORDER BY event_id) AS tiles FROM events GROUP BY 1""")
-def tile_requests(spark, d):
-    tile = F.concat_ws(".", F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")), (F.col("event_id") % 9).cast("string"), (F.col("event_id") % 7).cast("string"), F.lit("1"))
-    return matrix.tile_requests(table(spark, d, "events").select("event_id", tile.alias("tile")), "tile", "event_id").select("uid", F.array_join("tiles", " ").alias("tiles"))
-
-
 # ------------------------------------------------------------------ jobs
 @register("SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_state(spark, d):

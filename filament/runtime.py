@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
-#: Rows a side may have to be broadcast. It is counted first; a larger side is shuffled.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes a side may have to be broadcast. It is measured first; a larger side is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -71,13 +71,10 @@ def persisted(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows; df itself (a shuffled side) beyond."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most max_rows rows and max_bytes of values; df itself (a shuffled side) beyond."""
+    size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if size[0] <= max_rows and (size[1] or 0) <= max_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,6 +38,15 @@ def test_alignments(spark, tmp_path):
     assert [r.line for r in intervals.bad_headers(records).collect()] == ["@RG bad"]
     df = spark.createDataFrame([("f", 0, "a", 1), ("f", 1, "a", 0), ("f", 2, "b", 0), ("f", 3, "a", 0), ("g", 0, "a", 1)], "file string, n int, ref string, pos int")
     assert {r.file: r.out_of_order for r in intervals.unsorted(df, ["file"], "n", "ref", "pos").collect()} == {"f": 1, "g": 0}
+    assert {r.file: r.out_of_order for r in intervals.unsorted(df, ["file"], "n", "ref", "pos", first=1).collect()} == {"f": 0, "g": 0}
+    r = random.Random(12)
+    rows = [(r.choice("fg"), i, r.choice("ab"), r.randint(0, 9)) for i in range(3000)]
+    bad = {}
+    for name in "fg":
+        own = [x for x in rows if x[0] == name]
+        bad[name] = sum(a[2] == b[2] and b[3] < a[3] for a, b in zip(own, own[1:]))
+    many = spark.createDataFrame(rows, df.schema).repartition(7)
+    assert {x.file: x.out_of_order for x in intervals.unsorted(many, ["file"], "n", "ref", "pos").collect()} == bad
 
 
 def test_overlaps_against_brute_force(spark):

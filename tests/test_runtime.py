@@ -17,6 +17,7 @@ def test_written_tables(spark):
 def test_bounded_broadcast(spark):
     plan = lambda df: spark.range(5).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(runtime.bounded_broadcast(spark.range(10), 10)) and "broadcast" not in plan(runtime.bounded_broadcast(spark.range(11), 10))
+    assert "broadcast" not in plan(runtime.bounded_broadcast(spark.range(10), 10, 50)) and "broadcast" in plan(runtime.bounded_broadcast(spark.range(0)))
 
 
 def test_keys_and_blanks(spark):
