@@ -17,6 +17,8 @@ from filament.runtime import bounded_broadcast, fold_key, is_blank, persisted
 
 #: A key with more than this share of all references is heavy. At most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.001
+#: Keys with no more references than this are never heavy.
+HEAVY_LEAST = 1_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +94,7 @@ def _checked_keys(refs: list[Reference]) -> tuple[DataFrame, DataFrame, DataFram
     rows = _rows(refs)
     keys = persisted(rows.groupBy("label", "load_no", "ns", "key").agg(F.count("*").alias("n")), "reference-keys")
     total = keys.agg(F.sum("n")).first()[0] or 0
-    keys = keys.withColumn("heavy", F.col("n") > F.lit(max(1_000, int(total * HEAVY_SHARE))))
+    keys = keys.withColumn("heavy", F.col("n") > F.lit(max(HEAVY_LEAST, int(total * HEAVY_SHARE))))
     targets = _targets(refs)
 
     def orphans(k: DataFrame, t: DataFrame) -> DataFrame:
@@ -125,12 +127,14 @@ def orphan_references(refs: list[Reference]) -> DataFrame:
     """
     rows, orphans, keys = _checked_keys(refs)
     of = ["label", "load_no", "ns", "key"]
-    hot = keys.where(F.col("heavy") & F.col("ns").isNotNull()).select(*of).join(F.broadcast(orphans.where("heavy").select(*of).withColumn("lost", F.lit(True))), of, "left")
-    hot = hot.select(*of, F.coalesce("lost", F.lit(False)).alias("lost"))
 
     def on(a: str, b: str) -> list:
         return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) if c == "load_no" else F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in of]
 
+    lost = orphans.where("heavy").select(*of, F.lit(True).alias("lost"))
+    hot = keys.where(F.col("heavy") & F.col("ns").isNotNull()).alias("k").join(F.broadcast(lost).alias("l"), on("k", "l"), "left")
+    hot = hot.select("k.label", "k.load_no", "k.ns", "k.key", F.coalesce("l.lost", F.lit(False)).alias("lost"))
+
     nameless = rows.where(F.col("ns").isNull())
     named = rows.where(F.col("ns").isNotNull()).alias("a").join(F.broadcast(hot).alias("h"), on("a", "h"), "left").select("a.*", "h.lost")
     light = orphans.where(~F.col("heavy") & F.col("ns").isNotNull()).select(*of)

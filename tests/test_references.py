@@ -39,6 +39,19 @@ def test_against_brute_force(spark, monkeypatch):
         assert counts.get(load, 0) == sum(x[2] == load for x in expected)
 
 
+def test_heavy_keys_without_load(spark, monkeypatch):
+    rows = [(i, None, "n", "hot", "c", 1) for i in range(30)] + [(100 + i, 1, "n", "hot", "c", 1) for i in range(30)] + [(200 + i, None, None, "hot", "c", 1) for i in range(30)]
+    rows += [(300 + i, load, "n", "known", "c", 1) for i in range(30) for load in (1, None)] + [(400, None, "n", "rare", "c", 1)]
+    targets = [("n", "known", 1, None, "x")]
+    expected = brute_force(rows, targets)
+    assert len(expected) == 121
+    for least in (5, 1_000):
+        monkeypatch.setattr(refs, "HEAVY_LEAST", least)
+        refers = make(spark, rows, targets)
+        assert sorted((tuple(x) for x in orphan_references(refers).collect()), key=str) == expected
+        assert sum(x.orphan_references for x in orphan_counts(refers).collect()) == len(expected)
+
+
 def test_empty_tables(spark):
     rows = [(1, 1, "n", "k", "c", 1)]
     assert orphan_references(make(spark, [], [("n", "k", 1, None, "x")])).count() == 0
