@@ -23,12 +23,101 @@ from filament.runtime import persisted
 
 #: Paths a merged schema may have; it follows the names used, not the number of records.
 MAX_PATHS = 20_000
+#: Levels of members a merged schema may have; what lies deeper is kept as JSON text.
+MAX_DEPTH = 100
 #: Where an object stands at a path at which others have a plain value, the value goes here.
 PLAIN = "plain_value"
 
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def parse(text: str) -> Any:
+    """json.loads, however deep the text is nested."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str) -> Any:
+    scan = json.JSONDecoder().raw_decode
+    skip = lambda at: _BLANKS.match(text, at).end()
+    holders: list[list | dict] = []
+    names: list[str | None] = []
+
+    def member(at: int) -> int:
+        if text[at : at + 1] != '"':
+            raise json.JSONDecodeError("Expecting a member", text, at)
+        names[-1], at = scan(text, at)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise json.JSONDecodeError("Expecting ':'", text, at)
+        return skip(at + 1)
+
+    at = skip(0)
+    while True:
+        sign = text[at : at + 1]
+        if sign in ("[", "{"):
+            value: Any = [] if sign == "[" else {}
+            at = skip(at + 1)
+            if text[at : at + 1] != ("]" if sign == "[" else "}"):
+                holders.append(value)
+                names.append(None)
+                at = at if sign == "[" else member(at)
+                continue
+            at += 1
+        else:
+            value, at = scan(text, at)
+        # a value has ended: it goes to its holder, and so does each holder that ends with it
+        while True:
+            at = skip(at)
+            if not holders:
+                if at < len(text):
+                    raise json.JSONDecodeError("Extra data", text, at)
+                return value
+            holder, sign = holders[-1], text[at : at + 1]
+            is_list = isinstance(holder, list)
+            if is_list:
+                holder.append(value)
+            else:
+                holder[names[-1]] = value
+            if sign == ",":
+                at = skip(at + 1)
+                at = at if is_list else member(at)
+                break
+            if sign != ("]" if is_list else "}"):
+                raise json.JSONDecodeError("Expecting ',' or an end", text, at)
+            at += 1
+            value = holders.pop()
+            names.pop()
+
+
+def write(v: Any) -> str:
+    """json.dumps with sorted members, however deep the value is nested."""
+    try:
+        return json.dumps(v, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[bool, Any]] = [(False, v)]
+    while todo:
+        is_text, x = todo.pop()
+        if is_text:
+            out.append(x)
+        elif isinstance(x, (dict, list)) and x:
+            pairs = [(json.dumps(k, ensure_ascii=False) + ": ", x[k]) for k in sorted(x)] if isinstance(x, dict) else [("", y) for y in x]
+            out.append("{" if isinstance(x, dict) else "[")
+            todo.append((True, "}" if isinstance(x, dict) else "]"))
+            for i in range(len(pairs) - 1, -1, -1):
+                todo += [(False, pairs[i][1]), (True, (", " if i else "") + pairs[i][0])]
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
 def snake(name: str) -> str:
     return _HUMP.sub("_", name).lower()
 
@@ -42,8 +131,8 @@ def read_value(v: Any) -> Any:
         if not t or t[0] not in '[{"':
             return v
         try:
-            got = json.loads(t)
-        except (ValueError, RecursionError):
+            got = parse(t)
+        except ValueError:
             return v
         if isinstance(got, str) and got == v:
             return v
@@ -68,15 +157,18 @@ def read_record(payload: str | None) -> dict | None:
     if not isinstance(payload, str):
         return None
     try:
-        got = json.loads(payload)
-    except (ValueError, RecursionError):
+        got = parse(payload)
+    except ValueError:
         return None
     return got if isinstance(got, dict) else None
 
 
-def _walk(obj: dict, path: tuple[str, ...], found: set[tuple[str, str]]) -> None:
+def _walk(obj: dict, path: tuple[str, ...], found: set[tuple[str, str]], levels: int) -> None:
     for name, v in members(obj).items():
         p = (*path, name)
+        if len(p) >= levels:
+            found.add(("/".join(p), "empty" if v is None or v == "" else "plain"))
+            continue
         items = [read_value(x) for x in v] if isinstance(v, list) else [v]
         objects = [x for x in items if isinstance(x, dict)]
         key = "/".join(p)
@@ -89,7 +181,7 @@ def _walk(obj: dict, path: tuple[str, ...], found: set[tuple[str, str]]) -> None
         for x in objects:
             if not isinstance(v, list):
                 found.add((key, "object"))
-            _walk(x, p, found)
+            _walk(x, p, found, levels)
 
 
 @dataclass
@@ -120,7 +212,10 @@ def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = N
 
     child_paths: paths (a/b/c) that are arrays of objects even if no record has one there.
     Each batch sends the distinct paths it has; the driver gets these few names only.
+    Payloads may be nested to any depth: an object or array below MAX_DEPTH members (or the
+    longest of child_paths, if that is more) is a plain value, its JSON text.
     """
+    levels = max([MAX_DEPTH, *(p.count("/") + 2 for p in child_paths or [])])
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[tuple[str, str]] = set()
@@ -128,10 +223,7 @@ def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = N
             for text in batch[payload]:
                 record = read_record(text)
                 if record is not None:
-                    try:
-                        _walk(record, (), found)
-                    except RecursionError:
-                        pass
+                    _walk(record, (), found, levels)
         yield pd.DataFrame(sorted(found), columns=["path", "kind"])
 
     seen = df.select(F.col(payload).cast("string").alias(payload)).mapInPandas(paths, "path string, kind string").distinct().limit(MAX_PATHS + 1).collect()
@@ -152,7 +244,7 @@ def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = N
 def _plain(v: Any) -> str | None:
     if v is None or isinstance(v, str):
         return v
-    return json.dumps(v, ensure_ascii=False, sort_keys=True)
+    return write(v)
 
 
 def shape(v: Any, node: Node) -> Any:
@@ -186,10 +278,7 @@ def shaped_records(df: DataFrame, key: str, payload: str, schema: Node) -> DataF
     def canonical(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> str | None:
             record = read_record(text)
-            try:
-                return None if record is None else json.dumps(_object(record, schema), ensure_ascii=True)
-            except RecursionError:
-                return None
+            return None if record is None else json.dumps(_object(record, schema), ensure_ascii=True)
 
         return pd.Series([one(t) for t in texts], dtype=object)
 

@@ -1,6 +1,9 @@
 import json
+import random
 
-from filament.operators.nested import array_paths, child_table, flat_tables, merged_schema, shaped_records
+import pytest
+
+from filament.operators.nested import _parse_deep, array_paths, child_table, flat_tables, merged_schema, parse, shaped_records, write
 
 PAYLOADS = [
     {"collections": [{"localId": "c0", "biosamples": {"local_id": "b0", "subjects": "[{\"local_id\": \"s0\"}, null, {\"localId\": 7}]"}}, None, "x", {"local_id": None, "biosamples": []}]},
@@ -41,3 +44,45 @@ def test_deep_and_long(spark):
     deep = "[" * 100_000 + "]" * 100_000
     df, schema, records = tables(spark, [{"collections": [{"local_id": "x" * 100_000}] * 300}], ['{"a": ' + deep + "}", '{"collections": ' + json.dumps(deep) + "}"])
     assert child_table(records, "record_id", ["collections"]).count() == 300
+
+
+def test_deep_records_are_kept(spark):
+    levels = {"some": 300, "many": 5_000, "most": 30_000}
+    payloads = []
+    for name, n in levels.items():
+        deep = '{"a": ' * n + '"end"' + "}" * n
+        payloads.append('{"collections": [{"local_id": "%s", "beside": %s}], "name": "%s"}' % (name, deep, name))
+    df, schema, records = tables(spark, [], payloads)
+    kept = {r.record_id: r.record for r in records.collect()}
+    assert [kept[i].name for i in range(3)] == list(levels)
+    rows = child_table(records, "record_id", ["collections"]).collect()
+    assert sorted(r.item.local_id for r in rows) == sorted(levels)
+    for r in rows:  # every level is there: as members up to MAX_DEPTH, as JSON text below
+        n, v = 0, r.item.beside
+        while not isinstance(v, str):
+            v, n = v.a, n + 1
+        assert n + v.count('{"a": ') == levels[r.item.local_id] and v.count('"end"') == 1
+
+
+def test_deep_texts_are_read_and_written_like_others():
+    r = random.Random(2)
+
+    def value(depth):
+        kind = r.randrange(5 if depth else 3)
+        if kind < 3:
+            return r.choice([None, True, -1.5e30, 7, "", 'a"\\\n\u00e9', "[{"])
+        return [value(depth - 1) for _ in range(r.randrange(4))] if kind == 3 else {r.choice(["a", "b c", '"', ""]): value(depth - 1) for _ in range(r.randrange(4))}
+
+    for i in range(300):
+        text = json.dumps(value(5), indent=r.choice([None, 1]))
+        assert _parse_deep(text) == json.loads(text)
+        cut = text[: r.randrange(len(text) + 1)] + r.choice(["", ",", "}", "]", '"', ":"]) + text[r.randrange(len(text) + 1) :]
+        try:
+            expected = json.loads(cut)
+        except ValueError:
+            with pytest.raises(ValueError):
+                _parse_deep(cut)
+        else:
+            assert _parse_deep(cut) == expected
+    deep = '{"b": [1, {"é": [], "a": ' * 20_000 + "{}" + "}]}" * 20_000
+    assert write(parse(deep)).count('{"a": ') == 20_000 and write(parse(write(parse(deep)))) == write(parse(deep))
