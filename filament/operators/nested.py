@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,11 +21,13 @@ from pyspark.sql import types as T
 
 from filament.runtime import persisted
 
-#: Paths a merged schema may have; it follows the names used, not the number of records.
-MAX_PATHS = 20_000
+#: Paths a merged schema may have; beyond, objects with many different names are kept as JSON text,
+#: those with more than MAX_NAMES first.
+MAX_PATHS, MAX_NAMES = 20_000, 1_000
 #: Levels of members a merged schema may have; what lies deeper is kept as JSON text.
 MAX_DEPTH = 100
-#: Where an object stands at a path at which others have a plain value, the value goes here.
+#: Where an object stands at a path at which others have a plain value, the value goes here; so
+#: does the text of an object with too many names.
 PLAIN = "plain_value"
 
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -142,11 +144,13 @@ def read_value(v: Any) -> Any:
     return v
 
 
-def members(obj: dict) -> dict[str, Any]:
-    """An object's members by snake-case name; of two spellings of a name the one that is not null or empty holds."""
+def members(obj: dict, names: Container[str] | None = None) -> dict[str, Any]:
+    """An object's members by snake-case name, or those of names; of two spellings of a name the one that is not null or empty holds."""
     out: dict[str, Any] = {}
     for k, v in obj.items():
         name = snake(k)
+        if names is not None and name not in names:
+            continue
         if name not in out or out[name] in (None, "", [], {}):
             out[name] = read_value(v)
     return out
@@ -163,15 +167,36 @@ def read_record(payload: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
-def _walk(obj: dict, path: tuple[str, ...], found: set[tuple[str, str]], levels: int) -> None:
-    for name, v in members(obj).items():
-        p = (*path, name)
-        if len(p) >= levels:
-            found.add(("/".join(p), "empty" if v is None or v == "" else "plain"))
+def _escape(name: str) -> str:
+    return name.replace("~", "~0").replace("/", "~1")
+
+
+def _unescape(name: str) -> str:
+    return name.replace("~1", "/").replace("~0", "~")
+
+
+def _wanted(child_paths: list[str], only: list[str]) -> dict[str, Any]:
+    """The paths as a tree of names; below the end of an only path everything is wanted, which is None there."""
+    root: dict[str, Any] = {}
+    for path in [*child_paths, *only]:
+        node, parts = root, path.split("/")
+        for i, part in enumerate(parts):
+            if path in only and i == len(parts) - 1:
+                node[part] = None
+            node = node.setdefault(part, {})
+            if node is None:
+                break
+    return root
+
+
+def _walk(obj: dict, path: str, found: set[tuple[str, str]], levels: int, wanted: dict[str, Any] | None) -> None:
+    for name, v in members(obj, wanted).items():
+        key = f"{path}/{_escape(name)}"
+        if levels <= 1:
+            found.add((key, "empty" if v is None or v == "" else "plain"))
             continue
         items = [read_value(x) for x in v] if isinstance(v, list) else [v]
         objects = [x for x in items if isinstance(x, dict)]
-        key = "/".join(p)
         if isinstance(v, list):
             found.add((key, "children" if objects else "list"))
         elif not objects and v is not None and v != "":
@@ -181,7 +206,7 @@ def _walk(obj: dict, path: tuple[str, ...], found: set[tuple[str, str]], levels:
         for x in objects:
             if not isinstance(v, list):
                 found.add((key, "object"))
-            _walk(x, p, found, levels)
+            _walk(x, key, found, levels - 1, None if wanted is None else wanted[name])
 
 
 @dataclass
@@ -195,6 +220,10 @@ class Node:
     def many(self) -> bool:
         return "children" in self.kinds
 
+    @property
+    def wide(self) -> bool:
+        return "wide" in self.kinds
+
     @property
     def has_objects(self) -> bool:
         return bool(self.kinds & {"children", "object"})
@@ -207,15 +236,21 @@ class Node:
         return T.ArrayType(struct) if self.many else struct
 
 
-def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = None) -> Node:
+def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = None, only: list[str] | None = None) -> Node:
     """The schema of all payloads together, from all records.
 
     child_paths: paths (a/b/c) that are arrays of objects even if no record has one there.
+    only: paths to which the schema is cut, with all that lies below them; None is all paths.
     Each batch sends the distinct paths it has; the driver gets these few names only.
     Payloads may be nested to any depth: an object or array below MAX_DEPTH members (or the
-    longest of child_paths, if that is more) is a plain value, its JSON text.
+    longest of child_paths and only, if that is more) is a plain value, its JSON text. Nor
+    do names that are data (objects keyed by id) make the schema grow: beyond MAX_PATHS the
+    objects at the paths with most names have the members of child_paths and only, and their
+    whole JSON text as PLAIN; at the root, too.
     """
-    levels = max([MAX_DEPTH, *(p.count("/") + 2 for p in child_paths or [])])
+    asked = [*(child_paths or []), *(only or [])]
+    levels = max([MAX_DEPTH, *(p.count("/") + 2 for p in asked)])
+    wanted = None if only is None else _wanted(child_paths or [], only)
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[tuple[str, str]] = set()
@@ -223,24 +258,58 @@ def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = N
             for text in batch[payload]:
                 record = read_record(text)
                 if record is not None:
-                    _walk(record, (), found, levels)
+                    _walk(record, "", found, levels, wanted)
+                if len(found) > MAX_PATHS:
+                    yield pd.DataFrame(sorted(found), columns=["path", "kind"])
+                    found.clear()
         yield pd.DataFrame(sorted(found), columns=["path", "kind"])
 
-    seen = df.select(F.col(payload).cast("string").alias(payload)).mapInPandas(paths, "path string, kind string").distinct().limit(MAX_PATHS + 1).collect()
+    every = df.select(F.col(payload).cast("string").alias(payload)).mapInPandas(paths, "path string, kind string").distinct()
+    seen = [tuple(r) for r in every.limit(MAX_PATHS + 1).collect()]
     if len(seen) > MAX_PATHS:
-        raise ValueError(f"the payloads have more than {MAX_PATHS} paths: names are data there, not a schema")
+        seen = _few_paths(persisted(every, "paths"))
     root = Node({"object"})
-    for path, kind in [*((r.path, r.kind) for r in seen), *((p, "children") for p in child_paths or [])]:
+
+    def at(parts: list[str], kind: str | None) -> None:
         node = root
-        parts = path.split("/")
         for i, part in enumerate(parts):
             node = node.below.setdefault(part, Node())
             if i < len(parts) - 1 and not node.has_objects:
                 node.kinds.add("object")
-        node.kinds.add(kind)
+        if kind:
+            node.kinds.add(kind)
+
+    for path, kind in seen:
+        at([_unescape(x) for x in path.split("/")[1:]], kind)
+    for path in child_paths or []:
+        at(path.split("/"), "children")
+    for path in only or []:
+        at(path.split("/"), None)
     return root
 
 
+def _few_paths(seen: DataFrame) -> list[tuple[str, str]]:
+    """(path, kind) without what lies below objects with many names, at most MAX_PATHS; these have the kind "wide", too.
+
+    How many names an object may have follows from all paths together, so the result does not
+    depend on the order or the partitions of the records.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    lines = persisted(seen.select("path", "kind", above.alias("above")), "path-lines")
+    names = persisted(lines.groupBy(F.element_at("above", -1).alias("path")).agg(F.count_distinct("path").alias("names")), "path-names")
+    most = MAX_NAMES
+    while True:
+        wide = names.where(F.col("names") > most).select("path")
+        below = lines.select("path", F.explode("above").alias("up")).join(wide.withColumnRenamed("path", "up"), "up", "left_semi").select("path").distinct()
+        kept = lines.select("path", "kind").join(below, "path", "left_anti")
+        marks = kept.select("path").union(seen.sparkSession.createDataFrame([("",)], "path string")).distinct().join(wide, "path", "left_semi")
+        out = kept.union(marks.select("path", F.lit("wide"))).limit(MAX_PATHS + 1).collect()
+        if len(out) <= MAX_PATHS or most == 0:
+            return [tuple(r) for r in out]
+        most //= 2
+
+
 def _plain(v: Any) -> str | None:
     if v is None or isinstance(v, str):
         return v
@@ -268,7 +337,10 @@ def shape(v: Any, node: Node) -> Any:
 
 
 def _object(obj: dict, node: Node) -> dict[str, Any]:
-    return {k: shape(v, node.below[k]) for k, v in members(obj).items() if k in node.below}
+    out = {k: shape(v, node.below[k]) for k, v in members(obj, node.below).items()}
+    if node.wide:
+        out[PLAIN] = _plain(obj)
+    return out
 
 
 def shaped_records(df: DataFrame, key: str, payload: str, schema: Node) -> DataFrame:

@@ -101,7 +101,8 @@ CHILDREN = {
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     prepare(spark)
     df = table(spark, d, "file_document")
-    schema = nested.merged_schema(df, "payload", ["/".join(p).replace(".", "/") for p, _ in CHILDREN.values()])
+    paths = {"/".join(p).replace(".", "/"): name for p, name in CHILDREN.values()}
+    schema = nested.merged_schema(df, "payload", list(paths), [f"{p}/{name}" for p, name in paths.items()])
     records = nested.shaped_records(df, "record_id", "payload", schema)
     out = None
     for kind, (path, name) in CHILDREN.items():

@@ -3,7 +3,9 @@ import random
 
 import pytest
 
+from filament.operators import nested
 from filament.operators.nested import _parse_deep, array_paths, child_table, flat_tables, merged_schema, parse, shaped_records, write
+from filament.plans.data_problems import p5_found
 
 PAYLOADS = [
     {"collections": [{"localId": "c0", "biosamples": {"local_id": "b0", "subjects": "[{\"local_id\": \"s0\"}, null, {\"localId\": 7}]"}}, None, "x", {"local_id": None, "biosamples": []}]},
@@ -86,3 +88,50 @@ def test_deep_texts_are_read_and_written_like_others():
             assert _parse_deep(cut) == expected
     deep = '{"b": [1, {"é": [], "a": ' * 20_000 + "{}" + "}]}" * 20_000
     assert write(parse(deep)).count('{"a": ') == 20_000 and write(parse(write(parse(deep)))) == write(parse(deep))
+
+
+def test_names_that_are_data(spark, tmp_path):
+    by_id = {f"urn:{i}/x~1": {"v": i} for i in range(12_000)}
+    payloads = [{"collections": [{"local_id": "c0", "by_id": by_id, "biosamples": {"localId": "b0"}}], "by_id": by_id}, {"extra": {"fourdn": {"extra_files": [{"href": "h"}, {"href": {"at": 1}}]}}}]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "record_id long, payload string")
+    df.write.parquet(f"{tmp_path}/file_document.parquet")
+    found = sorted(tuple(x) for x in p5_found(spark, str(tmp_path)).collect())
+    assert found == [(0, "biosample", "0.0", "b0"), (0, "collection", "0", "c0"), (1, "extra_file", "0", "h"), (1, "extra_file", "1", '{"at":"1"}')]
+
+
+@pytest.mark.parametrize("where", ["inner", "root", "product"])
+def test_objects_with_too_many_names_are_kept_as_text(spark, monkeypatch, where):
+    monkeypatch.setattr(nested, "MAX_PATHS", 60)
+    monkeypatch.setattr(nested, "MAX_NAMES", 20)
+    if where == "product":  # no object has many names, but there are many paths
+        payloads = [{"name": f"n{i}", "top": {f"a{i}": {f"b{j}": {"c": i * j} for j in range(8)}}, "list": [{"localId": i}, "x"]} for i in range(15)]
+    elif where == "inner":
+        payloads = [{"name": f"n{i}", "top": {f"k/{i}/{j}": {"v": [1, {"é": j}]} for j in range(8)}, "list": [{"localId": i}, "x"]} for i in range(15)]
+    else:
+        payloads = [{f"k/{i}/{j}": {"v": j} for j in range(8)} | {"list": [{"localId": i}, "x"]} for i in range(15)]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(payloads)], "record_id long, payload string")
+    for parts in (1, 4):
+        split = df.repartition(parts)
+        schema = merged_schema(split, "payload", ["list"])
+        records = shaped_records(split, "record_id", "payload", schema)
+        got = {r.record_id: r.record for r in records.collect()}
+        assert len(got) == len(payloads)
+        for i, p in enumerate(payloads):
+            if where == "root":
+                assert json.loads(got[i].plain_value) == p
+            elif where == "inner":
+                assert (got[i].name, json.loads(got[i].top.plain_value)) == (p["name"], p["top"])
+            else:
+                top = got[i].top
+                assert got[i].name == p["name"] and json.loads(top.plain_value or top[f"a{i}"].plain_value) in (p["top"], p["top"][f"a{i}"])
+        rows = child_table(records, "record_id", ["list"])
+        if where != "root":
+            assert sorted((r.record_id, r.ordinal, r.item.local_id) for r in rows.collect()) == [(i, 0, str(i)) for i in range(15)]
+        else:
+            assert sorted((r.record_id, r.ordinal) for r in rows.collect()) == [(i, 0) for i in range(15)]
+
+
+def test_schema_cut_to_paths(spark):
+    df, *_ = tables(spark, PAYLOADS)
+    schema = merged_schema(df, "payload", ["collections"], ["collections/local_id"])
+    assert list(schema.below) == ["collections"] and list(schema.below["collections"].below) == ["local_id"]
