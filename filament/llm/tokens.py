@@ -96,6 +96,8 @@ class Encoder:
         # merges the pairs of one slice as it is given
         self._merge = tiktoken.Encoding("slices", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self._bytes = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self._bytes[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
         self._reset()
 
     def _reset(self) -> None:
@@ -120,16 +122,17 @@ class Encoder:
         self._n_ids += len(flat)
         self._known.update(zip(new, range(at, at + len(new)), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], offsets: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Ids of all texts in one array, where each text's ids begin (one more entry at the end), and each id's first character.
 
-        The characters count from the beginning of the joined texts; all ids of a slice have its first one.
+        The characters count from the beginning of the joined texts; an id that begins within
+        a character has that one. They are None without offsets.
         """
         joined = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(lengths) - lengths
         if not joined:
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64) if offsets else None
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.flatnonzero(boundaries(points, begin[lengths > 0]))
         ends = np.append(starts[1:], len(points))
@@ -148,7 +151,13 @@ class Encoder:
         where = np.searchsorted(starts, np.append(begin, len(points)))
         tokens_before = np.append(0, upto)
         self._forget(slices, missing)
-        return ids, tokens_before[where], np.repeat(starts, count)
+        return ids, tokens_before[where], self._characters(points, ids) if offsets else None
+
+    def _characters(self, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The character in which each id's bytes begin."""
+        width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        length = self._bytes[ids]
+        return np.searchsorted(np.cumsum(width) - width, np.cumsum(length) - length, side="right") - 1
 
     def _forget(self, slices: list[str], missing: np.ndarray) -> None:
         """Long slices are no words and do not come again: they leave the cache with the next reset."""
@@ -183,6 +192,11 @@ def _cuts(text: str) -> list[str]:
 
 def encode_batches(texts: list[str], enc: Encoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of texts, ids, first id of each text) of consecutive texts, a bounded number of characters at a time."""
+    return (x[:3] for x in batches_with_offsets(texts, enc, False))
+
+
+def batches_with_offsets(texts: list[str], enc: Encoder, offsets: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """encode_batches() with each id's first character, from the beginning of its text; None without offsets."""
     at = 0
     while at < len(texts):
         stop, chars = at, 0
@@ -190,11 +204,21 @@ def encode_batches(texts: list[str], enc: Encoder) -> Iterator[tuple[int, np.nda
             chars += len(texts[stop])
             stop += 1
         if chars > BATCH_CHARS:  # one very long text
-            ids = np.concatenate([enc.encode([part])[0] for part in _cuts(texts[at])])
-            yield 1, ids, np.array([0, len(ids)])
+            begin, many, characters = 0, [], []
+            for part in _cuts(texts[at]):
+                ids, _, where = enc.encode([part], offsets)
+                many.append(ids)
+                if offsets:
+                    characters.append(begin + where)
+                begin += len(part)
+            ids = np.concatenate(many)
+            yield 1, ids, np.array([0, len(ids)]), np.concatenate(characters) if offsets else None
         else:
-            ids, offsets, _ = enc.encode(texts[at:stop])
-            yield stop - at, ids, offsets
+            ids, first, where = enc.encode(texts[at:stop], offsets)
+            if offsets:
+                lengths = np.fromiter(map(len, texts[at:stop]), np.int64, stop - at)
+                where = where - np.repeat(np.cumsum(lengths) - lengths, np.diff(first))
+            yield stop - at, ids, first, where
         at = stop
 
 
@@ -206,23 +230,30 @@ def _texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
         return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
 
 
-def token_ids(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_ids(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, offsets: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each text, without special tokens; what spells one is ordinary text.
 
+    offsets: name of a third column with the character (code point, from 0) of the text in
+    which each id begins; ids that share a character have the same. Bytes that are no UTF-8
+    count as the replacement characters they become.
     Null and empty texts have the empty list. Repeated rows stay. No rows are moved.
     """
 
+    names = [key, "ids"] if offsets is None else [key, "ids", offsets]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, vocabulary)
         for batch in batches:
             at = 0
-            for n, ids, offsets in encode_batches(_texts(batch.column(1)), enc):
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), lists], names=[key, "ids"])
+            for n, ids, first, where in batches_with_offsets(_texts(batch.column(1)), enc, offsets is not None):
+                begin = pa.array(first.astype(np.int32))
+                lists = [pa.ListArray.from_arrays(begin, pa.array(x)) for x in ([ids] if where is None else [ids, where.astype(np.int32)])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *lists], names=names)
                 at += n
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
+    schema = ", ".join([f"`{key}` {kind}", *(f"`{x}` array<int>" for x in names[1:])])
+    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(encode, schema)
 
 
 def decode_ids(df: DataFrame, key: str, ids: str = "ids", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -71,3 +71,17 @@ def test_table_and_round_trip(spark):
 def test_bytes_that_are_no_text(spark):
     df = spark.range(1).select(F.col("id").alias("doc_id"), F.lit(b"a\xff b").cast("string").alias("text"))
     assert tokens.decode_ids(tokens.token_ids(df, "doc_id", "text"), "doc_id").first().text == "a� b"
+
+
+def test_offsets_of_all_ids(spark, reference, monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_CHARS", 500)
+    r = random.Random(4)
+    texts = ["".join(r.choices(PIECES, k=r.randint(0, 14))) for _ in range(2000)] + [" ".join(r.choice(["don't", "x" * 30, "日本語😀", "\n\n "]) for _ in range(2000)), "", "é"]
+    enc, got = tokens.encoder(tokens.TOKENIZERS, tokens.VOCABULARY), []
+    for n, ids, first, where in tokens.batches_with_offsets(texts, enc):
+        got += [(ids[first[i] : first[i + 1]].tolist(), where[first[i] : first[i + 1]].tolist()) for i in range(n)]
+    assert got == [(ids, reference.decode_with_offsets(ids)[1]) for ids in map(reference.encode_ordinary, texts)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[-200:], None])], "doc_id long, text string")
+    table = tokens.token_ids(df, "doc_id", "text", offsets="offsets")
+    assert table.dtypes == [("doc_id", "bigint"), ("ids", "array<int>"), ("offsets", "array<int>")]
+    assert {x.doc_id: (x.ids, x.offsets) for x in table.collect()} == dict(enumerate([*got[-200:], ([], [])]))
