@@ -3,14 +3,16 @@
 Each load is reduced to a count by value. What is kept is the signed change of every count
 from one load to the next; the counts as of a load are the running sums of these deltas, and
 null rates, distinct counts, ranges, medians, entropy, pattern violations and distribution
-changes are exact functions of them. The rows of a load are never read again.
+changes are exact functions of them. With a folder to keep the deltas in (keep_deltas) they
+are carried on from call to call and only new loads are counted; without one nothing is kept.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filament.runtime import bounded_broadcast, is_blank, persisted
@@ -59,6 +61,12 @@ class Loads:
             found.setdefault(t, []).append(n)
         self.of = found
 
+    @classmethod
+    def named(cls, of: dict[str, list[int]]) -> Loads:
+        out = cls.__new__(cls)
+        out.of = of
+        return out
+
     def _map(self, pairs: list[tuple[str, int, int]]) -> Column:
         """Load that the pairs name for table_name and load_no, else null."""
         if not pairs:
@@ -94,6 +102,77 @@ def count_deltas(counts: DataFrame, loads: Loads) -> DataFrame:
     return both.groupBy(*of, "load_no").agg(F.sum("delta").alias("delta")).where("delta <> 0")
 
 
+def _loads_of(cols: list[ProfiledColumn]) -> dict[tuple[str, str], dict[int, int]]:
+    """Rows by load of each table and column; only load_no is read, once a table."""
+    out: dict[tuple[str, str], dict[int, int]] = {}
+    for df in dict.fromkeys(c.df for c in cols):
+        rows = {r[0]: r[1] for r in df.groupBy(F.col("load_no").cast("int")).count().collect() if r[0] is not None}
+        out |= {(c.table_name, c.column): rows for c in cols if c.df is df}
+    return out
+
+
+def _latest(spark: SparkSession, path: str) -> int:
+    """The last version of kept deltas that was written to its end, 0 if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/loads/_SUCCESS"))]
+    return max(whole, default=0)
+
+
+def keep_deltas(cols: list[ProfiledColumn], path: str) -> tuple[DataFrame, Loads]:
+    """The deltas of all loads, those kept in path carried on by the loads that are new there, which only are counted.
+
+    The tables hold all loads. A kept load that has another number of rows now, or a new one
+    before a kept one, is counted again, with all that come after it; a load whose values
+    were changed in place is not noticed. Every version is a folder of its own, complete once its
+    loads are written; two calls must not write to one path at a time.
+    """
+    spark = cols[0].df.sparkSession
+    version, now = _latest(spark, path), _loads_of(cols)
+    kept, known = None, {}
+    if version:
+        kept = spark.read.parquet(f"{path}/v{version}/deltas")
+        for r in spark.read.parquet(f"{path}/v{version}/loads").collect():
+            known.setdefault((r.table_name, r.column_name), {})[r.load_no] = r.rows
+    loads = Loads.named({t: sorted({n for (u, _), rows in now.items() if u == t for n in rows}) for t, _ in now})
+    # of each column, the first load that is not as it was kept; counted from there
+    since = {}
+    for of, rows in now.items():
+        old = known.get(of, {})
+        since[of] = min((n for n in {*rows, *old} if rows.get(n) != old.get(n)), default=None)
+    if version and all(n is None for n in since.values()) and known.keys() == now.keys():
+        return kept, loads
+
+    named = lambda of: (F.col("table_name") == of[0]) & (F.col("column_name") == of[1])
+    any_of = lambda tests: functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+    new = None
+    for n in {n for n in since.values() if n is not None}:
+        group = [c for c in cols if since[c.table_name, c.column] == n]
+        cut = {df: df.where(F.col("load_no").cast("int") >= n) for df in dict.fromkeys(c.df for c in group)}
+        counts = value_counts([replace(c, df=cut[c.df]) for c in group])
+        new = counts if new is None else new.unionByName(counts)
+    deltas = None
+    if kept is not None:
+        # what stays, and the counts that it leaves, as those of the last load before the new ones
+        deltas = kept.where(any_of([named(of) & (F.lit(True) if n is None else F.col("load_no") < n) for of, n in since.items()]))
+        for of, n in since.items():
+            last = max((x for x in now[of] if n is not None and x < n), default=None)
+            if last is not None and new is not None:
+                state = deltas.where(named(of)).groupBy("table_name", "column_name", "value").agg(F.sum("delta").alias("n")).where("n <> 0")
+                new = new.unionByName(state.withColumn("load_no", F.lit(last)))
+    if new is not None:
+        changed = count_deltas(persisted(new, "value-counts"), loads).where(any_of([named(of) & (F.col("load_no") >= n) for of, n in since.items() if n is not None]))
+        deltas = changed if deltas is None else deltas.unionByName(changed)
+    lines = [(*of, n, rows) for of, by_load in now.items() for n, rows in by_load.items()]
+    target = f"{path}/v{version + 1}"
+    if deltas is None:
+        deltas = count_deltas(value_counts(cols), loads)
+    deltas.write.mode("overwrite").parquet(f"{target}/deltas")
+    spark.createDataFrame(lines, "table_name string, column_name string, load_no int, rows long").coalesce(1).write.mode("overwrite").parquet(f"{target}/loads")
+    return spark.read.parquet(f"{target}/deltas"), loads
+
+
 def counts_as_of(deltas: DataFrame, loads: Loads) -> DataFrame:
     """(table_name, column_name, load_no, value, n): the maintained counts after each load, zero counts left out.
 
@@ -143,7 +222,7 @@ class Profile:
     counts: DataFrame
 
 
-def profile(cols: list[ProfiledColumn]) -> Profile:
+def profile(cols: list[ProfiledColumn], kept: str | None = None) -> Profile:
     """Exact metrics of each column in each load.
 
     metrics has table_name, column_name, load_no, prior_load_no, numeric, rows, blanks, distinct_values,
@@ -152,10 +231,16 @@ def profile(cols: list[ProfiledColumn]) -> Profile:
     RANGE) and shift. Blank texts and nulls are blanks. The first load has a null
     prior_load_no and shift; shift is null, too, where either load has only blanks. Rows
     with a null load_no belong to no load. Empty tables have no rows.
+
+    kept: folder in which the deltas are kept, see keep_deltas(); without one all loads are
+    counted in each call.
     """
-    counts = persisted(value_counts(cols), "value-counts")
-    loads = Loads(counts)
-    deltas = persisted(count_deltas(counts, loads), "count-deltas")
+    if kept is not None:
+        deltas, loads = keep_deltas(cols, kept)
+    else:
+        counts = persisted(value_counts(cols), "value-counts")
+        loads = Loads(counts)
+        deltas = persisted(count_deltas(counts, loads), "count-deltas")
     state = persisted(counts_as_of(deltas, loads), "counts-as-of")
     by = ["table_name", "column_name", "load_no"]
 

@@ -1,6 +1,6 @@
 """What was added, removed or changed between consecutive full snapshots.
 
-Keys get ordinals that are written once and stay. A snapshot is then a compressed bitmap of
+Keys get ordinals that are written once a call; none are kept between calls. A snapshot is then a compressed bitmap of
 ordinals, cut into chunks, beside column vectors aligned with the ordinals: bitmap AND-NOT
 gives additions and removals, comparing the vectors gives the changes among common keys.
 """

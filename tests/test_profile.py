@@ -1,6 +1,7 @@
 import random
 import statistics
 
+from filament.operators import profile as profiles
 from filament.operators.profile import ProfiledColumn, medians, out_of_line, profile
 
 
@@ -47,3 +48,35 @@ def test_empty_and_blank_loads(spark):
     text = [(1, None, None, 1)] * 3 + [(2, "a", None, 1)] * 3 + [(None, "a", None, 1)]
     found = [(x.load_no, x.finding) for x in out_of_line(profile(columns(spark, text, [(1, None, "x"), (2, 5, "x"), (3, 0, "x"), (4, 0, "x")]))).where("table_name = 't'").collect()]
     assert found == [(2, "null_rate")]
+
+
+def test_kept_deltas(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    text = [(load, r.choice(["a", "b", "c", " ", None]), "x", 1) for load in (2, 3, 5, 7, 8) for _ in range(r.randint(5, 40))]
+    text += [(4, *x[1:]) for x in text if x[0] == 3]  # a load without any change
+    numbers = [(load, r.choice([None, -1, 5, 10**16, r.randrange(1000)]), "x") for load in (2, 3, 7, 8) for _ in range(30)]
+    counted = []
+
+    def count(cols, real=profiles.value_counts):
+        out = real(cols)
+        counted.extend(sorted({(x.table_name, x.load_no) for x in out.collect()}))
+        return out
+
+    def rows(p):
+        return sorted((tuple(x) for x in p.metrics.drop("shift", "entropy").collect()), key=str), sorted((tuple(x) for x in out_of_line(p).collect()), key=str), sorted((tuple(x) for x in p.counts.collect()), key=str)
+
+    later = [(3, "late", "x", 1)]
+    for t, n, expected in [
+        ([x for x in text if x[0] < 4], [x for x in numbers if x[0] < 3], [("n", 2), ("t", 2), ("t", 3)]),
+        ([x for x in text if x[0] < 8], [x for x in numbers if x[0] < 8], [("n", 3), ("n", 7), ("t", 4), ("t", 5), ("t", 7)]),
+        ([x for x in text if x[0] < 8], [x for x in numbers if x[0] < 8], []),
+        (text, numbers, [("n", 8), ("t", 8)]),
+        (text + later, numbers, [("t", 3), ("t", 4), ("t", 5), ("t", 7), ("t", 8)]),
+        ([x for x in text if x[0] != 5], numbers, [("t", 3), ("t", 4), ("t", 7), ("t", 8)]),
+    ]:
+        whole = rows(profile(columns(spark, t, n)))
+        counted.clear()
+        with monkeypatch.context() as m:
+            m.setattr(profiles, "value_counts", count)
+            kept = rows(profile(columns(spark, t, n), f"{tmp_path}/kept"))
+        assert kept == whole and sorted(counted) == expected
