@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filament.runtime import bounded_broadcast, is_blank
+from filament.runtime import is_blank
 
 #: Words of the high-frequency list, and the share of documents a word must be in.
 LIST_SIZE, LEAST_SHARE = 5_000, 0.002
@@ -208,4 +208,4 @@ def reading_levels(docs: DataFrame, labels: DataFrame, corpus: DataFrame, key: s
 
     texts = docs.select(key, F.col(text).cast("string").alias("text")).where(~is_blank(F.col("text")))
     graded = texts.mapInPandas(grade, schema)
-    return graded.join(bounded_broadcast(labels.select(key).where(F.col(key).isNotNull()).distinct()), key, "left_anti")
+    return graded.join(labels.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
