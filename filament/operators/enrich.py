@@ -9,7 +9,7 @@ from filament.functions import ontology, scalars
 from filament.functions.scalars import nonempty
 from filament.operators import flatten
 from filament.operators.ordered import first_contained, first_wins, last_wins
-from filament.runtime import bounded_broadcast
+
 
 NAMESPACE, SITE = "https://www.encodeproject.org/", "https://www.encodeproject.org"
 
@@ -118,7 +118,7 @@ def experiment_documents(rows: DataFrame, annotation: bool = False, dcc: dict[st
 def update_columns(df: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """df with the columns that a row of updates (one a key) sets; nulls and blanks there set nothing."""
     right = updates.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in columns))
-    out = df.join(bounded_broadcast(right), df[key] == F.col("_key"), "left")
+    out = df.join(right, df[key] == F.col("_key"), "left")
     for c in columns:
         new = F.nullif(F.col(f"_{c}"), F.lit("")) if dict(right.dtypes)[f"_{c}"] == "string" else F.col(f"_{c}")
         out = out.withColumn(c, F.coalesce(new, F.col(c)) if c in df.columns else new)
@@ -135,7 +135,7 @@ def enrich_files(files: DataFrame, found: DataFrame, tiers: DataFrame) -> DataFr
     found: accession, the SEARCH_COLUMNS, replicate_info, biosource_name and dataset, the last row of an accession holding. tiers: biosource_name, cell_line_tier.
     """
     one = last_wins(found.withColumn("accession", scalars.normalize_accession(F.col("accession"))), ["accession"], [c for c in found.columns if c != "accession"])
-    one = one.join(bounded_broadcast(tiers.select("biosource_name", "cell_line_tier").distinct()), "biosource_name", "left")
+    one = one.join(tiers.select("biosource_name", "cell_line_tier").distinct(), "biosource_name", "left")
     one = one.withColumnsRenamed(SEARCH_COLUMNS).withColumns({"biological_replicates": scalars.replicate(F.col("replicate_info"), "Biorep"), "technical_replicates": scalars.replicate(F.col("replicate_info"), "Techrep")})
     keyed = files.withColumn("accession", scalars.extract_accession(F.col("persistent_id")))
     return update_columns(keyed, one, "accession", [c for c in one.columns if c != "accession"]).drop("accession")
@@ -155,13 +155,13 @@ def prune_restricted(files: DataFrame, links: DataFrame, collections: DataFrame,
     """
     closed = datasets.where(F.coalesce(F.col("data_access_level"), F.lit("")) != "public").select(F.col("doi_url").alias("_doi")).distinct()
     of = F.col("submission") == submission
-    shut = collections.where(of).join(bounded_broadcast(closed), F.col("persistent_id") == F.col("_doi"), "left_semi")
+    shut = collections.where(of).join(closed, F.col("persistent_id") == F.col("_doi"), "left_semi")
     shut = shut.select(F.col("id_namespace").alias("collection_id_namespace"), F.col("local_id").alias("collection_local_id")).distinct()
     ckeys, fkeys = ["collection_id_namespace", "collection_local_id"], ["file_id_namespace", "file_local_id"]
     kept = links.join(shut, ckeys, "left_anti")
     orphans = links.join(shut, ckeys, "left_semi").select(*fkeys).distinct().join(kept.select(*fkeys).distinct(), fkeys, "left_anti")
     own = closed.withColumn("_submission", F.lit(submission))
-    left = files.join(bounded_broadcast(own), (F.col("persistent_id") == F.col("_doi")) & (F.col("submission") == F.col("_submission")), "left_anti")
+    left = files.join(own, (F.col("persistent_id") == F.col("_doi")) & (F.col("submission") == F.col("_submission")), "left_anti")
     any_shut = shut.limit(1).count() > 0  # without a matching collection nothing is deleted
     if not any_shut:
         return files, links

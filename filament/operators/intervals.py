@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filament.runtime import bounded_broadcast, persisted
+from filament.runtime import persisted
 
 #: Column of the start position by format, counted from 0; other columns are plain text.
 START_COLUMN = {"bed": 1, "narrowpeak": 1, "broadpeak": 1, "vcf": 1, "gff": 3, "gff3": 3, "gtf": 3, "sam": 3}
@@ -45,7 +45,7 @@ def coordinate_sorted(records: DataFrame) -> DataFrame:
     """Alignment records by the order of the reference names in the header (@SQ), unmapped (*) last, then position."""
     names = records.where(F.col("line").startswith("@SQ")).select(F.regexp_extract("line", r"\tSN:([^\t]+)", 1).alias("name"), "line_no")
     rank = names.select(F.col("name").alias("_name"), F.row_number().over(Window.orderBy("line_no")).alias("_rank"))  # as many rows as references
-    body = records.join(bounded_broadcast(rank), F.col("chrom") == F.col("_name"), "left")
+    body = records.join(rank, F.col("chrom") == F.col("_name"), "left")
     return body.orderBy(~F.col("is_header"), F.when(F.col("is_header"), F.col("line_no")), F.col("_rank").asc_nulls_last(), "start", "line").drop("_name", "_rank")
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filament.runtime import bounded_broadcast
-
 
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """df with the order of its rows as they are read. Write the result before it is read twice."""
@@ -49,7 +47,7 @@ def lookup(df: DataFrame, side: DataFrame, on: dict[str, str], name: str, order:
     cond = filled(*on)
     for i, c in enumerate(on):
         cond = cond & (df[c] == F.col(f"_k{i}"))
-    return df.join(bounded_broadcast(rows), cond, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    return df.join(rows, cond, "left").drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def collected(df: DataFrame, keys: list[str], value: Column, order: list[str], name: str) -> DataFrame:
@@ -69,7 +67,7 @@ def first_contained(df: DataFrame, side: DataFrame, text: str, token: str, keys:
     at = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(F.col(text), i, F.lit(n)))
     none = F.array().cast("array<string>")
     pieces = F.array_distinct(F.concat(none, *(F.when(F.char_length(text) >= n, at(n)).otherwise(none) for n in lengths)))
-    hits = df.select(*keys, F.explode(pieces).alias("_piece")).join(bounded_broadcast(some), F.col("_piece") == F.col(token))
+    hits = df.select(*keys, F.explode(pieces).alias("_piece")).join(some, F.col("_piece") == F.col(token))
     first = first_wins(hits.drop("_piece"), keys, order).withColumnsRenamed({k: f"_k_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:

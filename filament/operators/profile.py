@@ -15,7 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filament.runtime import bounded_broadcast, is_blank, persisted
+from filament.runtime import is_blank, persisted
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,7 @@ def profile(cols: list[ProfiledColumn], kept: str | None = None) -> Profile:
             terms = own if terms is None else terms.unionByName(own)
     known = state.withColumn("accepted", F.lit(None).cast("boolean"))
     if terms is not None:
-        known = state.join(bounded_broadcast(terms.withColumn("accepted", F.lit(True))), ["table_name", "column_name", "value"], "left")
+        known = state.join(terms.withColumn("accepted", F.lit(True)), ["table_name", "column_name", "value"], "left")
     which = lambda p: F.concat_ws("/", "table_name", "column_name").isin([f"{c.table_name}/{c.column}" for c in cols if p(c)])
     known = known.withColumn("numeric", which(lambda c: c.numeric))
     number = F.when(F.col("numeric"), F.expr("try_cast(value as bigint)"))

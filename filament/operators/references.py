@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filament.runtime import bounded_broadcast, fold_key, is_blank, persisted
+from filament.runtime import fold_key, is_blank, persisted
 
 #: A key with more than this share of all references is heavy. At most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.001
@@ -112,7 +112,7 @@ def _checked_keys(refs: list[Reference]) -> tuple[DataFrame, DataFrame, DataFram
     # heavy keys, bounded in number, go to the targets; the others are shuffled to them
     few = F.broadcast(keys.where("heavy").select("label", "ns", "key").distinct())
     heavy = orphans(keys.where("heavy"), targets.join(few, ["label", "ns", "key"], "left_semi"))
-    light = orphans(keys.where("not heavy"), bounded_broadcast(targets))
+    light = orphans(keys.where("not heavy"), targets)
     return rows, persisted(heavy.unionByName(light), "orphan-keys"), keys
 
 
@@ -138,7 +138,7 @@ def orphan_references(refs: list[Reference]) -> DataFrame:
     nameless = rows.where(F.col("ns").isNull())
     named = rows.where(F.col("ns").isNotNull()).alias("a").join(F.broadcast(hot).alias("h"), on("a", "h"), "left").select("a.*", "h.lost")
     light = orphans.where(~F.col("heavy") & F.col("ns").isNotNull()).select(*of)
-    rest = named.where(F.col("lost").isNull()).alias("r").join(bounded_broadcast(light).alias("o"), on("r", "o"), "left_semi")
+    rest = named.where(F.col("lost").isNull()).alias("r").join(light.alias("o"), on("r", "o"), "left_semi")
     found = nameless.unionByName(named.where("lost").drop("lost")).unionByName(rest.drop("lost"))
     names = F.split("label", r"\.", 2)
     return found.select(names[0].alias("table_name"), names[1].alias("field_name"), "load_no", "row_id")

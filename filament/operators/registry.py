@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filament.operators.ordered import first_wins
-from filament.runtime import bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -40,7 +39,7 @@ class Registry:
         cond = F.col("ord") > F.col("_first")
         for i, k in enumerate(self.keys):
             cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return real.join(bounded_broadcast(kept), cond).drop(*(f"_k{i}" for i in range(len(self.keys))))
+        return real.join(kept, cond).drop(*(f"_k{i}" for i in range(len(self.keys))))
 
     def _differs(self) -> Column:
         return ~F.struct(*self.columns).eqNullSafe(F.col("_kept"))

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filament.runtime import bounded_broadcast
-
 KEY = ["id_namespace", "local_id"]
 
 
 def file_view(t: dict[str, DataFrame]) -> DataFrame:
     """One row a file, with term names and every extension column."""
-    out = t["file"].join(bounded_broadcast(t["dcc"].select("submission", "dcc_abbreviation")), "submission")
+    out = t["file"].join(t["dcc"].select("submission", "dcc_abbreviation"), "submission")
     for name in ("file_format", "data_type", "assay_type"):
         terms = t[name].select(F.col("id").alias(name), F.col("name").alias(f"{name}_name"))
-        out = out.join(bounded_broadcast(terms), name, "left")
+        out = out.join(terms, name, "left")
     for name in ("file_extra_fourdn", "file_extra_encode", "file_extra_hubmap"):
         out = out.join(t[name], KEY, "left")
     return out
@@ -31,10 +29,10 @@ def file_biosample_view(t: dict[str, DataFrame]) -> DataFrame:
     f = _side(t["file"], "file", "submission", "filename", F.col("accession_id").alias("file_accession_id"))
     out = f.join(t["file_in_collection"], pair("file")).join(_side(t["collection"], "collection", F.col("name").alias("collection_name"), "experiment_type"), pair("collection"))
     out = out.join(t["biosample_in_collection"], pair("collection"), "left").join(_side(t["biosample"], "biosample", F.col("anatomy").alias("anatomy_id")), pair("biosample"), "left")
-    out = out.join(bounded_broadcast(t["anatomy"].select(F.col("id").alias("anatomy_id"), F.col("name").alias("anatomy_name"))), "anatomy_id", "left")
+    out = out.join(t["anatomy"].select(F.col("id").alias("anatomy_id"), F.col("name").alias("anatomy_name")), "anatomy_id", "left")
     out = out.join(t["biosample_from_subject"], pair("biosample"), "left").join(_side(t["subject"], "subject", "taxonomy"), pair("subject"), "left")
     taxa = t["ncbi_taxonomy"].select(F.col("id").alias("taxonomy"), F.col("name").alias("taxonomy_name"))
-    return out.join(bounded_broadcast(taxa), "taxonomy", "left").drop("taxonomy")
+    return out.join(taxa, "taxonomy", "left").drop("taxonomy")
 
 
 def subject_demographics_view(t: dict[str, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filament.operators import nested, packed, profile, references, snapshots, timestamps
-from filament.runtime import bounded_broadcast, fold_key, is_blank, prepare, table
+from filament.runtime import fold_key, is_blank, prepare, table
 
 
 # ------------------------------------------------------------------ 1 stamps
@@ -24,7 +24,7 @@ def stamps(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "c2m2_file").select(F.lit("c2m2_file").alias("table_name"), "row_id", "submission", F.col("creation_time").alias("stamp"))
     stats = table(spark, d, "dump_stat").select(F.lit("dump_stat").alias("table_name"), "row_id", "submission", timestamps.stamp_beside_label(F.col("name")).alias("stamp"))
     rows = files.unionByName(stats).where(~is_blank(F.col("stamp"))).withColumn("submission_key", fold_key(F.col("submission")))
-    rows = rows.join(bounded_broadcast(_clocks(spark, d)), "submission_key", "left")
+    rows = rows.join(_clocks(spark, d), "submission_key", "left")
     return rows.select("table_name", "row_id", "stamp", timestamps.utc_stamp(F.col("stamp"), F.col("time_zone"), F.col("date_order")).alias("utc_stamp"))
 
 

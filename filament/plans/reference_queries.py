@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from filament.functions import ontology, scalars
 from filament.operators import enrich, filters, flatten, integrity, intervals, materialize, matrix, nested, ordered, query, slices
 from filament.operators.registry import Registry
-from filament.runtime import bounded_broadcast, persisted, prepare, scratch_path, table
+from filament.runtime import persisted, prepare, scratch_path, scratch_tables, table
 from filament.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ def order_docs(spark: SparkSession, d: str) -> DataFrame:
     value = F.struct(F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"), part, F.struct(F.col("s_name").alias("name")).alias("supplier"))
     lists = ordered.collected(items, ["l_orderkey"], value, ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "items")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.struct(F.col("n_name").alias("name")).alias("nation"))
-    c = table(spark, d, "customer").join(bounded_broadcast(n), "c_nationkey", "left").select(F.col("c_custkey").alias("o_custkey"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), "nation").alias("customer"))
+    c = table(spark, d, "customer").join(n, "c_nationkey", "left").select(F.col("c_custkey").alias("o_custkey"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), "nation").alias("customer"))
     o = table(spark, d, "orders").join(c, "o_custkey", "left").join(lists, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
     return o.withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
 
@@ -203,7 +203,7 @@ def array_first_match(spark, d):
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, p_brand, s_name, n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 LEFT JOIN part ON p_partkey = l_partkey AND p_size < 25 LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey""")
 def view_wide(spark, d):
-    s = table(spark, d, "supplier").join(bounded_broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     out = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     out = out.join(table(spark, d, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left").join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderpriority", "p_brand", "s_name", "n_name")
@@ -213,7 +213,7 @@ def view_wide(spark, d):
 SELECT n_name, c_mktsegment, count(*) AS paths, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON c_custkey = o_custkey
 JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
 def view_fanout(spark, d):
-    out = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(bounded_broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    out = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     out = out.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"), "left")
     return out.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("paths"), F.count_distinct("o_orderkey").alias("orders"))
 
@@ -225,7 +225,7 @@ FROM c2m2_file f LEFT JOIN (SELECT id_namespace, local_id, max(abbreviation) AS
 ON p.id_namespace = f.project_id_namespace AND p.local_id = f.project_local_id""")
 def view_coalesce_source(spark, d):
     p = table(spark, d, "c2m2_project").groupBy(F.col("id_namespace").alias("_ns"), F.col("local_id").alias("_id")).agg(F.max("abbreviation").alias("abbreviation"))
-    f = table(spark, d, "c2m2_file").join(bounded_broadcast(p), (F.col("project_id_namespace") == F.col("_ns")) & (F.col("project_local_id") == F.col("_id")), "left")
+    f = table(spark, d, "c2m2_file").join(p, (F.col("project_id_namespace") == F.col("_ns")) & (F.col("project_local_id") == F.col("_id")), "left")
     source = F.when(F.col("genome_assembly").isNotNull(), "file.genome_assembly").when(F.col("abbreviation").isNotNull(), "project.abbreviation").when(F.col("data_type").isNotNull(), "file.data_type")
     return f.select("row_id", F.coalesce("genome_assembly", "abbreviation", "data_type").alias("label"), source.alias("label_source"))
 
@@ -762,7 +762,7 @@ def job_fold(spark, d):
 def job_fold_stream(spark, d):
     """T7, T8 as a stream with state by key; the last state of each job."""
     events = persisted(_job_events(spark, d), "job-events")
-    source = spark.readStream.schema(events.schema).parquet(spark._filament_scratch[-1])
+    source = spark.readStream.schema(events.schema).parquet(scratch_tables(spark)[-1])
     out, at = scratch_path(spark, "job-states"), scratch_path(spark, "job-stream")
 
     def write(batch: DataFrame, n: int) -> None:

@@ -1,4 +1,4 @@
-"""What every operator needs from the session: worker imports, the shared folder, bounded broadcasts."""
+"""What every operator needs from the session: worker imports, the shared folder, written intermediate tables."""
 
 from __future__ import annotations
 
@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
-#: Rows and bytes a side may have to be broadcast. It is measured first; a larger side is shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure there is a checkpoint folder.
 
@@ -28,6 +24,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     shared_dir(spark)
+    if hasattr(spark, "_filament_scratch"):
+        clean_scratch(spark, unused=True)
     return spark
 
 
@@ -52,29 +50,51 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/filament/{what}-{uuid.uuid4().hex}"
 
 
-def clean_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables of this session, once the results that read them are written; how many there were."""
-    paths = getattr(spark, "_filament_scratch", [])
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    spark._filament_scratch = []
-    return len(paths)
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_scratch(spark: SparkSession, unused: bool = False) -> int:
+    """Delete the intermediate tables of this session, or only those that no result refers to any more; how many there were."""
+    held = getattr(spark, "_filament_scratch", {})
+    gone = [path for path, used in held.items() if not unused or (used is not None and used.get() is None)]
+    for path in gone:
+        _delete(spark, path)
+        del held[path]
+    return len(gone)
+
+
+def scratch_tables(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables that are there, the newest last."""
+    return list(getattr(spark, "_filament_scratch", {}))
 
 
 def persisted(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it outlives lost executors."""
+    """Write df as a table in the shared folder and read it back: it outlives lost executors.
+
+    The table is deleted once nothing refers to it: its file index is held weakly, results
+    that read the table hold it through their plans, and each later call (and the end of the
+    process) deletes the tables whose index is gone.
+    """
     spark = df.sparkSession
+    if not hasattr(spark, "_filament_scratch"):
+        spark._filament_scratch = {}
+        atexit.register(_at_end, spark)
+    clean_scratch(spark, unused=True)
     path = scratch_path(spark, what)
-    spark._filament_scratch = [*getattr(spark, "_filament_scratch", []), path]
+    spark._filament_scratch[path] = None
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    spark._filament_scratch[path] = spark._jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location())
+    return out
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows and max_bytes of values; df itself (a shuffled side) beyond."""
-    size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return F.broadcast(df) if size[0] <= max_rows and (size[1] or 0) <= max_bytes else df
+def _at_end(spark: SparkSession) -> None:
+    try:
+        clean_scratch(spark)
+    except Exception:  # the session was stopped before
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,15 +9,32 @@ from filament import runtime
 def test_written_tables(spark):
     runtime.clean_scratch(spark)
     a = runtime.persisted(spark.range(3), "x")
-    path = spark._filament_scratch[0].removeprefix("file://")
+    path = runtime.scratch_tables(spark)[0].removeprefix("file://")
     assert a.count() == 3 and os.path.isdir(path)
     assert runtime.clean_scratch(spark) == 1 and not os.path.isdir(path) and runtime.clean_scratch(spark) == 0
 
 
-def test_bounded_broadcast(spark):
-    plan = lambda df: spark.range(5).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(runtime.bounded_broadcast(spark.range(10), 10)) and "broadcast" not in plan(runtime.bounded_broadcast(spark.range(11), 10))
-    assert "broadcast" not in plan(runtime.bounded_broadcast(spark.range(10), 10, 50)) and "broadcast" in plan(runtime.bounded_broadcast(spark.range(0)))
+def test_tables_end_with_their_results(spark):
+    import gc
+
+    runtime.clean_scratch(spark)
+
+    def result():
+        return runtime.persisted(spark.range(5), "x").where("id > 1").groupBy().count()
+
+    df = result()
+    gc.collect()
+    spark._jvm.System.gc()
+    runtime.prepare(spark)
+    assert len(runtime.scratch_tables(spark)) == 1 and df.first()[0] == 3
+    del df
+    for _ in range(20):
+        gc.collect()
+        spark._jvm.System.gc()
+        runtime.prepare(spark)
+        if not runtime.scratch_tables(spark):
+            break
+    assert not runtime.scratch_tables(spark)
 
 
 def test_keys_and_blanks(spark):
