@@ -1,21 +1,20 @@
 """Column profiles by load from maintained value counts.
 
-Each load is reduced to a count by value. What is kept is the signed change of every count
-from one load to the next; the counts as of a load are the running sums of these deltas, and
-null rates, distinct counts, ranges, medians, entropy, pattern violations and distribution
-changes are exact functions of them. With a folder to keep the deltas in (keep_deltas) they
-are carried on from call to call and only new loads are counted; without one nothing is kept.
+What is kept of a column is a table of its values with their counts, and the metrics of each
+load. A load is counted once; the signed differences from the kept counts are its deltas, and
+the counts plus these deltas are the counts to keep. Null rates, distinct counts, ranges,
+medians, entropy, pattern violations and distribution changes are exact functions of a
+load's counts and deltas, so the rows of a load are never read again.
 """
 
 from __future__ import annotations
 
-import functools
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filament.runtime import is_blank, persisted
+from filament.runtime import children, deleted, is_blank, persisted, scratch_folder, written
 
 
 @dataclass(frozen=True)
@@ -30,165 +29,118 @@ class ProfiledColumn:
 
 
 RANGE = (0, 10**15)
+_OF = ["table_name", "column_name", "value"]
+_BY = ["table_name", "column_name", "load_no"]
+#: What is kept of a load: every value that it or the load before has, how often the load has it, and how many more than the load before.
+COUNTS = "column_name string, value string, n long, delta long, load_no int, table_name string"
+METRICS = (
+    "column_name string, prior_load_no int, numeric boolean, rows long, blanks long, distinct_values long, violations long, low long, high long, entropy double, shift double, median double, load_no int, table_name string"
+)
 
 
-def value_counts(cols: list[ProfiledColumn]) -> DataFrame:
+def value_counts(cols: list[ProfiledColumn], after: dict[str, int] | None = None) -> DataFrame:
     """(table_name, column_name, load_no, value, n): how often each value occurs in each load; value null for blanks.
 
-    Blank texts count as one null value. Each table is read once, for all its columns.
+    after: by table, the load after which loads are counted. Blank texts count as one null
+    value; rows with a null load_no belong to no load. Each table is read once, for all its columns.
     """
     out = None
     for df in dict.fromkeys(c.df for c in cols):
         own = [c for c in cols if c.df is df]
+        last = (after or {}).get(own[0].table_name)
+        rows = df.where(F.col("load_no").isNotNull() if last is None else F.col("load_no") > last)
 
         def text(c: ProfiledColumn) -> Column:
             raw = F.col(c.column).cast("string")
             return raw if c.numeric else F.when(~is_blank(raw), raw)
 
         pairs = F.array(*(F.struct(F.lit(c.column).alias("column_name"), text(c).alias("value")) for c in own))
-        long = df.select(F.lit(own[0].table_name).alias("table_name"), F.col("load_no").cast("int").alias("load_no"), F.explode(pairs).alias("x")).select("table_name", "load_no", "x.*")
+        long = rows.select(F.lit(own[0].table_name).alias("table_name"), F.col("load_no").cast("int").alias("load_no"), F.explode(pairs).alias("x")).select("table_name", "load_no", "x.*")
         counts = long.groupBy("table_name", "column_name", "load_no", "value").agg(F.count("*").alias("n"))
         out = counts if out is None else out.unionByName(counts)
     return out
 
 
-class Loads:
-    """The loads present in each table, in order; as many as deliveries, so they fit into expressions."""
+def applied(kept: DataFrame | None, counts: DataFrame) -> DataFrame:
+    """(table_name, column_name, value, n, delta): the counts to keep after a load, and its signed deltas.
 
-    def __init__(self, counts: DataFrame) -> None:
-        found: dict[str, list[int]] = {}
-        for t, n in sorted((r[0], r[1]) for r in counts.where(F.col("load_no").isNotNull()).select("table_name", "load_no").distinct().collect()):
-            found.setdefault(t, []).append(n)
-        self.of = found
-
-    @classmethod
-    def named(cls, of: dict[str, list[int]]) -> Loads:
-        out = cls.__new__(cls)
-        out.of = of
-        return out
-
-    def _map(self, pairs: list[tuple[str, int, int]]) -> Column:
-        """Load that the pairs name for table_name and load_no, else null."""
-        if not pairs:
-            return F.lit(None).cast("int")
-        return F.try_element_at(F.create_map(*(F.lit(x) for t, n, m in pairs for x in (f"{t}/{n}", m))), F.concat_ws("/", "table_name", "load_no"))
-
-    @property
-    def next(self) -> Column:
-        return self._map([(t, n, m) for t, loads in self.of.items() for n, m in zip(loads, loads[1:], strict=False)])
-
-    @property
-    def prior(self) -> Column:
-        return self._map([(t, n, m) for t, loads in self.of.items() for m, n in zip(loads, loads[1:], strict=False)])
-
-    def between(self, since: Column, until: Column) -> Column:
-        """Loads of table_name from since until before until (null: all later ones)."""
-        every = F.lit(None).cast("array<int>")
-        for t, loads in self.of.items():
-            every = F.when(F.col("table_name") == t, F.array(*map(F.lit, loads))).otherwise(every)
-        return F.filter(every, lambda n: (n >= since) & (until.isNull() | (n < until)))
+    kept: the counts before, in the same form (None before the first load). counts: those of
+    the load. A value that the load no longer has stays with n = 0 and its negative delta
+    until the next load.
+    """
+    signed = counts.select(*_OF, F.lit(0).cast("long").alias("before"), F.col("n").alias("delta"))
+    if kept is not None:
+        signed = signed.unionByName(kept.where("n <> 0").select(*_OF, F.col("n").alias("before"), (-F.col("n")).alias("delta")))
+    sums = signed.groupBy(*_OF).agg(F.sum("before").alias("before"), F.sum("delta").alias("delta"))
+    return sums.select(*_OF, (F.col("before") + F.col("delta")).alias("n"), "delta")
 
 
-def count_deltas(counts: DataFrame, loads: Loads) -> DataFrame:
-    """(table_name, column_name, value, load_no, delta): signed changes of the counts from load to load.
+class Kept:
+    """Counts and metrics of a set of columns in a folder, by load and table. Two calls must not write to one folder at a time."""
 
-    counts: value_counts(). A value's count in a load is undone in the next load present,
-    where its new count is added.
-    """
-    of = ["table_name", "column_name", "value"]
-    seen = counts.where(F.col("load_no").isNotNull())
-    signed = F.array(F.struct(F.col("load_no"), F.col("n").alias("delta")), F.struct(loads.next.alias("load_no"), (-F.col("n")).alias("delta")))
-    both = seen.select(*of, F.explode(signed).alias("x")).select(*of, "x.*").where(F.col("load_no").isNotNull())
-    return both.groupBy(*of, "load_no").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
 
+    def loads(self) -> dict[str, list[int]]:
+        """Loads whose metrics are there, by table."""
+        out: dict[str, list[int]] = {}
+        for load in children(self.spark, f"{self.path}/metrics"):
+            if load.startswith("load_no="):
+                for table in children(self.spark, f"{self.path}/metrics/{load}"):
+                    out.setdefault(table.removeprefix("table_name="), []).append(int(load.removeprefix("load_no=")))
+        return {t: sorted(n) for t, n in out.items()}
 
-def _loads_of(cols: list[ProfiledColumn]) -> dict[tuple[str, str], dict[int, int]]:
-    """Rows by load of each table and column; only load_no is read, once a table."""
-    out: dict[tuple[str, str], dict[int, int]] = {}
-    for df in dict.fromkeys(c.df for c in cols):
-        rows = {r[0]: r[1] for r in df.groupBy(F.col("load_no").cast("int")).count().collect() if r[0] is not None}
-        out |= {(c.table_name, c.column): rows for c in cols if c.df is df}
-    return out
+    def counts(self, table: str, load: int) -> DataFrame:
+        at = f"{self.path}/counts"
+        return self.spark.read.schema(COUNTS).option("basePath", at).parquet(f"{at}/load_no={load}/table_name={table}")
 
+    def metrics(self) -> DataFrame:
+        if not self.loads():
+            return self.spark.createDataFrame([], METRICS)
+        return self.spark.read.schema(METRICS).parquet(f"{self.path}/metrics")
 
-def _latest(spark: SparkSession, path: str) -> int:
-    """The last version of kept deltas that was written to its end, 0 if there is none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    whole = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/loads/_SUCCESS"))]
-    return max(whole, default=0)
 
+def apply_loads(cols: list[ProfiledColumn], kept: Kept, only: int | None = None) -> DataFrame:
+    """The kept metrics of all loads, after the loads that are new in the tables were applied one after another.
 
-def keep_deltas(cols: list[ProfiledColumn], path: str) -> tuple[DataFrame, Loads]:
-    """The deltas of all loads, those kept in path carried on by the loads that are new there, which only are counted.
-
-    The tables hold all loads. A kept load that has another number of rows now, or a new one
-    before a kept one, is counted again, with all that come after it; a load whose values
-    were changed in place is not noticed. Every version is a folder of its own, complete once its
-    loads are written; two calls must not write to one path at a time.
+    Loads up to the last kept one of a table are taken as known; its rows are not read. All
+    new loads are counted in one pass, then each is applied to the counts that the one before
+    left. Of the counts only those of each table's last load stay. A call that was cut off
+    leaves the kept loads as they were. only: apply this load alone; ValueError if it is not later than the kept ones.
     """
-    spark = cols[0].df.sparkSession
-    version, now = _latest(spark, path), _loads_of(cols)
-    kept, known = None, {}
-    if version:
-        kept = spark.read.parquet(f"{path}/v{version}/deltas")
-        for r in spark.read.parquet(f"{path}/v{version}/loads").collect():
-            known.setdefault((r.table_name, r.column_name), {})[r.load_no] = r.rows
-    loads = Loads.named({t: sorted({n for (u, _), rows in now.items() if u == t for n in rows}) for t, _ in now})
-    # of each column, the first load that is not as it was kept; counted from there
-    since = {}
-    for of, rows in now.items():
-        old = known.get(of, {})
-        since[of] = min((n for n in {*rows, *old} if rows.get(n) != old.get(n)), default=None)
-    if version and all(n is None for n in since.values()) and known.keys() == now.keys():
-        return kept, loads
-
-    named = lambda of: (F.col("table_name") == of[0]) & (F.col("column_name") == of[1])
-    any_of = lambda tests: functools.reduce(lambda a, b: a | b, tests, F.lit(False))
-    new = None
-    for n in {n for n in since.values() if n is not None}:
-        group = [c for c in cols if since[c.table_name, c.column] == n]
-        cut = {df: df.where(F.col("load_no").cast("int") >= n) for df in dict.fromkeys(c.df for c in group)}
-        counts = value_counts([replace(c, df=cut[c.df]) for c in group])
-        new = counts if new is None else new.unionByName(counts)
-    deltas = None
-    if kept is not None:
-        # what stays, and the counts that it leaves, as those of the last load before the new ones
-        deltas = kept.where(any_of([named(of) & (F.lit(True) if n is None else F.col("load_no") < n) for of, n in since.items()]))
-        for of, n in since.items():
-            last = max((x for x in now[of] if n is not None and x < n), default=None)
-            if last is not None and new is not None:
-                state = deltas.where(named(of)).groupBy("table_name", "column_name", "value").agg(F.sum("delta").alias("n")).where("n <> 0")
-                new = new.unionByName(state.withColumn("load_no", F.lit(last)))
-    if new is not None:
-        changed = count_deltas(persisted(new, "value-counts"), loads).where(any_of([named(of) & (F.col("load_no") >= n) for of, n in since.items() if n is not None]))
-        deltas = changed if deltas is None else deltas.unionByName(changed)
-    lines = [(*of, n, rows) for of, by_load in now.items() for n, rows in by_load.items()]
-    target = f"{path}/v{version + 1}"
-    if deltas is None:
-        deltas = count_deltas(value_counts(cols), loads)
-    deltas.write.mode("overwrite").parquet(f"{target}/deltas")
-    spark.createDataFrame(lines, "table_name string, column_name string, load_no int, rows long").coalesce(1).write.mode("overwrite").parquet(f"{target}/loads")
-    return spark.read.parquet(f"{target}/deltas"), loads
-
-
-def counts_as_of(deltas: DataFrame, loads: Loads) -> DataFrame:
-    """(table_name, column_name, load_no, value, n): the maintained counts after each load, zero counts left out.
-
-    A running sum by value holds from its delta's load until before the value's next delta;
-    a value has one row a load at most, so no group grows with the table.
-    """
-    w = Window.partitionBy("table_name", "column_name", "value").orderBy("load_no")
-    runs = deltas.select(
-        "table_name",
-        "column_name",
-        "value",
-        F.col("load_no").alias("since"),
-        F.lead("load_no").over(w).alias("until"),
-        F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
-    ).where("n <> 0")
-    return runs.select("table_name", "column_name", F.explode(loads.between(F.col("since"), F.col("until"))).alias("load_no"), "value", "n")
+    known = kept.loads()
+    if only is not None:
+        if any(n >= only for c in cols for n in known.get(c.table_name, [])[-1:]):
+            raise ValueError(f"load {only} is not later than the kept ones")
+        one = {c.df: c.df.where(F.col("load_no") == only) for c in cols}
+        cols = [ProfiledColumn(c.table_name, one[c.df], c.column, c.numeric, c.terms) for c in cols]
+    counts = persisted(value_counts(cols, {t: n[-1] for t, n in known.items()}), "value-counts", ("load_no",))
+    new: dict[int, list[str]] = {}
+    for t, n in counts.select("table_name", "load_no").distinct().collect():  # as many as deliveries
+        new.setdefault(n, []).append(t)
+    last, prior = {t: n[-1] for t, n in known.items()}, []
+    for load in sorted(new):
+        before = None
+        for t in new[load]:
+            if t in last:
+                part = kept.counts(t, last[t])
+                before = part if before is None else before.unionByName(part)
+            prior.append((t, load, last.get(t)))
+            last[t] = load
+        changes = applied(before, counts.where(F.col("load_no") == load)).withColumn("load_no", F.lit(load))
+        written(changes, f"{kept.path}/counts", ("load_no", "table_name"))
+    if new:
+        at = f"{kept.path}/counts"
+        every = kept.spark.read.schema(COUNTS).option("basePath", at).parquet(*(f"{at}/load_no={n}" for n in sorted(new)))
+        written(_metrics(cols, every.where(_any_of(prior)), prior), f"{kept.path}/metrics", ("load_no", "table_name"))
+        for t, n, m in prior:
+            if m is not None and m != last[t]:
+                deleted(kept.spark, f"{at}/load_no={m}/table_name={t}")
+    return kept.metrics()
+
+
+def _any_of(prior: list[tuple[str, int, int | None]]) -> Column:
+    return F.concat_ws("/", "load_no", "table_name").isin([f"{n}/{t}" for t, n, _ in prior])
 
 
 def medians(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -214,79 +166,67 @@ def medians(counts: DataFrame, by: list[str]) -> DataFrame:
     return ranks.groupBy(*by).agg(F.avg(F.col("prefix").cast("double")).alias("median"))
 
 
-@dataclass
-class Profile:
-    """metrics: one row a column and load; shift: half the sum of absolute differences of shares against the prior load."""
-
-    metrics: DataFrame
-    counts: DataFrame
-
-
-def profile(cols: list[ProfiledColumn], kept: str | None = None) -> Profile:
-    """Exact metrics of each column in each load.
-
-    metrics has table_name, column_name, load_no, prior_load_no, numeric, rows, blanks, distinct_values,
-    violations (texts that are no accepted term, numbers outside RANGE), entropy (bits, over
-    the values that are not blank), low and high (numbers), median (of the numbers within
-    RANGE) and shift. Blank texts and nulls are blanks. The first load has a null
-    prior_load_no and shift; shift is null, too, where either load has only blanks. Rows
-    with a null load_no belong to no load. Empty tables have no rows.
-
-    kept: folder in which the deltas are kept, see keep_deltas(); without one all loads are
-    counted in each call.
-    """
-    if kept is not None:
-        deltas, loads = keep_deltas(cols, kept)
-    else:
-        counts = persisted(value_counts(cols), "value-counts")
-        loads = Loads(counts)
-        deltas = persisted(count_deltas(counts, loads), "count-deltas")
-    state = persisted(counts_as_of(deltas, loads), "counts-as-of")
-    by = ["table_name", "column_name", "load_no"]
-
+def _metrics(cols: list[ProfiledColumn], changes: DataFrame, prior: list[tuple[str, int, int | None]]) -> DataFrame:
+    """METRICS of the loads of some changes; prior: table, load and the load before."""
     terms = None
     for c in cols:
         if c.terms is not None:
             own = c.terms.select(F.lit(c.table_name).alias("table_name"), F.lit(c.column).alias("column_name"), F.col("term").alias("value")).distinct()
             terms = own if terms is None else terms.unionByName(own)
-    known = state.withColumn("accepted", F.lit(None).cast("boolean"))
+    known = changes.withColumn("accepted", F.lit(None).cast("boolean"))
     if terms is not None:
-        known = state.join(terms.withColumn("accepted", F.lit(True)), ["table_name", "column_name", "value"], "left")
+        known = changes.join(terms.withColumn("accepted", F.lit(True)), _OF, "left")
     which = lambda p: F.concat_ws("/", "table_name", "column_name").isin([f"{c.table_name}/{c.column}" for c in cols if p(c)])
     known = known.withColumn("numeric", which(lambda c: c.numeric))
     number = F.when(F.col("numeric"), F.expr("try_cast(value as bigint)"))
     inside = number.between(*map(F.lit, RANGE))
     filled = F.col("value").isNotNull()
     violating = filled & F.when(F.col("numeric"), ~F.coalesce(inside, F.lit(False))).otherwise(which(lambda c: c.terms is not None) & F.col("accepted").isNull())
-    n = F.col("n")
-    base = known.groupBy(*by, "numeric").agg(
+    n, there = F.col("n"), F.col("n") > 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    base = known.groupBy(*_BY, "numeric").agg(
         F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(~filled, n)), F.lit(0)).alias("blanks"),
-        F.count(F.when(filled, 1)).alias("distinct_values"),
-        F.coalesce(F.sum(F.when(violating, n)), F.lit(0)).alias("violations"),
-        F.sum(F.when(filled, n * F.log2(n))).alias("nlogn"),
-        F.min(number).alias("low"),
-        F.max(number).alias("high"),
+        total(F.when(~filled, n)).alias("blanks"),
+        F.count(F.when(filled & there, 1)).alias("distinct_values"),
+        total(F.when(violating, n)).alias("violations"),
+        F.sum(F.when(filled & there, n * F.log2(n))).alias("nlogn"),
+        F.min(F.when(there, number)).alias("low"),
+        F.max(F.when(there, number)).alias("high"),
+        total(F.when(filled, n - F.col("delta"))).alias("prior_filled"),
     )
     full = F.col("rows") - F.col("blanks")
-    base = base.withColumn("entropy", F.when(full > 0, F.log2(full) - F.col("nlogn") / full)).drop("nlogn")
-    base = persisted(base.withColumn("prior_load_no", loads.prior), "profile")
+    before = F.try_element_at(F.create_map(*(F.lit(x) for t, k, m in prior for x in (f"{k}/{t}", -1 if m is None else m))), F.concat_ws("/", "load_no", "table_name"))
+    base = base.withColumns({"entropy": F.when(full > 0, F.log2(full) - F.col("nlogn") / full), "prior_load_no": F.nullif(before, F.lit(-1))}).drop("nlogn")
+    base = persisted(base, "profile")  # a row a column and load
+
+    totals = F.broadcast(base.where((full > 0) & (F.col("prior_filled") > 0)).select(*_BY, full.alias("filled"), "prior_filled"))
+    moved = F.abs(F.col("n") / F.col("filled") - (F.col("n") - F.col("delta")) / F.col("prior_filled"))
+    shift = changes.where(filled).join(totals, _BY).groupBy(*_BY).agg((F.sum(moved) / 2).alias("shift"))
+    middle = medians(known.where(inside & there).select(*_BY, number.alias("value"), "n"), _BY)
+    out = base.join(F.broadcast(shift), _BY, "left").join(F.broadcast(middle), _BY, "left")
+    return out.select(*(f.split(" ")[0] for f in METRICS.split(", ")))
+
 
-    # shares side by side: a value counts for its load, and as the prior one in the next load
-    totals = F.broadcast(base.select(*by, full.alias("filled")))
-    share = F.col("n") / F.col("filled")
-    pair = F.array(F.struct("load_no", share.alias("now"), F.lit(0.0).alias("before")), F.struct(loads.next.alias("load_no"), F.lit(0.0).alias("now"), share.alias("before")))
-    sides = state.where(filled).join(totals, by).select("table_name", "column_name", "value", F.explode(pair).alias("x")).select("table_name", "column_name", "value", "x.*")
-    moved = sides.where(F.col("load_no").isNotNull()).groupBy(*by, "value").agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
-    moved = moved.groupBy(*by).agg(F.sum("now").alias("now"), F.sum("before").alias("before"), (F.sum(F.abs(F.col("now") - F.col("before"))) / 2).alias("shift"))
-    moved = moved.where((F.col("now") > 0) & (F.col("before") > 0)).select(*by, "shift")
-    middle = medians(known.where(inside).select(*by, number.alias("value"), "n"), by)
-    metrics = base.join(F.broadcast(moved), by, "left").join(F.broadcast(middle), by, "left")
-    return Profile(metrics, state)
+def profile(cols: list[ProfiledColumn], kept: str | None = None) -> DataFrame:
+    """Exact metrics of each column in each load.
+
+    (table_name, column_name, load_no, prior_load_no, numeric, rows, blanks, distinct_values,
+    violations (texts that are no accepted term, numbers outside RANGE), entropy (bits, over
+    the values that are not blank), low and high (numbers), median (of the numbers within
+    RANGE) and shift (half the sum of absolute differences of the values' shares from the
+    load before)). Blank texts and nulls are blanks. The first load has a null
+    prior_load_no and shift; shift is null, too, where either load has only blanks. Rows
+    with a null load_no belong to no load. Empty tables have no rows.
+
+    kept: folder in which counts and metrics are kept from call to call, see apply_loads();
+    without one the fold begins with nothing, in a folder of its own.
+    """
+    spark = cols[0].df.sparkSession
+    return apply_loads(cols, Kept(spark, kept or scratch_folder(spark, "profile")))
 
 
-def out_of_line(p: Profile, null_rate: float = 0.20, violating: float = 0.05, shift: float = 0.25, factor: float = 3.0) -> DataFrame:
-    """(table_name, column_name, load_no, finding): the loads in which a column leaves its limits.
+def out_of_line(m: DataFrame, null_rate: float = 0.20, violating: float = 0.05, shift: float = 0.25, factor: float = 3.0) -> DataFrame:
+    """(table_name, column_name, load_no, finding): the loads in which a column leaves its limits, from the metrics of profile().
 
     null_rate: the share of blanks differs from the prior load's by more. pattern (texts with
     accepted terms) and range (numbers): more than violating of the values not blank.
@@ -294,7 +234,6 @@ def out_of_line(p: Profile, null_rate: float = 0.20, violating: float = 0.05, sh
     (numbers; a median of 0 beside another differs by any factor). Nothing is compared with
     a load that is not there, nor with one that has only blanks.
     """
-    m = p.metrics
     prior = m.select("table_name", "column_name", F.col("load_no").alias("prior_load_no"), (F.col("blanks") / F.col("rows")).alias("prior_rate"), F.col("median").alias("prior_median"))
     both = m.join(F.broadcast(prior), ["table_name", "column_name", "prior_load_no"], "left")
     filled = F.col("rows") - F.col("blanks")

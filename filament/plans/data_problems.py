@@ -68,7 +68,7 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ 4 profiles
-def _profile(spark: SparkSession, d: str) -> profile.Profile:
+def _profile(spark: SparkSession, d: str) -> DataFrame:
     prepare(spark)
     files, stats, terms = table(spark, d, "c2m2_file"), table(spark, d, "dump_stat"), table(spark, d, "vocab_term")
     of = lambda c: terms.where(F.col("column_name") == c).select("term")
@@ -84,7 +84,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, d: str) -> DataFrame:
-    m = _profile(spark, d).metrics
+    m = _profile(spark, d)
     return m.select("table_name", "column_name", "load_no", "rows", "blanks", "distinct_values", "violations", F.round("entropy", 6).alias("entropy"), F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "median", F.round("shift", 6).alias("shift"))
 
 

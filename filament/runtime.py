@@ -50,9 +50,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/filament/{what}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder below the shared one; it goes with the intermediate tables at the end of the process, or by clean_scratch()."""
+    _begin(spark)
+    path = scratch_path(spark, what)
+    spark._filament_scratch[path] = None
+    return path
+
+
+def _begin(spark: SparkSession) -> None:
+    if not hasattr(spark, "_filament_scratch"):
+        spark._filament_scratch = {}
+        atexit.register(_at_end, spark)
 
 
 def clean_scratch(spark: SparkSession, unused: bool = False) -> int:
@@ -60,7 +69,7 @@ def clean_scratch(spark: SparkSession, unused: bool = False) -> int:
     held = getattr(spark, "_filament_scratch", {})
     gone = [path for path, used in held.items() if not unused or (used is not None and used.get() is None)]
     for path in gone:
-        _delete(spark, path)
+        deleted(spark, path)
         del held[path]
     return len(gone)
 
@@ -70,26 +79,43 @@ def scratch_tables(spark: SparkSession) -> list[str]:
     return list(getattr(spark, "_filament_scratch", {}))
 
 
-def persisted(df: DataFrame, what: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: it outlives lost executors.
+def persisted(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as a table (in folders by some columns) in the shared folder and read it back: it outlives lost executors.
 
     The table is deleted once nothing refers to it: its file index is held weakly, results
     that read the table hold it through their plans, and each later call (and the end of the
     process) deletes the tables whose index is gone.
     """
     spark = df.sparkSession
-    if not hasattr(spark, "_filament_scratch"):
-        spark._filament_scratch = {}
-        atexit.register(_at_end, spark)
+    _begin(spark)
     clean_scratch(spark, unused=True)
     path = scratch_path(spark, what)
     spark._filament_scratch[path] = None
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = written(df, path, by)
     spark._filament_scratch[path] = spark._jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location())
     return out
 
 
+def written(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df at a path and read it back. With by, only the folders that df has rows of are replaced."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by).option("partitionOverwriteMode", "dynamic") if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _at_end(spark: SparkSession) -> None:
     try:
         clean_scratch(spark)

@@ -1,8 +1,10 @@
 import random
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from filament.operators import snapshots
 from filament.operators.snapshots import Bitmap, number_value, snapshot_changes, text_value
 
 SCHEMA = "row_id long, load_no int, received_at timestamp_ntz, id_namespace string, local_id string, md5 string, status string, size string, change_kind string"
@@ -45,6 +47,70 @@ def test_against_brute_force(spark):
     assert changes(spark, rows) == brute_force(rows)
 
 
+def test_snapshots_one_by_one(spark, tmp_path):
+    """50 snapshots in a few calls: keys keep their ordinals, and later calls do without the rows of earlier ones."""
+    r = random.Random(3)
+    at, rows, state, n = datetime(2025, 1, 1), [], {}, 0
+    values = {"md5": text_value(F.col("md5")), "status": text_value(F.col("status")), "size": number_value(F.col("size"))}
+    got, ordinals, every_row = [], {}, []
+    for load in range(1, 51):
+        for k in range(30):
+            if r.random() < 0.1:
+                state.pop(k, None)
+            elif r.random() < 0.2:
+                state[k] = r.choice("abc")
+        if load == 20:
+            state = {}  # an empty snapshot is no load
+        new = [(n + i, load, at, "n", f"k{k}", v, "s", "1", None) for i, (k, v) in enumerate(state.items())]
+        n, rows = n + len(new), rows + new
+        if load in (1, 2, 3, 21, 35, 50):
+            df = spark.createDataFrame(rows, SCHEMA)
+            got += [tuple(x) for x in snapshot_changes(df, ["id_namespace", "local_id"], values, kept=f"{tmp_path}/k").collect()]
+            every = spark.read.parquet(*map(str, (tmp_path / "k").glob("*/ordinals"))).collect()
+            now = {x.local_id: x.ordinal for x in every}
+            assert len(now) == len(every) and ordinals.items() <= now.items() and sorted(now.values()) == list(range(len(now)))
+            ordinals = now
+            every_row, rows = every_row + rows, []
+    assert sorted(got, key=str) == brute_force(every_row) and len(got) > 100
+
+
+def test_chunks(spark, monkeypatch):
+    """Chunks without a key in some snapshots, and snapshots that span several batches."""
+    monkeypatch.setattr(snapshots, "CHUNK_BITS", 4)
+    monkeypatch.setattr(snapshots, "DENSE", 4)
+    r = random.Random(6)
+    rows = []
+    for load in (1, 2, 5, 6, 9):
+        keys = range(0, 200) if load != 5 else range(150, 400)
+        rows += [(len(rows) + k, load, datetime(2025, 1, 1), "n", f"k{k}", r.choice("ab"), "s", "1", "x") for k in keys if r.random() < 0.7]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        expected = brute_force(rows)
+        df = spark.createDataFrame(rows, SCHEMA)
+        values = {"md5": text_value(F.col("md5"))}
+        loads = [1, 2, 5, 6, 9]
+        per = {(x.local_id): x.local_id for x in df.select("local_id").distinct().collect()}
+        numbered = {k: i for i, k in enumerate(sorted(per))}
+        flat = [(numbered[x[4]] >> 4, x[1], numbered[x[4]] & 15, ord(x[5])) for x in rows]
+        chunks = {}
+        for c, load, low, d in sorted(flat):
+            chunks.setdefault(c, {}).setdefault(load, []).append((low, d))
+        found = []
+        names = {i: k for k, i in numbered.items()}
+        for c, by_load in chunks.items():
+            chunk = snapshots.Chunk(c, 1, loads)
+            for load, pairs in by_load.items():
+                chunk.snapshot(load, np.array([p[0] for p in pairs], np.int32), [np.array([p[1] for p in pairs])])
+            for number, load, kind, places, _, _ in chunk.end():
+                if kind != snapshots.STATE:
+                    found += [("n", names[(number << 4) + p], load, kind) for p in places]
+        assert sorted(found, key=str) == expected
+        monkeypatch.undo()
+        assert sorted((tuple(x) for x in snapshot_changes(df, ["id_namespace", "local_id"], values).collect()), key=str) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_edges(spark):
     at = datetime(2025, 1, 1)
     assert changes(spark, []) == []
@@ -62,10 +128,9 @@ def test_numbers(spark):
 
 
 def test_bitmaps():
-    import numpy as np
-
     r = np.random.default_rng(0)
     for n, m in ((10, 20), (10, 9000), (9000, 10), (9000, 12000), (0, 5)):
         a, b = (np.unique(r.integers(0, 32768, k)).astype(np.uint16) for k in (n, m))
         x, y = Bitmap(a), Bitmap(b)
+        assert np.array_equal(Bitmap.unpacked(x.packed()).ordinals(), a)
         assert np.array_equal(x.and_not(y), np.setdiff1d(a, b)) and np.array_equal(x.both(y), np.intersect1d(a, b)) and np.array_equal(x.ordinals(), a)
