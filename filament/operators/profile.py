@@ -149,21 +149,18 @@ def medians(counts: DataFrame, by: list[str]) -> DataFrame:
     counts: by..., value (long, 0 to RANGE[1]) and n. The middle ranks are found digit by digit in base 2^17 from the
     top, so that no step holds more than 2^17 buckets a group, however many values there are.
     """
-    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    ranks = total.select(*by, F.explode(F.array_distinct(F.array(F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1))).alias("rank"))
-    ranks = ranks.select(*by, F.col("rank").alias("want"), F.col("rank"), F.lit(0).cast("long").alias("prefix"))
+    spark = counts.sparkSession
+    kinds = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in by)
+    # ranks: of each group one or two, as want (the rank asked for), rank below prefix, and prefix; as few as groups, so the driver takes them
+    ranks = [(*r[:-1], want, want, 0) for r in counts.groupBy(*by).agg(F.sum("n")).collect() for want in {(r[-1] + 1) // 2, r[-1] // 2 + 1}]
     for shift in (34, 17, 0):
+        asked = F.broadcast(spark.createDataFrame(ranks, f"{kinds}, want long, rank long, prefix long"))
         own = counts.withColumn("prefix", F.shiftright("value", shift + 17)).withColumn("bucket", F.shiftright("value", shift))
-        own = own.join(F.broadcast(ranks.select(*by, "prefix").distinct()), [*by, "prefix"])
-        buckets = own.groupBy(*by, "prefix", "bucket").agg(F.sum("n").alias("n"))
+        buckets = own.join(asked.select(*by, "prefix").distinct(), [*by, "prefix"]).groupBy(*by, "prefix", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*by, "prefix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        steps = buckets.withColumn("upto", F.sum("n").over(w))
-        ranks = (
-            steps.join(F.broadcast(ranks), [*by, "prefix"])
-            .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-            .select(*by, "want", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), F.col("bucket").alias("prefix"))
-        )
-    return ranks.groupBy(*by).agg(F.avg(F.col("prefix").cast("double")).alias("median"))
+        steps = buckets.withColumn("upto", F.sum("n").over(w)).join(asked, [*by, "prefix"]).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+        ranks = [tuple(r) for r in steps.select(*by, "want", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), F.col("bucket").alias("prefix")).collect()]
+    return spark.createDataFrame(ranks, f"{kinds}, want long, rank long, value long").groupBy(*by).agg(F.avg(F.col("value").cast("double")).alias("median"))
 
 
 def _metrics(cols: list[ProfiledColumn], changes: DataFrame, prior: list[tuple[str, int, int | None]]) -> DataFrame:
@@ -202,7 +199,7 @@ def _metrics(cols: list[ProfiledColumn], changes: DataFrame, prior: list[tuple[s
     totals = F.broadcast(base.where((full > 0) & (F.col("prior_filled") > 0)).select(*_BY, full.alias("filled"), "prior_filled"))
     moved = F.abs(F.col("n") / F.col("filled") - (F.col("n") - F.col("delta")) / F.col("prior_filled"))
     shift = changes.where(filled).join(totals, _BY).groupBy(*_BY).agg((F.sum(moved) / 2).alias("shift"))
-    middle = medians(known.where(inside & there).select(*_BY, number.alias("value"), "n"), _BY)
+    middle = medians(changes.withColumn("numeric", which(lambda c: c.numeric)).where(inside & there).select(*_BY, number.alias("value"), "n"), _BY)
     out = base.join(F.broadcast(shift), _BY, "left").join(F.broadcast(middle), _BY, "left")
     return out.select(*(f.split(" ")[0] for f in METRICS.split(", ")))
 
