@@ -85,3 +85,38 @@ def test_offsets_of_all_ids(spark, reference, monkeypatch):
     table = tokens.token_ids(df, "doc_id", "text", offsets="offsets")
     assert table.dtypes == [("doc_id", "bigint"), ("ids", "array<int>"), ("offsets", "array<int>")]
     assert {x.doc_id: (x.ids, x.offsets) for x in table.collect()} == dict(enumerate([*got[-200:], ([], [])]))
+
+
+def test_scan_against_single_steps():
+    import numpy as np
+
+    r = random.Random(7)
+    after, cut = tokens.automaton()
+    for k in (1, 2, 3, 50, 1000):
+        texts = ["".join(r.choices(PIECES, k=r.randint(1, k))) for _ in range(5)]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        starts = np.cumsum([0, *map(len, texts[:-1])])
+        state, expected = 0, []
+        for s in tokens.symbols(points, starts):
+            expected.append(bool(cut[s, state]))
+            state = after[s, state]
+        assert tokens.boundaries(points, starts).tolist() == expected
+
+
+def test_merges_against_one_pair_at_a_time():
+    merges = tokens.encoder(tokens.TOKENIZERS, tokens.VOCABULARY)._merges
+
+    def slow(data):
+        parts = [bytes([b]) for b in data]
+        while True:
+            least = min(((merges.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in merges.ranks), default=None)
+            if least is None:
+                return [merges.ranks[p] for p in parts]
+            i = least[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    r = random.Random(9)
+    data = [bytes(r.choices(b"aaabbetnioIN_19 \xe6\x97", k=r.randint(1, 60))) for _ in range(800)] + [b"a" * 47, b"a" * 300, b"ab" * 120]
+    assert [list(x) for x in map(merges.one, data)] == [slow(d) for d in data]
+    assert [list(x) for x in merges.many(data)] == [[merges.ranks[d]] if d in merges.ranks else slow(d) for d in data]
+    assert merges.many([]) == []
