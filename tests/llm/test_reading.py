@@ -28,7 +28,7 @@ def tables(spark, n=200, seed=1):
 def test_held_out_levels(spark):
     docs, levels = tables(spark)
     labels = spark.createDataFrame([(i, v) for i, v in enumerate(levels) if i % 2], "doc_id long, reading_level int")
-    got = {r.doc_id: r.reading_level for r in reading.reading_levels(docs, labels, docs).collect()}
+    got = {r.doc_id: r.reading_level for r in reading.reading_levels(docs, labels, docs, step=3).collect()}
     assert set(got) == {i for i in range(len(levels)) if i % 2 == 0}
     assert sum(got[i] == levels[i] for i in got) / len(got) >= 0.9
 
@@ -39,7 +39,7 @@ def test_document_frequencies(spark):
     expected = Counter()
     for t in texts:
         expected.update(set(reading._WORD.findall((t or "").lower())))
-    assert {r.word: r.df for r in reading.document_frequencies(df, "text").collect()} == dict(expected)
+    assert {r.word: r.df for r in reading.document_frequencies(df, "text").collect()} == {**expected, "": 3}
 
 
 def test_edges(spark):
@@ -54,3 +54,13 @@ def test_edges(spark):
 
 def test_sentences():
     assert reading.sentences("A b c. D e!\n| x | y |\n$ run it\n>seq\nOne\nf g") == [["a", "b", "c"], ["d", "e"], ["f", "g"]]
+
+
+def test_formula_against_brute_force():
+    import numpy as np
+
+    r = random.Random(5)
+    sentences = [[r.choice([r.randrange(45), 45]) for _ in range(r.randint(1, 9))] for _ in range(50)]
+    got = reading.formula(np.array([w for s in sentences for w in s]), np.array(list(map(len, sentences))), 45, 10)
+    expected = [[sum(w >= min(cut, 45) for w in s) / len(s) for cut in (10, 20, 30, 40, 45)] + [np.log(len(s))] for s in sentences]
+    assert np.allclose(got, expected, atol=1e-6)
