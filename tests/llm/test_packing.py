@@ -1,6 +1,9 @@
+import os
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from filament.llm import packing, tokens
 
@@ -12,11 +15,11 @@ def corpus(n, seed=4):
     return [(i, " ".join(r.choices(WORDS, k=r.choice([0, 3, 40, 200, 600, 3000]))) if r.random() < 0.95 else None) for i in range(n)]
 
 
-def test_placement(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_BYTES", 40_000)
+def test_placement(spark):
     docs = [*corpus(300), (5, "alpha beta"), (5, "alpha beta")]
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, shard int")
-    rows = packing.packed(df, "doc_id", "text", capacity=512).toPandas()
+    rows = packing.packed(df, "doc_id", "text", capacity=512, shard_tokens=12_000).toPandas()
+    assert (rows.container // 2**32).nunique() >= 3
     sizes = {}
     for r in tokens.token_ids(df, "doc_id", "text").collect():
         sizes.setdefault(r.doc_id, []).append(len(r.ids))
@@ -52,20 +55,91 @@ def test_neighbours_share_words():
     assert {tuple(sorted(order[where == c])) for c in set(where)} == {(0, 1, 2, 3), (4, 5, 6, 7)}
 
 
+def scores(docs, sizes, query):
+    """BM25 of all documents (sets of terms, each twice) for one, term by term."""
+    n, df, out = len(docs), {}, np.zeros(len(docs))
+    for d in docs:
+        for t in d:
+            df[t] = df.get(t, 0) + 1
+    for i, d in enumerate(docs):
+        for t in docs[query]:
+            if t in d and 1 < df[t] <= max(2, packing.COMMON * n):
+                out[i] += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * sizes[i] / sizes.mean()))
+    return out
+
+
 def test_scores_against_brute_force():
     r = np.random.default_rng(2)
-    docs = [np.unique(r.integers(0, 30, 8)) for _ in range(40)]
+    docs = [np.unique(np.append(r.integers(0, 30, 8), r.integers(30, 300, 5))) for _ in range(40)]
     sizes = r.integers(5, 50, 40)
     offsets = np.append(0, np.cumsum([len(t) for t in docs]))
-    index = packing.Index((np.concatenate(docs) << 12 | 2).astype(np.int32), offsets, sizes)
-    n, df = 40, {t: sum(t in d for d in docs) for t in range(30)}
-    for q in range(5):
-        expected = np.zeros(n)
-        for i, d in enumerate(docs):
-            for t in docs[q]:
-                if t in d and 1 < df[t] <= max(2, packing.COMMON * n):
-                    expected[i] += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * sizes[i] / sizes.mean()))
-        assert np.allclose(index.scores(q, n), expected, rtol=1e-4)
+    terms = (np.concatenate(docs) << 12 | 2).astype(np.int32)
+    index = packing.Index(terms, offsets, sizes, packing.Corpus.of(terms, sizes))
+    assert index.matrix.shape[1] > 0 and len(index.terms) > 0
+    got = index.scores(np.arange(40))
+    for q in range(40):
+        assert np.allclose(got[q], scores(docs, sizes, q), rtol=1e-4)
+    rows = np.array([3, 5, 6, 20, 39])
+    index.only(rows)
+    assert np.allclose(index.scores(np.arange(5)), got[np.ix_(rows, rows)], rtol=1e-4)
+
+
+def test_shards_follow_content_not_files(spark):
+    r = random.Random(8)
+    topics = [["".join(r.choices(c, k=6)) for i in range(60)] for c in ("abcd", "efgh", "ijkl", "mnop", "qrst")]
+    docs = [(i, " ".join(r.choices(topics[i % 5], k=40))) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items, _ = packing.sharded_items(df, "doc_id", "text", shard_items=2000)
+    shards = {}
+    for x in items.collect():
+        shards.setdefault(x.shard, set()).add(x.doc_id % 5)
+    assert len(shards) == 5 and all(len(t) == 1 for t in shards.values())
+    one = sorted(tuple(x) for x in packing.packed(df.repartition(1), "doc_id", "text", shard_items=90).collect())
+    assert one == sorted(tuple(x) for x in packing.packed(df.repartition(7, "text"), "doc_id", "text", shard_items=90).collect())
+
+
+def test_copies_are_spread(spark):
+    rows = [(1, "alpha beta gamma")] * 900 + [(i, f"word{i} other{i % 7}") for i in range(2, 900)] + [(-i, "") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    items, _ = packing.sharded_items(df, "doc_id", "text", shard_items=200)
+    sizes = items.groupBy("shard").count().toPandas()["count"]
+    assert sizes.sum() == 2698 and sizes.max() < 500
+    placed = packing.packed(df, "doc_id", "text", shard_items=200)
+    assert placed.where("doc_id = 1").count() == 900 and placed.where("doc_id < 0").count() == 899
+
+
+DATA = "/root/testdata/sf0.1/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+def test_recall_of_neighbours(spark):
+    """The ten best neighbours of every 50th text in the whole corpus are mostly in its shard, with eight shards or more; containers are 99 % full."""
+    df = spark.read.parquet(DATA)
+    items, corpus = packing.sharded_items(df, "doc_id", "text")
+    t = items.orderBy("digest").toArrow().combine_chunks()
+    terms, offsets = packing._lists(t.column("terms"))
+    n, shard, ids = t.num_rows, t.column("shard").to_numpy(), t.column("doc_id").to_numpy()
+    sizes = t.column("n_tokens").to_numpy()
+    sizes = np.where(sizes > packing.CAPACITY, sizes % packing.CAPACITY, sizes)
+    term, item = terms >> packing._TF_BITS, np.repeat(np.arange(n), np.diff(offsets))
+    weight = corpus.weights(terms, (sizes / corpus.mean)[item])
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange(len(corpus.df) + 1))
+    hits, share = [], []
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = np.zeros(n)
+        for x in term[offsets[q] : offsets[q + 1]]:
+            at = order[first[x] : first[x + 1]]
+            score[item[at]] += weight[at]
+        score[q] = 0
+        best, inside = np.sort(score)[-10:], np.sort(score[shard == shard[q]])[-10:]
+        if best[0] > 0:
+            hits.append((inside >= best[0] - 1e-6).mean())
+            share.append(inside.sum() / best.sum())
+    used = packing.packed(df, "doc_id", "text").groupBy("container").agg(F.sum("n_tokens").alias("n")).toPandas()["n"]
+    fill = used.sum() / (packing.CAPACITY * len(used))
+    print(f"shards {len(set(shard))}, queries {len(hits)}, recall at 10 {np.mean(hits):.3f}, score {np.mean(share):.3f}, fill {fill:.4f}")
+    assert len(set(shard)) >= 8 and np.mean(hits) >= 0.9 and fill >= 0.99
 
 
 def test_empty(spark):
