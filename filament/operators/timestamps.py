@@ -1,9 +1,12 @@
 """One UTC instant for stamps of mixed notation, precision and zone.
 
-A stamp's shape mask (its text with every digit written 9) is compiled to a field layout
-once; the digits of all rows of a batch are then read by array gathers along their row's
-layout, and wall-clock times are converted through per-zone transition tables that carry
-the version of the zone database.
+A stamp's shape mask has the class of every character: 9 for a digit, A for a letter, a
+blank for white space, other signs as they are. Each distinct mask is mapped to its parsers
+once: where the fields stand, and which words must stand where. The words of all rows of a
+mask are looked up together (month, weekday, half of the day, zone), the first parser whose
+words are right holds, the digits of all rows of a batch are read by array gathers along
+their row's parser, and wall-clock times are converted through per-zone transition tables
+that carry the version of the zone database.
 """
 
 from __future__ import annotations
@@ -11,7 +14,9 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
 import zoneinfo
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +37,6 @@ ABBREVIATIONS = {
 MONTHS = "january february march april may june july august september october november december".split()
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 
-_DIGITS = str.maketrans("0123456789", "9999999999")
 _DAY = 86_400
 NONE = np.datetime64("NaT", "us")
 
@@ -106,91 +110,110 @@ def zone_table(name: str, first: int = 1900, last: int = 2110) -> ZoneTable | No
     return ZoneTable(zone_version(), np.array(times, np.int64), np.array(offsets, np.int64))
 
 
-# ---------------------------------------------------------------- masks to layouts
+# ---------------------------------------------------------------- masks to parsers
+_CLASSES = {ord(c): "9" for c in "0123456789"} | {ord(c): "A" for c in string.ascii_letters} | {ord(c): " " for c in string.whitespace}
+
+
+def mask_of(text: str) -> str:
+    """The class of each character: 9 (ASCII digits), A (ASCII letters), a blank for white space, L for other letters and digits; other signs stay."""
+    mask = text.translate(_CLASSES)
+    return mask if mask.isascii() else "".join(c if c.isascii() else " " if c.isspace() else "L" if c.isalnum() else c for c in mask)
+
+
 _FIELDS = ("Y", "M", "D", "A", "B", "J", "V", "U", "h", "m", "s", "oh", "om", "f")
 _AT = {k: i for i, k in enumerate(_FIELDS)}
 
-_CLOCK = r"(?P<h>99?):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?(?![A-Za-z]))?"
-_HOUR = r"(?P<h>99?)\s*(?P<ap>[AaPp])\.?[Mm]\.?(?![A-Za-z])"
+# grammars of masks; the groups that are no fields are words, see _WORDS
+_TIME = r"(?P<h>99?):(?P<m>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?"
+_HALF = r" *(?P<half>A)\.?(?P<of>A)\.?(?!A)"
+_CLOCKS = (_TIME + _HALF, _TIME, r"(?P<h>99?)" + _HALF)
 _PACKED = r"(?P<h>99)(?P<m>99)(?:(?P<s>99)(?:[.,](?P<f>9+))?)?"
-_ZONE = (
-    r"(?:\s*(?:(?:UTC|GMT|utc|gmt)?\s?(?P<sg>[+\-\u2212])(?P<oh>99?)(?::?(?P<om>99))?(?:\s*\[[^\]]*\])?"
-    r"|[\[(]?(?P<zone>[A-Za-z_]+(?:/[A-Za-z0-9_+\-]+)+)[\])]?"
-    r"|[\[(]?(?P<abbr>[A-Za-z]{1,5})[\])]?))?"
-)
-_WEEKDAY = r"(?:(?P<wd>[A-Za-z]{3,9})\.?,?\s+)?"
-_NAMED = (
-    _WEEKDAY + r"(?P<D>99?)(?:st|nd|rd|th)?[\s\-](?P<mon>[A-Za-z]{3,9})\.?,?[\s\-](?P<Y>9999)",
-    _WEEKDAY + r"(?P<mon>[A-Za-z]{3,9})\.?\s+(?P<D>99?)(?:st|nd|rd|th)?,?\s+(?P<Y>9999)",
+_ZONES = (
+    r" *(?P<utc>AAA)? ?(?P<sg>[+\-−])(?P<oh>99?)(?::?(?P<om>99))?(?: *\[[^\]]*\])?",
+    r" *[\[(]?(?P<zone>[A_]+(?:/[A9_+\-]+)+)[\])]?",
+    r" *[\[(]?(?P<abbr>A{1,5})[\])]?",
+    "",
 )
+_WEEKDAY = r"(?:(?P<wd>A{3,9})\.?,? +)?"
 _DATES = (
     r"(?P<Y>9999)(?P<sep>[-/.])(?P<M>99?)(?P=sep)(?P<D>99?)",
     r"(?P<Y>9999)-(?P<J>999)",
-    r"(?P<Y>9999)-W(?P<V>99)-(?P<U>9)",
-    r"(?P<Y>9999)W(?P<V>99)(?P<U>9)",
+    r"(?P<Y>9999)-(?P<week>A)(?P<V>99)-(?P<U>9)",
+    r"(?P<Y>9999)(?P<week>A)(?P<V>99)(?P<U>9)",
     r"(?P<A>99?)(?P<sep>[-/.])(?P<B>99?)(?P=sep)(?P<Y>9999|99)",
-    *_NAMED,
+    _WEEKDAY + r"(?P<D>99?)(?P<th>AA)?[ \-](?P<mon>A{3,9})\.?,?[ \-](?P<Y>9999)",
+    _WEEKDAY + r"(?P<mon>A{3,9})\.? +(?P<D>99?)(?P<th>AA)?,? +(?P<Y>9999)",
 )
+_SEP = r"(?:(?P<t>A)|,? +|,)"
+_DAY_PACKED = r"(?P<Y>9999)(?P<M>99)(?P<D>99)(?:(?P<t>A)| +)"
 _GRAMMARS = tuple(
     re.compile(x)
+    for zone in _ZONES
     for x in (
-        *(rf"{d}(?:(?:[Tt]|,?\s+|,)(?:{clock}))?{_ZONE}" for d in _DATES for clock in (_CLOCK, _HOUR)),
-        rf"(?P<Y>9999)(?P<M>99)(?P<D>99)(?:[Tt]|\s+)(?:{_PACKED}){_ZONE}",
-        rf"(?P<Y>9999)(?P<M>99)(?P<D>99)(?:[Tt]|\s+)(?:{_CLOCK}){_ZONE}",
-        rf"(?P<Y>9999)-(?P<M>99)-(?P<D>99)[Tt](?:{_PACKED}){_ZONE}",
-        rf"(?P<wd>[A-Za-z]{{3,9}})\.?,?\s+(?P<mon>[A-Za-z]{{3,9}})\.?\s+(?P<D>99?)\s+(?:{_CLOCK}){_ZONE}\s+(?P<Y>9999)",
+        *(f"{d}{_SEP}{clock}{zone}" for d in _DATES for clock in _CLOCKS),
+        *(f"{d}{zone}" for d in _DATES),
+        *(f"{_DAY_PACKED}{clock}{zone}" for clock in (_PACKED, *_CLOCKS[:2])),
+        rf"(?P<Y>9999)-(?P<M>99)-(?P<D>99)(?P<t>A){_PACKED}{zone}",
+        *(rf"(?P<wd>A{{3,9}})\.?,? +(?P<mon>A{{3,9}})\.? +(?P<D>99?) +{clock}{zone} +(?P<Y>9999)" for clock in _CLOCKS[:2]),
     )
 )
-_BARE = re.compile(r"(?P<n>9+)(?:\.(?P<f>9+))?")
+_BARE = re.compile(r"(?P<n>9{1,17})(?:\.(?P<f>9+))?")
+
+
+def _names(of: list[str]) -> dict[str, int]:
+    """1-based place by full and three-letter name."""
+    return {n: i for i, x in enumerate(of, 1) for n in (x, x[:3])}
+
+
+#: What a word of a role must be (by lower-case text, or as written where case counts), and the value it has.
+_WORDS: dict[str, tuple[bool, dict[str, int]]] = {
+    "mon": (True, _names(MONTHS) | {"sept": 9}),
+    "wd": (True, _names(WEEKDAYS)),
+    "half": (True, {"a": 1, "p": 2}),
+    "of": (True, {"m": 1}),
+    "t": (True, {"t": 1}),
+    "week": (False, {"W": 1}),
+    "th": (False, {"st": 1, "nd": 1, "rd": 1, "th": 1}),
+    "utc": (False, {"UTC": 1, "GMT": 1, "utc": 1, "gmt": 1}),
+    "abbr": (True, {k.lower(): v for k, v in ABBREVIATIONS.items()}),
+}
+_VALUES = ("mon", "half", "abbr")
 
 
 @dataclass(frozen=True)
-class Layout:
-    """Where the fields of a mask stand, and what its letters fix."""
+class Parser:
+    """Where the fields of a mask stand, and which words must stand where."""
 
-    kind: str  # "date", "number" or "none"
-    spans: tuple[tuple[int, int], ...] = ()  # start and length by _FIELDS
-    month: int = 0
-    half: str = ""  # "a" or "p"
+    kind: str  # "date" or "number"
+    spans: tuple[tuple[int, int], ...]  # start and length by _FIELDS
+    words: tuple[tuple[str, int, int], ...] = ()  # role, start and length
     clock: str = ""  # "offset", "zone", "local"
     sign: int = 1
-    zone: str = ""
-    minutes: int = 0
-
+    zone: tuple[int, int] = (0, 0)  # where the zone's name stands
 
-def _name(text: str | None, of: list[str]) -> int:
-    """1-based place of a full or three-letter name, else 0 (also Sept)."""
-    t = (text or "").lower()
-    return next((i for i, x in enumerate(of, 1) if t and (t in (x, x[:3]) or (t == "sept" and x == "september"))), 0)
 
-
-@functools.cache
-def layout_of(mask: str) -> Layout:
-    """The layout of a mask, compiled once a process."""
+def _parsers(mask: str) -> tuple[Parser, ...]:
     if (m := _BARE.fullmatch(mask)) is not None:
-        return Layout("number", ((m.start("n"), len(m["n"])), (m.start("f"), len(m["f"] or ""))))
+        return (Parser("number", ((m.start("n"), len(m["n"])), (m.start("f"), len(m["f"] or "")))),)
+    out = []
     for grammar in _GRAMMARS:
-        m = grammar.fullmatch(mask)
-        if m is None:
-            continue
-        g = m.groupdict()
-        if g.get("wd") and not _name(g["wd"], WEEKDAYS):
-            continue
-        month = _name(g.get("mon"), MONTHS)
-        if g.get("mon") and not month:
-            continue
-        spans = tuple((m.start(k), len(g[k])) if g.get(k) else (0, 0) for k in _FIELDS)
-        how, zone, minutes = "local", "", 0
-        if g.get("sg"):
-            how = "offset"
-        elif g.get("zone"):
-            how, zone = "zone", g["zone"]
-        elif g.get("abbr"):
-            if g["abbr"].upper() not in ABBREVIATIONS:
-                continue
-            how, minutes = "offset", ABBREVIATIONS[g["abbr"].upper()]
-        return Layout("date", spans, month, (g.get("ap") or "").lower(), how, 1 if g.get("sg") in (None, "+") else -1, zone, minutes)
-    return Layout("none")
+        if (m := grammar.fullmatch(mask)) is not None:
+            g = {k: v for k, v in m.groupdict().items() if v is not None}
+            spans = tuple((m.start(k), len(g[k])) if k in g else (0, 0) for k in _FIELDS)
+            words = tuple((k, m.start(k), len(g[k])) for k in g if k in _WORDS)
+            how = "offset" if "sg" in g or "abbr" in g else "zone" if "zone" in g else "local"
+            out.append(Parser("date", spans, words, how, 1 if g.get("sg") in (None, "+") else -1, (m.start("zone"), len(g["zone"])) if "zone" in g else (0, 0)))
+    return tuple(dict.fromkeys(out))
+
+
+#: Masks whose parsers a process keeps, and their length at most; masks of free text are many and long.
+KEPT_MASKS, KEPT_LENGTH = 8_192, 128
+_kept_parsers = functools.lru_cache(KEPT_MASKS)(_parsers)
+
+
+def parsers_of(mask: str) -> tuple[Parser, ...]:
+    """The parsers of a mask, the first to be tried first; none for masks that no stamp has. Kept in the process for the masks used last."""
+    return _kept_parsers(mask) if len(mask) <= KEPT_LENGTH else _parsers(mask)
 
 
 # ---------------------------------------------------------------- batch conversion
@@ -226,27 +249,101 @@ def to_instants(texts: list[str | None], zones: list[str | None], orders: list[s
     used where the text names no zone or leaves the order open; null there makes such a
     text denote no instant.
     """
-    n = len(texts)
-    out = np.full(n, NONE)
+    out = np.full(len(texts), NONE)
     stripped = [t.strip() if t else "" for t in texts]
-    codes, masks = pd.factorize(np.array([t.translate(_DIGITS) for t in stripped], object))
-    layouts = [layout_of(m) for m in masks]
-    kinds = np.array([x.kind for x in layouts], object)[codes] if n else np.array([], object)
+    codes, masks = pd.factorize(np.array([mask_of(t) for t in stripped], object))
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(masks)), side="right")
+    begin = 0
+    read: dict[str, list[tuple]] = {"date": [], "number": []}  # rows with their parser and what their words say
+    for mask, end in zip(masks, ends, strict=True):
+        rows, begin = order[begin:end], end
+        parsers = parsers_of(mask)
+        if not parsers:
+            continue
+        for part in np.split(rows, range(CELLS // len(mask) + 1, len(rows), CELLS // len(mask) + 1)):
+            chars = np.array([stripped[i] for i in part], f"U{len(mask)}").view(np.uint32).reshape(len(part), len(mask))
+            left = np.arange(len(part))
+            for p in parsers:
+                good, values, names = _words(p, chars[left])
+                own = left[good]
+                if len(own):
+                    read[p.kind].append((part[own], p, *(v[good] for v in values), names[good]))
+                left = left[~good]
+                if not len(left):
+                    break
     for kind, convert in (("date", _dates), ("number", _numbers)):
-        rows = np.flatnonzero(kinds == kind)
-        if len(rows):
-            text = [stripped[i] for i in rows]
-            width = max(map(len, text))
-            chars = np.array(text, f"U{width}").view(np.uint32).reshape(len(rows), width)
-            out[rows] = convert(chars, [layouts[c] for c in codes[rows]], [zones[i] for i in rows], [orders[i] for i in rows])
+        for some in _together(read[kind], stripped):
+            rows = np.concatenate([x[0] for x in some])
+            width = max(len(stripped[i]) for i in rows)
+            chars = np.array([stripped[i] for i in rows], f"U{width}").view(np.uint32).reshape(len(rows), width)
+            found = Read([x[1] for x in some], np.repeat(np.arange(len(some)), [len(x[0]) for x in some]), *(np.concatenate([x[i] for x in some]) for i in range(2, 6)))
+            out[rows] = convert(chars, found, np.array(zones, object)[rows], np.array(orders, object)[rows])
     return out
 
 
-def _numbers(chars: np.ndarray, layouts: list[Layout], zones: list, orders: list) -> np.ndarray:
-    start = np.array([x.spans[0][0] for x in layouts])
-    length = np.array([x.spans[0][1] for x in layouts])
-    fraction = _fraction(chars, np.array([x.spans[1][0] for x in layouts]), np.array([x.spans[1][1] for x in layouts]))
-    whole = np.array([x.spans[1][1] == 0 for x in layouts])
+#: Characters worked on at a time.
+CELLS = 1 << 22
+
+
+def _together(parts: list[tuple], texts: list[str]) -> Iterator[list[tuple]]:
+    """Parts of alike lengths, a bounded number of characters at a time."""
+    some: list[tuple] = []
+    n = 0
+    for x in sorted(parts, key=lambda x: len(texts[x[0][0]])):
+        if some and (n + len(x[0])) * len(texts[x[0][0]]) > CELLS:
+            yield some
+            some, n = [], 0
+        some.append(x)
+        n += len(x[0])
+    if some:
+        yield some
+
+
+@dataclass
+class Read:
+    """Rows' parsers, and what their words say: month, half of the day (1, 2 or 0), minutes east of UTC, and zone name."""
+
+    parsers: list[Parser]
+    of: np.ndarray
+    month: np.ndarray
+    half: np.ndarray
+    minutes: np.ndarray
+    zone: np.ndarray
+
+    def spans(self) -> np.ndarray:
+        return np.array([p.spans for p in self.parsers], np.int64)[self.of]
+
+
+def _slot(chars: np.ndarray, start: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct texts at a place, and which of them each row has."""
+    text = np.ascontiguousarray(chars[:, start : start + length]).view(f"U{length}").ravel()
+    codes, names = pd.factorize(text.astype(object))
+    return names, codes
+
+
+def _words(p: Parser, chars: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Of rows of one mask: whether their words are right for a parser, the values of _VALUES, and the zone's name."""
+    n = len(chars)
+    good, values, zone = np.ones(n, bool), {k: np.zeros(n, np.int64) for k in _VALUES}, np.full(n, None, object)
+    for role, start, length in p.words:
+        lower, known = _WORDS[role]
+        names, codes = _slot(chars, start, length)
+        found = [known.get(x.lower() if lower else x) for x in names]
+        good &= np.array([x is not None for x in found])[codes]
+        if role in values:
+            values[role] = np.array([x or 0 for x in found], np.int64)[codes]
+    if p.clock == "zone":
+        names, codes = _slot(chars, *p.zone)
+        zone = np.asarray(names, object)[codes]
+    return good, [values[k] for k in _VALUES], zone
+
+
+def _numbers(chars: np.ndarray, found: Read, zones: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    spans = found.spans()
+    start, length = spans[:, 0, 0], spans[:, 0, 1]
+    fraction = _fraction(chars, spans[:, 1, 0], spans[:, 1, 1])
+    whole = spans[:, 1, 1] == 0
     number = _read(chars, start, np.where(length <= 17, length, 0), 17)
     scale = np.select([length <= 11, length <= 14, length <= 17], [1_000_000, 1_000, 1], 0)
     used = (length > 4) & (length <= 17) & (whole | (scale == 1_000_000))
@@ -259,7 +356,7 @@ def _numbers(chars: np.ndarray, layouts: list[Layout], zones: list, orders: list
         year = _read(c, s, np.full(len(c), 4), 4)
         ok &= (h < 24) & (mi < 60) & (se < 60) & ((k == 8) | (year >= 1900) & (year <= 2100))
         wall = day * _DAY + h * 3600 + mi * 60 + se
-        got = _from_wall(wall, np.array([zones[i] for i in calendar], object))
+        got = _from_wall(wall, zones[calendar])
         out[calendar[ok]] = got[ok]
     return out
 
@@ -277,9 +374,9 @@ def _from_wall(wall: np.ndarray, zones: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dates(chars: np.ndarray, layouts: list[Layout], zones: list, orders: list) -> np.ndarray:
+def _dates(chars: np.ndarray, found: Read, zones: np.ndarray, orders: np.ndarray) -> np.ndarray:
     n = len(chars)
-    spans = np.array([x.spans for x in layouts], np.int64)
+    spans = found.spans()
     start = {k: spans[:, i, 0] for k, i in _AT.items()}
     length = {k: spans[:, i, 1] for k, i in _AT.items()}
     v = {k: _read(chars, start[k], length[k], 4) for k in _FIELDS if k != "f"}
@@ -288,8 +385,7 @@ def _dates(chars: np.ndarray, layouts: list[Layout], zones: list, orders: list)
     open_order = length["A"] > 0
     month = np.where(open_order, np.where(order == "mdy", v["A"], v["B"]), v["M"])
     day = np.where(open_order, np.where(order == "mdy", v["B"], v["A"]), v["D"])
-    named = np.array([x.month for x in layouts])
-    month = np.where(named > 0, named, month)
+    month = np.where(found.month > 0, found.month, month)
     ordinal, week = length["J"] > 0, length["V"] > 0
     days, ok = _days(year, np.where(ordinal | week, 1, month), np.where(ordinal | week, 1, day))
     ok &= ~open_order | np.isin(order, ("mdy", "dmy"))
@@ -303,25 +399,22 @@ def _dates(chars: np.ndarray, layouts: list[Layout], zones: list, orders: list)
     ok &= ~week | ((v["V"] >= 1) & (v["V"] <= weeks) & (v["U"] >= 1) & (v["U"] <= 7))
     days = np.where(week, monday + 7 * (v["V"] - 1) + v["U"] - 1, days)
 
-    half = np.array([x.half for x in layouts], object)
     hour = v["h"]
-    ok &= (half == "") | ((hour >= 1) & (hour <= 12))
-    hour = np.where(half == "", hour, hour % 12 + np.where(half == "p", 12, 0))
+    ok &= (found.half == 0) | ((hour >= 1) & (hour <= 12))
+    hour = np.where(found.half == 0, hour, hour % 12 + np.where(found.half == 2, 12, 0))
     ok &= (hour < 24) & (v["m"] < 60) & (v["s"] < 60)
     wall = days * _DAY + hour * 3600 + v["m"] * 60 + v["s"]
     out = np.full(n, NONE)
 
-    how = np.array([x.clock for x in layouts], object)
-    minutes = np.array([x.minutes for x in layouts])
+    how = np.array([p.clock for p in found.parsers], object)[found.of]
     signed = length["oh"] > 0
-    offset = np.where(signed, np.array([x.sign for x in layouts]) * (v["oh"] * 60 + v["om"]), minutes)
+    offset = np.where(signed, np.array([p.sign for p in found.parsers])[found.of] * (v["oh"] * 60 + v["om"]), found.minutes)
     ok &= ~signed | ((v["oh"] <= 18) & (v["om"] < 60))
     fixed = ok & (how == "offset")
     out[fixed] = ((wall[fixed] - offset[fixed] * 60) * 1_000_000).astype("datetime64[us]")
     rows = np.flatnonzero(ok & (how != "offset"))
     if len(rows):
-        zone = np.array([layouts[i].zone or zones[i] for i in rows], object)
-        out[rows] = _from_wall(wall[rows], zone)
+        out[rows] = _from_wall(wall[rows], np.where(how[rows] == "zone", found.zone[rows], zones[rows]))
     return out + _fraction(chars, start["f"], length["f"]).astype("timedelta64[us]")
 
 

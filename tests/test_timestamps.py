@@ -59,10 +59,25 @@ def test_unknown_clocks():
     assert list(ts.to_text(ts.to_instants(["2021-03-04 05:06", "03/04/2021", "2021-03-04T05:06Z"], [None, "UTC", None], [None, None, None]))) == ["none", "none", "2021-03-04T05:06:00.000000Z"]
 
 
-def test_layout_is_compiled_once():
-    before = ts.layout_of.cache_info().misses
-    instants([f"2021-03-{d:02d} 0{d % 9}:00:00" for d in range(1, 29)] * 50)
-    assert ts.layout_of.cache_info().misses <= before + 1
+def test_masks_are_mapped_once():
+    instants(["2021-03-04 01:00:00 EST", "4 May 2021"])
+    before = ts._kept_parsers.cache_info().misses
+    instants([f"2021-03-{d:02d} 0{d % 9}:00:00 {z}" for d in range(1, 29) for z in ("EST", "JST", "XXX", "CET")] * 50 + [f"{d} {m} 2021" for d in range(1, 9) for m in ("Jan", "May", "abc")])
+    assert ts._kept_parsers.cache_info().misses == before
+    assert ts.mask_of("4 Mai, 2021\t日7x") == ts.mask_of("5 Jun, 1999 語8y")
+
+
+def test_kept_masks_are_bounded():
+    r = random.Random(3)
+    junk = ["".join(r.choices("ab1 -:", k=r.randint(1, 40))) for _ in range(2 * ts.KEPT_MASKS)] + ["x" * 100_000, "2021-03-04T05:06:07." + "1" * 100_000 + "Z"]
+    got = instants(junk)
+    assert ts._kept_parsers.cache_info().currsize <= ts.KEPT_MASKS and got[-1] == "2021-03-04T05:06:07.111111Z" and got[-2] == "none"
+
+
+def test_words():
+    assert instants(["2021-03-04 05:06 Etc/GMT+5", "2021-03-04 5 p.m.", "2021-03-04 05:06 (Asia/Tokyo)", "4th Sept 2021", "4xx Sep 2021", "2021-03-04X05:06", "2021-w09-4", "Foo, 4 Mar 2021 05:06"], "UTC") == [
+        "2021-03-04T10:06:00.000000Z", "2021-03-04T17:00:00.000000Z", "2021-03-03T20:06:00.000000Z", "2021-09-04T00:00:00.000000Z", "none", "none", "none", "none",
+    ]
 
 
 def test_stamps_beside_labels(spark):
