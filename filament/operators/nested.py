@@ -8,6 +8,7 @@ exploded into a child table that carries its parent's surrogate key and its ordi
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Container, Iterator
@@ -15,6 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,7 @@ _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 _BLANKS = re.compile(r"[ \t\n\r]*")
+_MAY_BE_JSON = re.compile(r'\s*[\[{"]')
 
 
 def parse(text: str) -> Any:
@@ -120,6 +123,7 @@ def write(v: Any) -> str:
     return "".join(out)
 
 
+@functools.lru_cache(1 << 16)
 def snake(name: str) -> str:
     return _HUMP.sub("_", name).lower()
 
@@ -127,11 +131,9 @@ def snake(name: str) -> str:
 def read_value(v: Any) -> Any:
     """A JSON text as what it says, if that is an object or array; else the value itself."""
     for _ in range(8):
-        if not isinstance(v, str):
+        if not isinstance(v, str) or not _MAY_BE_JSON.match(v):
             return v
         t = v.strip()
-        if not t or t[0] not in '[{"':
-            return v
         try:
             got = parse(t)
         except ValueError:
@@ -189,24 +191,30 @@ def _wanted(child_paths: list[str], only: list[str]) -> dict[str, Any]:
     return root
 
 
-def _walk(obj: dict, path: str, found: set[tuple[str, str]], levels: int, wanted: dict[str, Any] | None) -> None:
+def _walk(obj: dict, path: str, found: set[tuple[str, str]], levels: int, wanted: dict[str, Any] | None) -> dict[str, Any]:
+    """Add an object's paths with their kinds to found; the object with only the members that are wanted."""
+    out: dict[str, Any] = {}
     for name, v in members(obj, wanted).items():
         key = f"{path}/{_escape(name)}"
+        out[name] = v
         if levels <= 1:
             found.add((key, "empty" if v is None or v == "" else "plain"))
             continue
-        items = [read_value(x) for x in v] if isinstance(v, list) else [v]
-        objects = [x for x in items if isinstance(x, dict)]
+        below = None if wanted is None else wanted[name]
         if isinstance(v, list):
-            found.add((key, "children" if objects else "list"))
-        elif not objects and v is not None and v != "":
-            found.add((key, "plain"))
-        elif not objects:
-            found.add((key, "empty"))
-        for x in objects:
-            if not isinstance(v, list):
-                found.add((key, "object"))
-            _walk(x, key, found, levels - 1, None if wanted is None else wanted[name])
+            items = out[name] = [read_value(x) for x in v]
+            kind = "list"
+            for i, x in enumerate(items):
+                if isinstance(x, dict):
+                    kind = "children"
+                    items[i] = _walk(x, key, found, levels - 1, below)
+            found.add((key, kind))
+        elif isinstance(v, dict):
+            found.add((key, "object"))
+            out[name] = _walk(v, key, found, levels - 1, below)
+        else:
+            found.add((key, "empty" if v is None or v == "" else "plain"))
+    return out
 
 
 @dataclass
@@ -248,9 +256,7 @@ def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = N
     objects at the paths with most names have the members of child_paths and only, and their
     whole JSON text as PLAIN; at the root, too.
     """
-    asked = [*(child_paths or []), *(only or [])]
-    levels = max([MAX_DEPTH, *(p.count("/") + 2 for p in asked)])
-    wanted = None if only is None else _wanted(child_paths or [], only)
+    levels, wanted = _reach(child_paths, only)
 
     def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: set[tuple[str, str]] = set()
@@ -265,6 +271,53 @@ def merged_schema(df: DataFrame, payload: str, child_paths: list[str] | None = N
         yield pd.DataFrame(sorted(found), columns=["path", "kind"])
 
     every = df.select(F.col(payload).cast("string").alias(payload)).mapInPandas(paths, "path string, kind string").distinct()
+    return _schema_of(every, child_paths, only)
+
+
+def _reach(child_paths: list[str] | None, only: list[str] | None) -> tuple[int, dict[str, Any] | None]:
+    """How many levels of members are looked at, and which members."""
+    asked = [*(child_paths or []), *(only or [])]
+    return max([MAX_DEPTH, *(p.count("/") + 2 for p in asked)]), None if only is None else _wanted(child_paths or [], only)
+
+
+def read_once(df: DataFrame, key: str, payload: str, child_paths: list[str], only: list[str]) -> tuple[Node, DataFrame]:
+    """The merged schema of the payloads, and (key, text): each payload cut to the members of child_paths and only, as a written table.
+
+    As merged_schema() with the same paths, but each payload is parsed once: the texts that
+    shaped_records() takes are as small as what is asked for. Payloads that are no JSON
+    object are left out.
+    """
+    levels, wanted = _reach(child_paths, only)
+    kind = df.schema[key].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[str, str]] = set()
+        schema = None
+        for batch in batches:
+            schema = pa.schema([(key, batch.column(0).type), ("text", pa.string()), ("path", pa.string()), ("kind", pa.string())])
+            texts: list[str | None] = []
+            for text in batch.column(1).to_pylist():
+                record = read_record(text)
+                texts.append(None if record is None else write(_walk(record, "", found, levels, wanted)))
+            none = pa.nulls(len(texts), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), none, none], schema=schema)
+            if len(found) > MAX_PATHS:
+                yield paths(found, schema)
+                found.clear()
+        if schema is not None:
+            yield paths(found, schema)
+
+    def paths(found: set[tuple[str, str]], schema: pa.Schema) -> pa.RecordBatch:
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, schema[0].type), pa.nulls(n, pa.string()), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1))], schema=schema)
+
+    rows = df.select(F.col(key), F.col(payload).cast("string").alias("text")).mapInArrow(read, f"`{key}` {kind}, text string, path string, kind string")
+    rows = persisted(rows, "payloads")
+    schema = _schema_of(rows.where(F.col("path").isNotNull()).select("path", "kind").distinct(), child_paths, only)
+    return schema, rows.where(F.col("text").isNotNull()).select(key, "text")
+
+
+def _schema_of(every: DataFrame, child_paths: list[str] | None, only: list[str] | None) -> Node:
     seen = [tuple(r) for r in every.limit(MAX_PATHS + 1).collect()]
     if len(seen) > MAX_PATHS:
         seen = _few_paths(persisted(every, "paths"))

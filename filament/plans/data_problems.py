@@ -102,8 +102,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     prepare(spark)
     df = table(spark, d, "file_document")
     paths = {"/".join(p).replace(".", "/"): name for p, name in CHILDREN.values()}
-    schema = nested.merged_schema(df, "payload", list(paths), [f"{p}/{name}" for p, name in paths.items()])
-    records = nested.shaped_records(df, "record_id", "payload", schema)
+    schema, texts = nested.read_once(df, "record_id", "payload", list(paths), [f"{p}/{name}" for p, name in paths.items()])
+    records = nested.shaped_records(texts, "record_id", "text", schema)
     out = None
     for kind, (path, name) in CHILDREN.items():
         t = nested.child_table(records, "record_id", path)
