@@ -105,8 +105,13 @@ def file_name(url: Column, accession: Column, file_format: Column) -> Column:
     return F.coalesce(basename(nonempty(url)), F.when(fmt.isNotNull(), F.concat_ws(".", accession, fmt)).otherwise(accession))
 
 
+def whole_number(c: Column) -> Column:
+    """A numeric value as a whole number; null if it has a fraction or does not fit."""
+    return F.when(c == F.floor(c), c.try_cast("bigint"))
+
+
 def parse_int(c: Column) -> Column:
-    """Whole number written as an optional sign and digits, else null."""
+    """Whole number written as an optional sign and digits, else null; see whole_number() for numbers that are no texts."""
     t = stripped(c)
     return F.when(t.rlike(r"^[+-]?\d+\z"), t.try_cast("bigint"))
 
@@ -137,14 +142,19 @@ def timestamp_utc(c: Column) -> Column:
 
 
 def canonical_json(c: Column) -> Column:
-    """A flat JSON object with its members sorted by name; texts that are none give null."""
-    members = F.from_json(c, "map<string,string>")
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(members))))
+    """A JSON text with the members of all its objects sorted by name, at any depth, values as they are; texts that are no JSON give null.
+
+    The variant type keeps the members of objects in the order of their names.
+    """
+    return F.to_json(F.try_parse_json(c))
 
 
 def single_or_self(c: Column) -> Column:
-    """The element of a one-element list, else null."""
-    return F.when(F.size(c) == 1, c[0])
+    """The element of a JSON list of one element, as text; any other JSON text, and what is no JSON, as it is."""
+    v = F.try_parse_json(c)
+    alone = F.schema_of_variant(v).startswith("ARRAY<") & F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+    element = F.try_variant_get(v, "$[0]", "variant")
+    return F.when(F.coalesce(alone, F.lit(False)), F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.to_json(element))).otherwise(c)
 
 
 def display_title(c: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filament.functions import ontology, scalars
 from filament.functions.scalars import nonempty
@@ -40,7 +43,7 @@ def _conform(values: dict[str, Column], kind) -> Column:
 
 
 def _if_any(struct: Column, values: list[Column]) -> Column:
-    return F.when(F.coalesce(*values).isNotNull(), struct)
+    return F.when(reduce(lambda a, b: a | b, (v.isNotNull() for v in values)), struct)
 
 
 def experiment_documents(rows: DataFrame, annotation: bool = False, dcc: dict[str, str] | None = None) -> DataFrame:
@@ -115,14 +118,31 @@ def experiment_documents(rows: DataFrame, annotation: bool = False, dcc: dict[st
     return rows.where(accession.isNotNull()).select(_conform(values, flatten.FILE).alias("d")).select("d.*")
 
 
-def update_columns(df: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with the columns that a row of updates (one a key) sets; nulls and blanks there set nothing."""
-    right = updates.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in columns))
+def update_columns(df: DataFrame, updates: DataFrame, key: str, columns: list[str] | dict[str, str]) -> DataFrame:
+    """df with the columns that a row of updates (one a key) sets; nulls and blanks there set nothing.
+
+    columns: names, or column of updates -> dotted path in df. The structs on a path keep
+    their other members; those that are missing are made where something is set.
+    """
+    paths = columns if isinstance(columns, dict) else {c: c for c in columns}
+    right = updates.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in paths))
     out = df.join(right, df[key] == F.col("_key"), "left")
-    for c in columns:
+    for c, path in paths.items():
         new = F.nullif(F.col(f"_{c}"), F.lit("")) if dict(right.dtypes)[f"_{c}"] == "string" else F.col(f"_{c}")
-        out = out.withColumn(c, F.coalesce(new, F.col(c)) if c in df.columns else new)
-    return out.drop("_key", *(f"_{c}" for c in columns))
+        top, *rest = path.split(".")
+        old = out.schema[top].dataType if top in out.columns else None
+        out = out.withColumn(top, _set(F.col(top) if old is not None else None, old, rest, new, right.schema[f"_{c}"].dataType))
+    return out.drop("_key", *(f"_{c}" for c in paths))
+
+
+def _set(c: Column | None, kind: T.DataType | None, path: list[str], new: Column, new_kind: T.DataType) -> Column:
+    """A value with new, where that is not null, in its place at a path; structs there take the type of new."""
+    if not path:
+        return new if c is None else F.coalesce(new, flatten.conform(c, kind, new_kind) if isinstance(new_kind, T.StructType) else c)
+    names = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
+    inner = _set(c[path[0]] if path[0] in names else None, names.get(path[0]), path[1:], new, new_kind).alias(path[0])
+    members = [inner if n == path[0] else c[n].alias(n) for n in names] + ([] if path[0] in names else [inner])
+    return F.when(new.isNotNull() | (F.lit(False) if c is None else c.isNotNull()), F.struct(*members))
 
 
 # Search fields and the file columns they are promoted to.
@@ -141,10 +161,62 @@ def enrich_files(files: DataFrame, found: DataFrame, tiers: DataFrame) -> DataFr
     return update_columns(keyed, one, "accession", [c for c in one.columns if c != "accession"]).drop("accession")
 
 
-def enrich_subjects(subjects: DataFrame, donors: DataFrame) -> DataFrame:
-    """Subjects with the first donor (by ord) whose uuid is part of their local_id."""
-    d = donors.withColumnsRenamed({c: f"donor_{c}" for c in donors.columns})
-    return first_contained(subjects, d, "local_id", "donor_uuid", ["id_namespace", "local_id"], ["donor_ord"])
+def enrich_collections(collections: DataFrame, experiments: DataFrame, submission: str = "4dn") -> DataFrame:
+    """Collections of a submission with the experiment that their persistent_id names: its accession as accession_id, lab and experiment_type promoted, the rest in extra.fourdn.
+
+    experiments: accession and members of flatten.COLLECTION_FOURDN, lab and experiment_type
+    among them; the last row of an accession holds. What an experiment lacks stays as it was;
+    extra.fourdn is replaced as a whole where it has anything.
+    """
+    rest = [c for c in experiments.columns if c in flatten.COLLECTION_FOURDN.names]
+    one = last_wins(experiments.withColumn("accession", scalars.normalize_accession(F.col("accession"))).where(F.col("accession").isNotNull()), ["accession"], [c for c in experiments.columns if c != "accession"])
+    one = one.withColumn("fourdn", _if_any(_conform({c: F.col(c) for c in rest}, flatten.COLLECTION_FOURDN), [F.col(c) for c in rest]))
+    key = F.when(F.col("submission") == submission, scalars.extract_experiment_accession(F.col("persistent_id")))
+    stamped = F.coalesce(F.col("accession"), F.col("accession_id")) if "accession_id" in collections.columns else F.col("accession")
+    own = collections.withColumn("accession", key).withColumn("accession_id", stamped)
+    paths = {"lab": "lab", "experiment_type": "experiment_type", "fourdn": "extra.fourdn"}
+    return update_columns(own, one, "accession", {c: p for c, p in paths.items() if c in one.columns}).drop("accession")
+
+
+def enrich_dataset_collections(collections: DataFrame, datasets: DataFrame, submission: str = "hubmap") -> DataFrame:
+    """Collections of a submission with the dataset whose doi_url is their persistent_id: dataset_type as experiment_type, analyte_class, the rest in extra.hubmap.
+
+    datasets: doi_url, dataset_type, analyte_class and members of flatten.COLLECTION_HUBMAP;
+    the last row of a DOI holds. What a dataset lacks stays as it was; extra.hubmap is
+    replaced as a whole where it has anything.
+    """
+    rest = [c for c in datasets.columns if c in flatten.COLLECTION_HUBMAP.names]
+    one = last_wins(datasets.where(scalars.nonempty(F.col("doi_url")).isNotNull()), ["doi_url"], [c for c in datasets.columns if c != "doi_url"]).withColumnRenamed("doi_url", "_doi")
+    one = one.withColumn("hubmap", _if_any(_conform({c: F.col(c) for c in rest}, flatten.COLLECTION_HUBMAP), [F.col(c) for c in rest]))
+    own = collections.withColumn("_doi", F.when(F.col("submission") == submission, F.col("persistent_id")))
+    paths = {"dataset_type": "experiment_type", "analyte_class": "analyte_class", "hubmap": "extra.hubmap"}
+    return update_columns(own, one, "_doi", {c: p for c, p in paths.items() if c in one.columns}).drop("_doi")
+
+
+#: Members of a donor that are lists; of the others a list of one element stands for the element.
+DONOR_LISTS = ("medical_history", "social_history")
+
+
+def enrich_subjects(subjects: DataFrame, donors: DataFrame, submission: str = "hubmap") -> DataFrame:
+    """Subjects of a submission with the first donor (by ord) whose uuid is part of their local_id, as extra.hubmap.
+
+    donors: uuid, ord, and metadata, a JSON object with members of flatten.SUBJECT_HUBMAP;
+    donors without metadata count for nothing. A list of one element stands for the
+    element; empty lists and null members set nothing, and neither does a donor without any.
+    """
+    d = donors.where((F.col("uuid") != "") & F.col("metadata").isNotNull()).select(F.col("uuid").alias("_uuid"), F.col("ord").alias("_ord"), F.col("metadata").alias("_metadata"))
+    own = subjects.withColumn("_text", F.when(F.col("submission") == submission, F.col("local_id")))
+    found = first_contained(own, d, "_text", "_uuid", ["id_namespace", "local_id"], ["_ord", "_uuid"])
+    values = {}
+    for f in flatten.SUBJECT_HUBMAP.fields:
+        text = F.get_json_object("_metadata", f"$.{f.name}")
+        if f.name in DONOR_LISTS:
+            values[f.name] = F.when(F.size(F.from_json(text, "array<string>")) > 0, F.from_json(text, "array<string>"))
+        else:
+            values[f.name] = scalars.single_or_self(text).try_cast(f.dataType)
+    donor = found.withColumn("_donor", _if_any(_conform(values, flatten.SUBJECT_HUBMAP), list(values.values())))
+    old = found.schema["extra"].dataType if "extra" in found.columns else None
+    return donor.withColumn("extra", _set(F.col("extra") if old is not None else None, old, ["hubmap"], F.col("_donor"), flatten.SUBJECT_HUBMAP)).drop("_text", "_uuid", "_ord", "_metadata", "_donor")
 
 
 def prune_restricted(files: DataFrame, links: DataFrame, collections: DataFrame, datasets: DataFrame, submission: str = "hubmap") -> tuple[DataFrame, DataFrame]:
@@ -162,9 +234,9 @@ def prune_restricted(files: DataFrame, links: DataFrame, collections: DataFrame,
     orphans = links.join(shut, ckeys, "left_semi").select(*fkeys).distinct().join(kept.select(*fkeys).distinct(), fkeys, "left_anti")
     own = closed.withColumn("_submission", F.lit(submission))
     left = files.join(own, (F.col("persistent_id") == F.col("_doi")) & (F.col("submission") == F.col("_submission")), "left_anti")
-    any_shut = shut.limit(1).count() > 0  # without a matching collection nothing is deleted
-    if not any_shut:
-        return files, links
+    # without a matching collection nothing is deleted: one row, or none
+    some = shut.limit(1).select(F.lit(True).alias("_any"))
+    left = left.unionByName(files.join(own, (F.col("persistent_id") == F.col("_doi")) & (F.col("submission") == F.col("_submission")), "left_semi").join(F.broadcast(some), F.col("_any"), "left_anti"))
     named = orphans.withColumnsRenamed({"file_id_namespace": "id_namespace", "file_local_id": "local_id"})
     return left.join(named, ["id_namespace", "local_id"], "left_anti"), kept
 

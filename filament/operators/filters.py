@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filament.functions import scalars
+
 #: Paths whose values are compared stripped and upper case; blanks there set no constraint.
 FOLDED = ("accession_id", "collections.accession_id")
 
@@ -94,7 +96,7 @@ def access_guard(dcc: Column, level: Column, guarded: str = "hubmap") -> Column:
 
 
 #: Fixed value: what an identifier in a path may be.
-IDENTIFIER = r"^[A-Za-z0-9._-]+$"
+IDENTIFIER = r"\A[A-Za-z0-9._-]+\z"
 
 
 def is_identifier(c: Column, dots: bool = True) -> Column:
@@ -108,15 +110,40 @@ def url_allowed(url: Column, hosts: list[str], schemes: tuple[str, ...] = ("http
     return F.coalesce(scheme.isin(*schemes) & ends, F.lit(False))
 
 
-def sidecar(files: Column, fourdn_files: Column, tokens: tuple[str, ...]) -> Column:
-    """The first extra file whose format is one of tokens, else the first of all; own ones before the others."""
-    every = F.concat(F.coalesce(files, F.array().cast("array<struct<href:string,file_format:string>>")), F.coalesce(fourdn_files, F.array().cast("array<struct<href:string,file_format:string>>")))
-    fit = F.filter(every, lambda e: F.lower(e["file_format"]).isin(*tokens))
+#: Sidecar format tokens.
+SIDECARS = ("bai", "tbi", "beddb", "csi", "pairs_px2", "bg_px2")
+
+
+def sidecar(files: Column, fourdn_files: Column, tokens: tuple[str, ...] = SIDECARS) -> Column:
+    """The first extra file whose format is one of tokens, else the first of all; the second list counts only if the first is empty or null.
+
+    A format may be the text of an object with a display_title.
+    """
+    every = F.when(F.coalesce(F.size(files), F.lit(0)) > 0, files).otherwise(fourdn_files)
+    fit = F.filter(every, lambda e: F.lower(scalars.display_title(e["file_format"])).isin(*tokens))
     return F.coalesce(F.try_element_at(fit, F.lit(1)), F.try_element_at(every, F.lit(1)))
 
 
-#: Sidecar format tokens.
-SIDECARS = ("bai", "tbi", "beddb", "csi", "pairs_px2", "bg_px2")
+# Processors in the order they are asked, and the format names each takes.
+PROCESSORS = {
+    "passthrough": ("CSV", "TSV", "bigWig"),
+    "alignment_index": ("BAM", "SAM"),
+    "interval_index": ("VCF", "GFF", "GFF3", "GTF", "BED", "BroadPeak", "NarrowPeak", "bigBed"),
+    "matrix": ("HDF5",),
+}
+
+
+def processor(format_name: Column) -> Column:
+    """The first processor that takes a format; null for formats that none takes."""
+    out = F.lit(None).cast("string")
+    for name, formats in reversed(PROCESSORS.items()):
+        out = F.when(format_name.isin(*formats), F.lit(name)).otherwise(out)
+    return out
+
+
+def is_interaction(format_name: Column) -> Column:
+    """Whether a file is a set of interactions, which its format name alone tells."""
+    return F.coalesce(format_name == "bigInteract", F.lit(False))
 
 
 def matrix_kind(format_name: Column, filename: Column) -> Column:

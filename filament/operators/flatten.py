@@ -8,6 +8,7 @@ through the first copy of a key.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +19,8 @@ from pyspark.sql import types as T
 from filament.functions.scalars import canonical_json, parse_int, timestamp_utc
 from filament.operators.integrity import duplicate_keys, missing_parents, not_one_to_one, require_none
 from filament.operators.registry import Registry
-from filament.runtime import persisted
+from filament.operators.slices import replace_folder
+from filament.runtime import deleted, persisted
 
 KEY = ("id_namespace", "local_id")
 
@@ -80,6 +82,25 @@ FILE = _struct(
 )
 
 
+def conform(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value in another type of the same shape: members by name, those that are missing null, others dropped."""
+    if isinstance(want, T.StructType):
+        names = {f.name: f.dataType for f in have.fields}
+        none = lambda f: F.lit(None).cast(f.dataType)
+        members = F.struct(*((conform(c[f.name], names[f.name], f.dataType) if f.name in names else none(f)).alias(f.name) for f in want.fields))
+        return F.when(c.isNotNull(), members)
+    if isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: conform(x, have.elementType, want.elementType))
+    return c.cast(want)
+
+
+def as_documents(df: DataFrame, *more: str) -> DataFrame:
+    """Rows as documents of type FILE (missing members null, others dropped), and further columns."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    columns = [conform(F.col(f.name), kinds[f.name], f.dataType).alias(f.name) if f.name in kinds else F.lit(None).cast(f.dataType).alias(f.name) for f in FILE.fields]
+    return df.select(*columns, *more)
+
+
 def _any(struct: Column) -> Column:
     """Whether any member of a struct is set.
 
@@ -97,6 +118,31 @@ def _good_term(t: str) -> Column:
     return F.coalesce(F.col(f"{t}.id") != "", F.lit(False)) & F.coalesce(F.col(f"{t}.name") != "", F.lit(False))
 
 
+#: Version of the tables' layout.
+SCHEMA_VERSION = 1
+
+
+def _bad_terms(t: str) -> tuple[Column, Column]:
+    """Whether a term that is there has no id, and whether it has an id but no name."""
+    there, no_id = F.col(t).isNotNull(), F.coalesce(F.col(f"{t}.id"), F.lit("")) == ""
+    return there & no_id, there & ~no_id & (F.coalesce(F.col(f"{t}.name"), F.lit("")) == "")
+
+
+def _term_counts(*terms: str) -> dict[str, Column]:
+    bad = [_bad_terms(t) for t in terms]
+    return {n: reduce(lambda a, b: a + b, (x[i].cast("long") for x in bad)) for i, n in enumerate(("term_id_missing", "term_name_missing"))}
+
+
+def _half(ns: str, lid: str) -> Column:
+    """Whether one half of a key is blank."""
+    return _blank_null(F.col(ns)).isNull() != _blank_null(F.col(lid)).isNull()
+
+
+def _lost(text: str, read: Column) -> Column:
+    """Whether a text that is not blank could not be read."""
+    return F.coalesce(F.trim(text) != "", F.lit(False)) & read.isNull()
+
+
 def _term_id(t: str) -> Column:
     return F.when(_good_term(t), F.col(f"{t}.id"))
 
@@ -107,8 +153,7 @@ class Dump:
 
     tables: dict[str, DataFrame]
     registries: dict[str, Registry]
-    counters: dict[str, Column] = field(default_factory=dict)
-    documents: DataFrame | None = None
+    counters: list[tuple[DataFrame, dict[str, Column]]] = field(default_factory=list)
 
     def check(self) -> None:
         """Raise for what the relational model rules out: repeated file keys, keys under two submissions, centres that do not go one to one with submissions, missing parents."""
@@ -120,23 +165,43 @@ class Dump:
             require_none(missing_parents(self.tables[child], foreign, self.tables[parent], keys), f"{child} {foreign} without {parent}")
 
     def stats(self) -> DataFrame:
-        """(name, value): rows_<table>, conflicts_<table> and the counters; one job a figure, so that no plan holds all tables."""
-        spark = self.documents.sparkSession
-        out = {f"rows_{n}": t.count() for n, t in self.tables.items()}
-        out |= {f"conflicts_{n}": r.conflicts().first()["conflicts"] for n, r in self.registries.items() if r.columns}
-        counted = self.documents.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in self.counters.items())).first()
-        out |= counted.asDict()
-        out["project_stubs_created"] = self.registries["project"].stubs_created().first()[0]
-        out["project_stubs_surviving"] = self.registries["project"].stubs_surviving().first()[0]
-        return spark.createDataFrame(sorted(out.items()), "name string, value long")
+        """(name, value): rows_<table>, conflicts_<table> and the counters, as one plan of small aggregates."""
+
+        def named(df: DataFrame, names: dict[str, Column]) -> DataFrame:
+            return df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("long").alias("value")) for n, c in names.items()))))
+
+        parts = []
+        for name, r in self.registries.items():
+            of = {f"rows_{name}": F.col("rows")} | ({f"conflicts_{name}": F.col("conflicts")} if r.columns else {})
+            if name == "project":
+                of |= {"project_stubs_created": F.col("stubs_created"), "project_stubs_surviving": F.col("stubs_surviving")}
+            parts.append(named(r.summary(), of))
+        parts += [named(t.agg(F.count("*").alias("n")), {f"rows_{n}": F.col("n")}) for n, t in self.tables.items() if n not in self.registries]
+        for df, counts in self.counters:
+            parts.append(named(df.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in counts.items())), {n: F.col(n) for n in counts}))
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("name").agg(F.sum("value").alias("value"))
+
+    def info(self, **more: str) -> DataFrame:
+        """One row about the dump: schema version, time, its submissions in order and number of files, and what more is given."""
+        of = self.tables["file"].agg(F.coalesce(F.array_sort(F.collect_set("submission")), F.array().cast("array<string>")).alias("submissions"), F.count("*").alias("file_count"))  # as many as centres
+        return of.select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("generated_at"), "*", *(F.lit(v).alias(k) for k, v in more.items()))
 
     def conflict_samples(self, most: int = 1000) -> DataFrame:
         return reduce(DataFrame.unionByName, (r.conflict_samples(most) for r in self.registries.values() if r.columns))
 
     def write(self, path: str) -> None:
-        """Every table as Parquet under path."""
-        for name, t in self.tables.items():
-            t.write.mode("overwrite").parquet(f"{path}/{name}")
+        """Every table as Parquet under path, with dump_stat and dump_info. The folder is there as a whole or not at all: it is written beside and renamed, and what a failure leaves is deleted."""
+        every = self.tables | {"dump_stat": self.stats(), "dump_info": self.info()}
+        spark = self.tables["file"].sparkSession
+        part = f"{path}.part-{uuid.uuid4().hex}"
+        try:
+            for name, t in every.items():
+                t.write.parquet(f"{part}/{name}")
+            replace_folder(spark, part, path)
+        except BaseException:
+            deleted(spark, part)
+            raise
 
 
 def _pair(side: str) -> list[str]:
@@ -159,33 +224,47 @@ FOREIGN_KEYS = (
 )
 
 
+def _keyed(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.coalesce(F.col(c) != "", F.lit(False)) for c in columns))
+
+
 def flatten(docs: DataFrame) -> Dump:
     """The relational tables of documents of type FILE with an ord column (persist it: copies are ranked by it).
 
     Documents without submission, key or dcc id are left out and counted as invalid. Sizes
     and times that cannot be read are null and counted. A project key of which one half is
     blank is null and counted; a key whose project object is not in the document makes a
-    stub. Terms without id or name are null and counted.
+    stub. Terms without id or name are null and counted. Collections, biosamples and subjects without a
+    whole key are left out with all they hold, and counted.
     """
     ok = reduce(lambda a, b: a & b, (F.coalesce(F.col(c) != "", F.lit(False)) for c in ("submission", "id_namespace", "local_id", "dcc.id")))
     f = docs.where(ok)
-    half = (_blank_null(F.col("project_id_namespace")).isNull()) != (_blank_null(F.col("project_local_id")).isNull())
-    counters = {
-        "invalid_documents": ~ok,
-        "size_in_bytes_uncoercible": ok & (F.trim("size_in_bytes") != "") & parse_int(F.col("size_in_bytes")).isNull(),
-        "creation_time_unparseable": ok & (F.trim("creation_time") != "") & timestamp_utc(F.col("creation_time")).isNull(),
-        "project_fk_incomplete": ok & half,
-        "term_id_missing": ok & F.col("file_format").isNotNull() & (F.coalesce(F.col("file_format.id"), F.lit("")) == ""),
-    }
+    time_lost = lambda c: {"creation_time_unparseable": _lost(c, timestamp_utc(F.col(c)))}
+    half_project = lambda at: {"project_fk_incomplete": _half(f"{at}project_id_namespace", f"{at}project_local_id")}
+    counters = [
+        (docs, {"documents_invalid": ~ok}),
+        (f, {"size_in_bytes_uncoercible": _lost("size_in_bytes", parse_int(F.col("size_in_bytes")))} | time_lost("creation_time") | half_project("") | _term_counts("file_format", "data_type", "assay_type")),
+    ]
     # each level's objects with their order: document, then place in the arrays
-    place = lambda *cs: F.concat_ws(".", *(F.lpad(F.col(c).cast("string"), 6, "0") for c in cs))
+    place = lambda *cs: F.concat_ws(".", *(F.lpad(F.col(c).cast("string"), 10, "0") for c in cs))
     at_file = F.lpad(F.col("ord").cast("string"), 19, "0")
     cs = f.select("submission", *(F.col(k).alias(f"file_{k}") for k in KEY), at_file.alias("ord"), F.posexplode("collections").alias("i", "c")).withColumn("ord", F.concat_ws(".", "ord", place("i"))).where(F.col("c").isNotNull())
     bs = cs.select("submission", "ord", F.col("c.id_namespace").alias("c_ns"), F.col("c.local_id").alias("c_id"), F.posexplode("c.biosamples").alias("j", "b")).withColumn("ord", F.concat_ws(".", "ord", F.lit("1"), place("j"))).where(F.col("b").isNotNull())
-    s1 = bs.select("submission", "ord", F.col("b.id_namespace").alias("p_ns"), F.col("b.local_id").alias("p_id"), F.posexplode("b.subjects").alias("k", "s")).withColumn("ord", F.concat_ws(".", "ord", place("k"))).where(F.col("s").isNotNull())
+    s1 = bs.select("submission", "ord", F.col("c_ns").alias("g_ns"), F.col("c_id").alias("g_id"), F.col("b.id_namespace").alias("p_ns"), F.col("b.local_id").alias("p_id"), F.posexplode("b.subjects").alias("k", "s")).withColumn("ord", F.concat_ws(".", "ord", place("k"))).where(F.col("s").isNotNull())
     s2 = cs.select("submission", "ord", F.col("c.id_namespace").alias("p_ns"), F.col("c.local_id").alias("p_id"), F.posexplode("c.subjects").alias("k", "s")).withColumn("ord", F.concat_ws(".", "ord", F.lit("2"), place("k"))).where(F.col("s").isNotNull())
     cs, bs, s1, s2 = (persisted(df, n) for df, n in ((cs, "collections"), (bs, "biosamples"), (s1, "biosample-subjects"), (s2, "collection-subjects")))  # read by many tables
-    ss = s1.unionByName(s2)
+    # what has no key is counted and left out, and so is all that it holds
+    bs, s1, s2 = bs.where(_keyed("c_ns", "c_id")), s1.where(_keyed("g_ns", "g_id", "p_ns", "p_id")), s2.where(_keyed("p_ns", "p_id"))
+    counters += [(df, {"entities_missing_key": ~_keyed(f"{x}.id_namespace", f"{x}.local_id")}) for df, x in ((cs, "c"), (bs, "b"), (s1, "s"), (s2, "s"))]
+    cs, bs, s1, s2 = (df.where(_keyed(f"{x}.id_namespace", f"{x}.local_id")) for df, x in ((cs, "c"), (bs, "b"), (s1, "s"), (s2, "s")))
+    ss = s1.unionByName(s2.withColumns({"g_ns": F.lit(None).cast("string"), "g_id": F.lit(None).cast("string")}))
+    counters += [
+        (cs, time_lost("c.creation_time") | {"date_created_unparseable": _lost("c.extra.fourdn.date_created", timestamp_utc(F.col("c.extra.fourdn.date_created")))}),
+        (cs.select(F.explode("c.anatomy").alias("a")), _term_counts("a")),
+        (bs, time_lost("b.creation_time") | half_project("b.") | _term_counts("b.anatomy")),
+        (ss, time_lost("s.creation_time") | half_project("s.") | _term_counts("s.taxonomy")),
+        (f.select(F.explode("extra.fourdn.extra_files").alias("x")), {"extra_file_size_uncoercible": _lost("x.file_size", parse_int(F.col("x.file_size")))}),
+    ]
     stub = F.lit(False).alias("stub")
 
     def entity(df: DataFrame, x: str, columns: list[str], **other: Column) -> DataFrame:
@@ -260,4 +339,4 @@ def flatten(docs: DataFrame) -> Dump:
     tables["file_extra_fourdn_extra_file"] = xs.select(*KEY, "ordinal", "x.href", "x.md5sum", parse_int(F.col("x.file_size")).alias("file_size"), "x.file_format")
     tables["file_extra_encode"] = extension(fo, "extra.encode", FILE_ENCODE).drop("ord", "stub")
     tables["file_extra_hubmap"] = extension(fo, "extra.hubmap", FILE_HUBMAP).drop("ord", "stub")
-    return Dump(tables, registries, counters, docs)
+    return Dump(tables, registries, counters)

@@ -68,7 +68,7 @@ def materialize(tables: dict[str, DataFrame], submission: str | None = None) ->
 
     Format, data and assay terms: blank gives null, a hit the term, a miss leaves the text
     in <column>_raw beside a null term; an anatomy that is missed is null. A file without a
-    usable link to a collection takes the last collection of the same persistent_id.
+    usable link to a collection takes the last collection of the same persistent_id. ord stays.
     """
     t = {}
     for name, df in tables.items():
@@ -146,4 +146,4 @@ def materialize(tables: dict[str, DataFrame], submission: str | None = None) ->
     out = lookup(out, dcc, {"submission": "submission"}, "dcc", ["ord"], [x for x in dcc.columns if x not in ("ord", "submission", "table")])
     out = lookup(out, t["project"], {"project_id_namespace": "id_namespace", "project_local_id": "local_id"}, "project", ["ord"], [x for x in t["project"].columns if x not in ("ord", "submission", "table")])
     raw = F.coalesce(F.col("file_format.id"), F.col("file_format_raw"))
-    return out.withColumn("enriched_file_format", F.when(scalars.format_is_open(raw), scalars.enriched_file_format(F.col("filename")))).drop("ord")
+    return out.withColumn("enriched_file_format", F.when(scalars.format_is_open(raw), scalars.enriched_file_format(F.col("filename"))))

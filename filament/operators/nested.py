@@ -364,8 +364,11 @@ def _few_paths(seen: DataFrame) -> list[tuple[str, str]]:
 
 
 def _plain(v: Any) -> str | None:
+    """A value as text: JSON for objects and arrays, a whole number without a fraction however it was written."""
     if v is None or isinstance(v, str):
         return v
+    if isinstance(v, float) and v.is_integer() and abs(v) < 2**63:
+        return str(int(v))
     return write(v)
 
 

@@ -23,6 +23,42 @@ def files(docs: DataFrame, tree: Any = None, page: int = 0, page_size: int = PAG
     return docs.where(matching(tree, docs.schema)).orderBy(*key).offset(page * page_size).limit(page_size)
 
 
+def files_with_total(docs: DataFrame, tree: Any = None, page: int = 0, page_size: int = PAGE_SIZE, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(total_count, items) in one row: how many documents match, whatever the page, and the page's documents by key."""
+    fields = F.struct(*docs.columns)
+    items = files(docs, tree, page, page_size, key).select(F.struct(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), fields.alias("doc")).alias("x"))  # a page at most
+    items = items.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["doc"]).alias("items"))
+    kind = items.schema["items"].dataType
+    both = file_count(docs, tree).withColumn("items", F.lit(None).cast(kind)).unionByName(items.withColumn("total_count", F.lit(None).cast("long")))
+    return both.agg(F.max("total_count").alias("total_count"), F.first("items", ignorenulls=True).alias("items"))
+
+
+def file(docs: DataFrame, key: dict[str, Any]) -> DataFrame:
+    """The document with a key; no row if there is none."""
+    condition = F.lit(True)
+    for c, v in key.items():
+        condition = condition & (F.col(c) == F.lit(v))
+    return docs.where(condition).limit(1)
+
+
+# The fields that distinct_fields() answers.
+DISTINCT_FIELDS = frozenset({
+    "dcc.id", "dcc.dcc_name", "dcc.dcc_abbreviation", "data_type.id", "data_type.name", "assay_type.id", "assay_type.name", "file_format.id", "file_format.name",
+    "compression_format", "mime_type", "analysis_type", "genome_assembly", "genome_annotation", "output_type", "status", "data_access_level",
+    "extra.encode.annotation_type", "extra.encode.organism", "extra.encode.assembly",
+})
+
+
+def distinct_fields(docs: DataFrame, fields: list[str], tree: Any = None, allowed: frozenset[str] = DISTINCT_FIELDS) -> DataFrame:
+    """(place, field, values): a row a field in the order of the request, with its distinct values in order; no values give an empty list.
+
+    The fields that are allowed are small vocabularies, so their values fit into a row.
+    """
+    asked = docs.sparkSession.createDataFrame([(i, f) for i, f in enumerate(fields)], "place int, field string")
+    found = distinct_values(docs, list(dict.fromkeys(fields)), tree, set(allowed)).groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return asked.join(found, "field", "left").select("place", "field", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+
+
 def file_count(docs: DataFrame, tree: Any = None) -> DataFrame:
     """(total_count) of the matching documents."""
     return docs.where(matching(tree, docs.schema)).agg(F.count("*").alias("total_count"))

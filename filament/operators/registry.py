@@ -55,6 +55,29 @@ class Registry:
         found = rows.where("x.differs").orderBy("ord", "natural_key", "nth").limit(most)
         return found.select(F.lit(self.name).alias("table_name"), "natural_key", "x.column_name", "x.kept_value", "x.discarded_value")
 
+    def summary(self) -> DataFrame:
+        """(table_name, rows, conflicts, stubs_created, stubs_surviving) in one row.
+
+        Equal copies are counted together first, so that a hot key's copies are few rows
+        before they meet; what differs from the first real copy is all real copies but its equals.
+        """
+        value = F.struct(*self.columns) if self.columns else F.lit(0)
+        real = lambda c: F.when(~F.col("stub"), c)
+        same = self.copies.withColumn("_value", value).groupBy(*self.keys, "stub", "_value").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+        per_key = same.groupBy(*self.keys).agg(
+            F.coalesce(F.sum(real(F.col("n"))), F.lit(0)).alias("reals"),
+            F.coalesce(F.min_by(real(F.col("n")), real(F.col("first"))), F.lit(0)).alias("kept"),
+            F.min_by("stub", "first").alias("stub_first"),
+        )
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        return per_key.agg(
+            F.lit(self.name).alias("table_name"),
+            F.count("*").alias("rows"),
+            total(F.col("reals") - F.col("kept")).alias("conflicts"),
+            F.count(F.when(F.col("stub_first"), 1)).alias("stubs_created"),
+            F.count(F.when(F.col("reals") == 0, 1)).alias("stubs_surviving"),
+        )
+
     def two_submissions(self, submission: str = "submission") -> DataFrame:
         """Keys that occur under more than one submission, stubs included."""
         n = F.count_distinct(submission)

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def replace_slice(old: DataFrame, new: DataFrame, slice_of: dict[str, str]) -> DataFrame:
-    """old without the rows of a slice (column -> value), and the new rows."""
+def in_slice(slice_of: dict[str, str | None]) -> Column:
+    """Whether a row is in a slice (dotted column -> value); None means that the column has no value."""
     inside = F.lit(True)
     for c, v in slice_of.items():
-        inside = inside & F.col(c).eqNullSafe(F.lit(v))
-    return old.where(~inside).unionByName(new, allowMissingColumns=True)
+        inside = inside & (F.col(c).isNull() if v is None else F.coalesce(F.col(c) == v, F.lit(False)))
+    return inside
+
+
+def replace_slice(old: DataFrame, new: DataFrame, slice_of: dict[str, str | None]) -> DataFrame:
+    """old without the rows of a slice, and the new rows."""
+    return old.where(~in_slice(slice_of)).unionByName(new, allowMissingColumns=True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,6 +82,22 @@ def publish(df: DataFrame, path: str) -> str:
     return version
 
 
+def replace_folder(spark, part: str, path: str) -> None:
+    """Put a folder in place of another one: the old one steps aside, and comes back if the new one cannot take its place."""
+    new, fs = _fs(spark, part)
+    target, _ = _fs(spark, path)
+    aside, _ = _fs(spark, f"{part}-old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"{path} cannot be replaced")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(aside, target)
+        raise OSError(f"{path} cannot be written")
+    if had:
+        fs.delete(aside, True)
+
+
 def read_current(spark, path: str) -> DataFrame:
     """The version that is current when this is called; it stays readable while later ones are published."""
     version = spark.read.text(f"{path}/CURRENT").first()[0]

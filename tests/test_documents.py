@@ -80,7 +80,7 @@ def dump(spark, docs):
     return flatten.flatten(df)
 
 
-def test_flatten(spark):
+def test_flatten(spark, tmp_path):
     other = document("f2", size_in_bytes="12.0", creation_time="soon", project_local_id="", project={"id_namespace": "n", "local_id": "p", "name": "P"}, extra={"encode": {"run_type": "x"}, "fourdn": {"extra_files": [{"href": "h0", "file_size": "7"}, {"href": "h1", "file_size": "x"}]}})
     other["collections"] = [{"id_namespace": "n", "local_id": "c1", "name": "second"}]
     real = document("f3", project={"id_namespace": "n", "local_id": "p", "name": "P"}, collections=[])
@@ -95,8 +95,21 @@ def test_flatten(spark):
     assert t["file_extra_encode"].count() == 1 and t["file_extra_hubmap"].count() == 0 and t["subject_race"].count() == 2
     stats = {r.name: r.value for r in d.stats().collect()}
     assert stats["rows_file"] == 3 and stats["conflicts_collection"] == 1 and stats["conflicts_subject"] == 0
-    assert (stats["invalid_documents"], stats["size_in_bytes_uncoercible"], stats["creation_time_unparseable"], stats["project_fk_incomplete"]) == (1, 1, 1, 1)
+    assert (stats["documents_invalid"], stats["size_in_bytes_uncoercible"], stats["creation_time_unparseable"], stats["project_fk_incomplete"]) == (1, 1, 1, 1)
     assert (stats["project_stubs_created"], stats["project_stubs_surviving"]) == (1, 0)
+    for name, reg in d.registries.items():
+        one = reg.summary().first()
+        assert (one.rows, one.stubs_created, one.stubs_surviving) == (reg.rows().count(), reg.stubs_created().first()[0], reg.stubs_surviving().first()[0])
+        assert not reg.columns or one.conflicts == reg.conflicts().first()["conflicts"]
+    assert (stats["term_id_missing"], stats["term_name_missing"], stats["entities_missing_key"], stats["extra_file_size_uncoercible"]) == (0, 1, 0, 1)
+    info = d.info(source="docs").first()
+    assert (info.submissions, info.file_count, info.source) == (["a"], 3, "docs")
+    d.write(f"{tmp_path}/dump")
+    d.write(f"{tmp_path}/dump")
+    assert spark.read.parquet(f"{tmp_path}/dump/file").count() == 3 and spark.read.parquet(f"{tmp_path}/dump/dump_stat").count() == len(stats) and [x.name for x in tmp_path.iterdir()] == ["dump"]
+    with pytest.raises(Exception, match="boom|USER_RAISED"):
+        flatten.Dump(t | {"dcc": t["dcc"].withColumn("dcc_name", F.raise_error(F.lit("boom")).cast("string"))}, d.registries, d.counters).write(f"{tmp_path}/dump")
+    assert [x.name for x in tmp_path.iterdir()] == ["dump"]
     assert [tuple(r) for r in d.registries["collection"].conflict_samples().collect()] == [("collection", "n|c1", "name", "first", "second")]
     v = views.file_view(t)
     assert v.count() == 3 and v.where("local_id = 'f1'").first().file_format_name == "F"
@@ -107,6 +120,10 @@ def test_flatten(spark):
 
 
 def test_flatten_checks(spark):
+    lost = document("f1")
+    lost["collections"] = [{"id_namespace": "n", "local_id": "", "biosamples": lost["collections"][0]["biosamples"]}]
+    d = dump(spark, [lost])
+    assert all(d.tables[n].count() == 0 for n in ("collection", "biosample", "subject", "file_in_collection")) and {r.name: r.value for r in d.stats().collect()}["entities_missing_key"] == 1
     with pytest.raises(IntegrityError, match="repeated file keys"):
         dump(spark, [document("f1"), document("f1")]).check()
     with pytest.raises(IntegrityError, match="two submissions"):
@@ -165,9 +182,33 @@ def test_enrichment(spark):
     got = {r.local_id: r for r in enrich.enrich_files(files, found, tiers).collect()}
     assert got["1"].genome_assembly == got["2"].genome_assembly == "GRCh38" and got["3"].genome_assembly == "keep"
     assert (got["1"].biological_replicates, got["1"].technical_replicates, got["2"].cell_line_tier, got["1"].output_type) == ("1,", "2", "Tier 1", None)
-    subjects = spark.createDataFrame([("n", "x-u2-u1"), ("n", "none")], "id_namespace string, local_id string")
-    donors = spark.createDataFrame([("u1", "a", 0), ("u2", "b", 1), ("", "c", 2)], "uuid string, sex string, ord int")
-    assert {r.local_id: r.donor_sex for r in enrich.enrich_subjects(subjects, donors).collect()} == {"x-u2-u1": "a", "none": None}
+    subjects = spark.createDataFrame([("hubmap", "n", "x-u2-u1"), ("hubmap", "n", "none"), ("other", "n", "y-u1"), ("hubmap", "n", "u3")], "submission string, id_namespace string, local_id string")
+    first = '{"sex": ["Male"], "age_value": [41.5], "race": ["a", "b"], "medical_history": [], "social_history": ["x"], "height_unit": null, "weight_value": 80}'
+    donors = spark.createDataFrame([("u1", first, 1), ("u2", '{"sex": "Female"}', 2), ("", first, 0), ("u3", '{"medical_history": []}', 3), ("none", None, 0)], "uuid string, metadata string, ord int")
+    got = {r.local_id: r.extra and r.extra.hubmap for r in enrich.enrich_subjects(subjects, donors).collect()}
+    x = got["x-u2-u1"]
+    assert (x.sex, x.age_value, x.race, x.medical_history, x.social_history, x.height_unit, x.weight_value) == ("Male", 41.5, '["a","b"]', None, ["x"], None, 80.0)
+    assert got["none"] is got["y-u1"] is got["u3"] is None
+
+
+def test_collections_enriched(spark):
+    schema = "submission string, local_id string, persistent_id string, accession_id string, experiment_type string, extra struct<encode:struct<project:string>,fourdn:struct<status:string>>"
+    rows = [("4dn", "a", "https://x/experiments/4dnexabc1/", None, "old", (("p",), ("s",))), ("4dn", "b", "x 4DNEXABC2", None, "old", None), ("4dn", "c", None, None, "old", None), ("hubmap", "d", "10.1/x", None, "old", None), ("other", "e", "10.1/x", None, "old", None)]
+    collections = spark.createDataFrame(rows, schema)
+    found = spark.createDataFrame([("4dnexabc1", "L", "", "T", None), ("4DNEXABC2", "L2", "Hi-C", None, None)], "accession string, lab string, experiment_type string, display_title string, status string")
+    got = {r.local_id: r for r in enrich.enrich_collections(collections.withColumn("lab", F.lit(None).cast("string")), found).collect()}
+    assert (got["a"].lab, got["a"].experiment_type, got["a"].extra.fourdn.display_title, got["a"].extra.encode.project) == ("L", "old", "T", "p")
+    assert (got["b"].lab, got["b"].experiment_type, got["b"].extra) == ("L2", "Hi-C", None) and got["c"].lab is None and (got["a"].accession_id, got["c"].accession_id) == ("4DNEXABC1", None)
+    datasets = spark.createDataFrame([("10.1/x", "RNA", None, "P", None), (" ", "no", "no", "no", None)], "doi_url string, dataset_type string, analyte_class string, pipeline string, metadata string")
+    got = {r.local_id: r for r in enrich.enrich_dataset_collections(collections.withColumn("analyte_class", F.lit("dna")), datasets).collect()}
+    assert (got["d"].experiment_type, got["d"].analyte_class, got["d"].extra.hubmap.pipeline) == ("RNA", "dna", "P") and got["e"].experiment_type == "old" and got["a"].extra.encode.project == "p"
+
+
+def test_dotted_updates(spark):
+    df = spark.createDataFrame([(1, ("a", ("b", 1))), (2, None), (3, ("x", None))], "k int, s struct<p:string,q:struct<r:string,n:int>>")
+    new = spark.createDataFrame([(1, "R", None), (2, "S", "Z"), (4, "T", "T")], "k int, r string, z string")
+    got = {r.k: r.s for r in enrich.update_columns(df, new, "k", {"r": "s.q.r", "z": "s.w.z"}).collect()}
+    assert (got[1].p, got[1].q.r, got[1].q.n, got[1].w) == ("a", "R", 1, None) and (got[2].p, got[2].q.r, got[2].w.z) == (None, "S", "Z") and (got[3].p, got[3].q, got[3].w) == ("x", None, None)
 
 
 def test_prune(spark):
