@@ -2,9 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filament.plans import data_problems, data_problems_sql, reference_queries
+from filament.plans import data_problems, data_problems_sql, raw_queries, reference_queries
 from filament.runtime import prepare
 
+# raw_queries registers its queries beside those of reference_queries
+assert raw_queries.register is reference_queries.register
 QUERIES = dict(data_problems.QUERIES) | dict(reference_queries.QUERIES)
 ORACLE = dict(data_problems_sql.ORACLE) | dict(reference_queries.ORACLE)
 

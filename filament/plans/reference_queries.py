@@ -117,15 +117,6 @@ def lookup_composite_guarded(spark, d):
     return ordered.lookup(table(spark, d, "c2m2_file"), table(spark, d, "c2m2_project"), on, "p", ["load_no", "row_id"], ["name"]).select("row_id", F.col("p.name").alias("project_name"))
 
 
-@register("""
-SELECT f.row_id, t.term IS NOT NULL AS hit, coalesce(t.term, f.genome_assembly) AS assembly
-FROM c2m2_file f LEFT JOIN vocab_term t ON t.column_name = 'genome_assembly' AND t.term = f.genome_assembly""")
-def lookup_miss_keeps_raw(spark, d):
-    terms = table(spark, d, "vocab_term").where("column_name = 'genome_assembly'")
-    out = ordered.lookup(table(spark, d, "c2m2_file"), terms, {"genome_assembly": "term"}, "t", ["term_id"], ["term"])
-    return out.select("row_id", F.col("t").isNotNull().alias("hit"), F.coalesce("t.term", "genome_assembly").alias("assembly"))
-
-
 @register("""
 SELECT l_orderkey AS o_orderkey, count(*) AS n, string_agg(p_name, ';' ORDER BY l_linenumber, p_name) AS parts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def bridge_collect(spark, d):
@@ -134,35 +125,6 @@ def bridge_collect(spark, d):
     return out.select(F.col("l_orderkey").alias("o_orderkey"), F.size("parts").cast("bigint").alias("n"), F.array_join("parts", ";").alias("parts"))
 
 
-_KEYED = "SELECT o_orderkey, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
-
-
-@register(f"""
-SELECT o_orderkey, n, 'keyed' AS how FROM ({_KEYED}) UNION ALL
-SELECT o_orderkey, c_nationkey AS n, 'fallback' FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
-def fallback_join(spark, d):
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    keyed = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.count("*").alias("n"))
-    loose = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return keyed.withColumn("how", F.lit("keyed")).unionByName(loose.select("o_orderkey", F.col("c_nationkey").cast("bigint").alias("n"), F.lit("fallback").alias("how")))
-
-
-@register("""
-SELECT l_orderkey, p_name FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1) LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10""")
-def first_edge_only(spark, d):
-    first = ordered.first_wins(table(spark, d, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-    return first.join(table(spark, d, "part").where("p_size > 10"), F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "p_name")
-
-
-@register("""
-SELECT p_brand, count(*) AS edges, round(sum(l_quantity), 2) AS quantity, count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS readable
-FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN events ON event_id = l_orderkey GROUP BY 1""")
-def edge_attribute(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "events"), F.col("event_id") == F.col("l_orderkey"), "left")
-    k = F.get_json_object("props", "$.k").try_cast("double")
-    return rows.groupBy("p_brand").agg(F.count("*").alias("edges"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.count(k).alias("readable"))
-
-
 @register("""
 SELECT p_partkey, n_name FROM part LEFT JOIN nation ON contains(lower(p_name || ' ' || p_type), lower(left(n_name, 2)))
 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n_nationkey) = 1""")
@@ -172,23 +134,6 @@ def theta_contains_first(spark, d):
     return ordered.first_contained(parts, n, "text", "token", ["p_partkey"], ["n_nationkey"]).select("p_partkey", "n_name")
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
-def semi_prune(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
-
-
-@register("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def anti_orphan(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
-
-
-@register("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1, 2")
-def semi_delete_or_keys(spark, d):
-    li = table(spark, d, "lineitem")
-    gone = li.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
-    return li.join(gone, ["l_partkey", "l_suppkey"], "left_anti").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-
-
 @register("""
 WITH first_r AS (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 first_all AS (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY 1)
@@ -199,37 +144,6 @@ def array_first_match(spark, d):
     return lists.select("l_orderkey", filters.sidecar(F.col("items"), F.lit(None), ("r",))["href"].cast("bigint").alias("part"))
 
 
-@register("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority, p_brand, s_name, n_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-LEFT JOIN part ON p_partkey = l_partkey AND p_size < 25 LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = s_nationkey""")
-def view_wide(spark, d):
-    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    out = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    out = out.join(table(spark, d, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left").join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderpriority", "p_brand", "s_name", "n_name")
-
-
-@register("""
-SELECT n_name, c_mktsegment, count(*) AS paths, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON c_custkey = o_custkey
-JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""")
-def view_fanout(spark, d):
-    out = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    out = out.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"), "left")
-    return out.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("paths"), F.count_distinct("o_orderkey").alias("orders"))
-
-
-@register("""
-SELECT row_id, coalesce(f.genome_assembly, p.abbreviation, f.data_type) AS label,
-    CASE WHEN f.genome_assembly IS NOT NULL THEN 'file.genome_assembly' WHEN p.abbreviation IS NOT NULL THEN 'project.abbreviation' WHEN f.data_type IS NOT NULL THEN 'file.data_type' END AS label_source
-FROM c2m2_file f LEFT JOIN (SELECT id_namespace, local_id, max(abbreviation) AS abbreviation FROM c2m2_project GROUP BY 1, 2) p
-ON p.id_namespace = f.project_id_namespace AND p.local_id = f.project_local_id""")
-def view_coalesce_source(spark, d):
-    p = table(spark, d, "c2m2_project").groupBy(F.col("id_namespace").alias("_ns"), F.col("local_id").alias("_id")).agg(F.max("abbreviation").alias("abbreviation"))
-    f = table(spark, d, "c2m2_file").join(p, (F.col("project_id_namespace") == F.col("_ns")) & (F.col("project_local_id") == F.col("_id")), "left")
-    source = F.when(F.col("genome_assembly").isNotNull(), "file.genome_assembly").when(F.col("abbreviation").isNotNull(), "project.abbreviation").when(F.col("data_type").isNotNull(), "file.data_type")
-    return f.select("row_id", F.coalesce("genome_assembly", "abbreviation", "data_type").alias("label"), source.alias("label_source"))
-
-
 # ------------------------------------------------------------------ filters
 @register("""
 SELECT o_orderkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey
@@ -295,11 +209,6 @@ def file_count(spark, d):
     return query.file_count(order_docs(spark, d), [{"o_orderstatus": ["O"], "customer": [{"nation": [{"name": ["FRANCE"]}]}]}])
 
 
-@register("SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'P') AS matching FROM orders")
-def page_total(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "P").alias("matching"))
-
-
 @register("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 40 OFFSET 80")
 def page_window(spark, d):
     return query.files(table(spark, d, "orders"), [{"o_orderstatus": ["P"]}], page=2, page_size=40, key=("o_orderkey",)).select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -411,41 +320,12 @@ def stub_upgrade(spark, d):
     return r.stubs_created().withColumn("k", F.lit(0)).join(r.stubs_surviving().withColumn("k", F.lit(0)), "k").drop("k")
 
 
-@register("SELECT l_partkey, l_suppkey FROM lineitem UNION SELECT o_custkey, o_orderkey FROM orders")
-def junction_union_distinct(spark, d):
-    a = table(spark, d, "lineitem").select("l_partkey", "l_suppkey")
-    return a.unionByName(table(spark, d, "orders").select(F.col("o_custkey").alias("l_partkey"), F.col("o_orderkey").alias("l_suppkey"))).distinct()
-
-
-_COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
-
-
-@register(" UNION ALL ".join(f"SELECT 'rows_{t}' AS name, count(*) AS value FROM {t}" for t in _COUNTED))
-def row_count_stats(spark, d):
-    out = None
-    for t in _COUNTED:
-        one = table(spark, d, t).agg(F.lit(f"rows_{t}").alias("name"), F.count("*").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@register("SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1")
-def ordered_list_aggregate(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("flags"))
-
-
 @register(r"""
 SELECT row_id, ordinal, item FROM (SELECT row_id, unnest(string_split(name, '_')) AS item, generate_subscripts(string_split(name, '_'), 1) - 1 AS ordinal FROM dump_stat WHERE name IS NOT NULL)""")
 def explode_ordinal(spark, d):
     return table(spark, d, "dump_stat").select("row_id", F.posexplode(F.split("name", "_")).alias("ordinal", "item")).select("row_id", *_big("ordinal"), "item")
 
 
-@register("SELECT row_id, read_length, run_type, paired_end FROM file_extra_encode WHERE read_length IS NOT NULL OR run_type IS NOT NULL OR paired_end IS NOT NULL")
-def nonnull_extension(spark, d):
-    x = table(spark, d, "file_extra_encode")
-    return x.where(F.coalesce("read_length", "run_type", "paired_end").isNotNull()).select("row_id", "read_length", "run_type", "paired_end")
-
-
 # ------------------------------------------------------------------ scalars
 @register(r"SELECT row_id, nullif(upper(regexp_replace(accession_id, '^\s+|\s+$', '', 'g')), '') AS accession FROM c2m2_file")
 def norm_accession(spark, d):
@@ -788,12 +668,6 @@ def document_docs(spark: SparkSession, d: str) -> DataFrame:
     return ordered.last_wins(docs, ["id_namespace", "local_id"], ["received_at", "ord"]).drop("_submission", "received_at")
 
 
-@register()
-def dump_stats(spark, d):
-    """Row counts, conflicts and counters of the raw documents' relational dump."""
-    return flatten.flatten(persisted(document_docs(spark, d), "documents")).stats()
-
-
 @register()
 def documents_rebuilt(spark, d):
     """The dump's tables taken as raw tables and materialised again; objects by level and submission."""
