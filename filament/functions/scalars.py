@@ -154,7 +154,7 @@ def single_or_self(c: Column) -> Column:
     v = F.try_parse_json(c)
     alone = F.schema_of_variant(v).startswith("ARRAY<") & F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
     element = F.try_variant_get(v, "$[0]", "variant")
-    return F.when(F.coalesce(alone, F.lit(False)), F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.to_json(element))).otherwise(c)
+    return F.when(F.coalesce(alone, F.lit(False)), F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.nullif(F.to_json(element), F.lit("null")))).otherwise(c)
 
 
 def display_title(c: Column) -> Column:

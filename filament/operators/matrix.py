@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filament.functions import scalars
+
 TILE = 256
 
 
@@ -108,3 +110,49 @@ def tile_requests(ids: DataFrame, column: str, order: str) -> DataFrame:
     good = ids.where(F.col(column).rlike(r"^[A-Za-z0-9_-]+(\.\d+){1,3}$"))
     tagged = F.array_sort(F.collect_list(F.struct(order, column)))
     return good.groupBy(F.substring_index(column, ".", 1).alias("uid")).agg(F.transform(tagged, lambda x: x[column]).alias("tiles"))
+
+
+def requested_tiles(ids: DataFrame, column: str, tilesets: DataFrame) -> DataFrame:
+    """ids with uid, z, x, y, balancing, bin_size and error: one row a requested tile (uid.z.x.y, or uid.z.x.y.balancing), whatever its id.
+
+    tilesets: uid, resolutions, extent (in the units of bins) and balancing columns. z = 0 is
+    the coarsest resolution. An id that cannot be served has the reason as error, and no
+    bin_size unless only its position or balancing is wrong; the others of a request stay whole.
+    """
+    pattern = r"\A([A-Za-z0-9_:-]+)\.(\d{1,9})\.(\d{1,9})\.(\d{1,9})(?:\.([A-Za-z_]\w*))?\z"
+    good = F.coalesce(F.col(column).rlike(pattern), F.lit(False))
+    part = lambda i: F.when(good, F.nullif(F.regexp_extract(column, pattern, i), F.lit("")))
+    asked = ids.withColumns({"uid": part(1), "z": part(2).cast("int"), "x": part(3).cast("long"), "y": part(4).cast("long"), "balancing": part(5)})
+    known = tilesets.select(F.col("uid").alias("_uid"), F.array_sort("resolutions").alias("_r"), F.col("extent").alias("_extent"), F.col("balancing").alias("_columns"))
+    out = asked.join(known, F.col("uid") == F.col("_uid"), "left")
+    bin_size = F.get("_r", F.size("_r") - 1 - F.col("z"))
+    tiles = F.ceil(F.col("_extent") / (bin_size * TILE))
+    error = (
+        F.when(F.col("uid").isNull(), "malformed tile id")
+        .when(F.col("_uid").isNull(), "no such tileset")
+        .when(bin_size.isNull(), "no such zoom level")
+        .when((F.col("x") >= tiles) | (F.col("y") >= tiles), "no such position")
+        .when(F.col("balancing").isNotNull() & ~F.array_contains("_columns", F.col("balancing")), "no such balancing column")
+    )
+    return out.withColumns({"error": error, "bin_size": bin_size}).drop("_uid", "_r", "_extent", "_columns")
+
+
+#: Bytes a matrix file may have to be prepared.
+MOST_BYTES = 20 << 30
+
+
+def within_cap(size: Column, most: int = MOST_BYTES) -> Column:
+    """Whether a file of a size (a number or its text) may be prepared; an unknown size may."""
+    return F.coalesce(scalars.parse_int(size.cast("string")) <= most, F.lit(True))
+
+
+def pyramid(levels: dict[int, DataFrame], chroms: DataFrame) -> dict[int, DataFrame]:
+    """Pixels by bin size for all zoom levels: as they are if there are several, else coarsened from the only one along ladder()."""
+    if len(levels) != 1:
+        return levels
+    (base, pixels), = levels.items()
+    total = chroms.agg(F.sum("length")).first()[0] or 0
+    out, fine = {base: pixels}, make_bins(chroms, base)
+    for size in ladder(base, total)[1:]:
+        out[size] = coarsen(pixels, fine, make_bins(chroms, size))
+    return out

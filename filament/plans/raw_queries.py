@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filament.operators import enrich, flatten, materialize, query, slices, views
-from filament.plans.raw_tables import WITH, raw_tables
+from filament.plans.raw_tables import BASE, WITH, raw_tables
 from filament.plans.reference_queries import register
-from filament.runtime import persisted, table
+from filament.runtime import once, persisted, table
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return materialize.materialize(raw_tables(spark, d))
+    """The materialised documents, as they are stored to be queried: written once a session and folder."""
+    return once(spark, "raw-documents", d, BASE, lambda: materialize.materialize(raw_tables(spark, d)))
 
 
 def dump(spark: SparkSession, d: str) -> flatten.Dump:
-    return flatten.flatten(persisted(flatten.as_documents(documents(spark, d), "ord"), "documents"))
+    return flatten.flatten(flatten.as_documents(documents(spark, d), "ord"))
 
 
 #: Links of files to collections as materialised: h has a row a file (f, its order), submission and collection, with the place in the file's list.
@@ -186,6 +187,33 @@ def dump_stats(spark, d):
     return dump(spark, d).stats()
 
 
+@register(
+    _COPIES
+    + """, fc AS (SELECT DISTINCT f, c FROM h), nb AS (SELECT c, count(DISTINCT b) AS n FROM bs GROUP BY 1), ns AS (SELECT c, count(DISTINCT s) AS n FROM ss WHERE part = 2 GROUP BY 1)
+SELECT file.submission, count(DISTINCT file.ord) AS files, count(fc.c) AS collections, CAST(coalesce(sum(nb.n), 0) AS BIGINT) AS biosamples, CAST(coalesce(sum(ns.n), 0) AS BIGINT) AS subjects
+FROM file LEFT JOIN fc ON fc.f = file.ord LEFT JOIN nb ON nb.c = fc.c LEFT JOIN ns ON ns.c = fc.c GROUP BY 1"""
+)
+def documents_rebuilt(spark, d):
+    """The dump's tables taken as raw tables and materialised again; objects by level and submission."""
+    t = dump(spark, d).tables
+    text = lambda df: df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
+    of = {n: text(t[n]) for n in ("file", "dcc", "project", "collection", "biosample", "subject")}
+    of["file"] = of["file"].withColumn("persistent_id", F.lit(None).cast("string"))  # the dump's links are all there are
+    links = ("file_in_collection", "biosample_in_collection", "subject_in_collection", "collection_anatomy", "subject_race")
+    of |= {n: text(t[n]).withColumn("submission", F.lit(None).cast("string")) for n in links}
+    of["biosample_from_subject"] = text(t["biosample_from_subject"]).withColumns({"submission": F.lit(None).cast("string"), "age_at_sampling": F.lit(None).cast("string")})
+    every = [r.submission for r in t["dcc"].select("submission").distinct().collect()]  # as many as centres
+    for n in ("file_format", "data_type", "assay_type", "anatomy", "ncbi_taxonomy"):  # terms hold for every submission
+        of[n] = text(t[n]).withColumn("submission", F.explode(F.array(*map(F.lit, every))))
+    of["subject_role_taxonomy"] = of["subject"].select("submission", F.col("id_namespace").alias("subject_id_namespace"), F.col("local_id").alias("subject_local_id"), F.col("taxonomy").alias("taxonomy_id")).where("taxonomy_id is not null")
+    of["subject"] = of["subject"].drop("taxonomy", "age_at_sampling")
+    docs = materialize.materialize({n: persisted(df, f"raw-{n}") for n, df in of.items()})
+    n, c = lambda x: F.sum(F.coalesce(x, F.lit(0))).alias, F.col("collections")
+    return docs.groupBy("submission").agg(
+        F.count("*").alias("files"), n(F.size(c))("collections"), n(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["biosamples"])))("biosamples"), n(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["subjects"])))("subjects"),
+    )
+
+
 # ------------------------------------------------------------------ views
 @register(
     _COPIES

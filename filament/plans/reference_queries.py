@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filament.functions import ontology, scalars
-from filament.operators import enrich, filters, flatten, integrity, intervals, materialize, matrix, nested, ordered, query, slices
+from filament.operators import enrich, filters, flatten, integrity, intervals, matrix, nested, ordered, query, slices
 from filament.operators.registry import Registry
-from filament.runtime import persisted, prepare, scratch_path, scratch_tables, table
+from filament.runtime import once, persisted, prepare, scratch_path, scratch_tables, table
 from filament.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,11 @@ def _big(*names: str) -> list:
 
 # ------------------------------------------------------------------ documents
 def order_docs(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as documents: customer with nation, and items with part and supplier in line order."""
+    """Orders as documents, written once a session and folder: customer with nation, and items with part and supplier in line order."""
+    return once(spark, "order-documents", d, ("orders", "lineitem", "part", "supplier", "customer", "nation"), lambda: _order_docs(spark, d))
+
+
+def _order_docs(spark: SparkSession, d: str) -> DataFrame:
     li, p, s = (table(spark, d, n) for n in ("lineitem", "part", "supplier"))
     part = F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type")).alias("part")
     items = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -135,13 +139,17 @@ def theta_contains_first(spark, d):
 
 
 @register("""
-WITH first_r AS (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-first_all AS (SELECT l_orderkey, min_by(l_partkey, (l_linenumber, l_partkey)) AS part FROM lineitem GROUP BY 1)
-SELECT a.l_orderkey, coalesce(r.part, a.part) AS part FROM first_all a LEFT JOIN first_r r USING (l_orderkey)""")
+WITH x AS (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag IN ('R', 'A') AS fit, l_orderkey % 3 > 0 AND l_linenumber % 2 = 1 AS own FROM lineitem),
+k AS (SELECT l_orderkey, bool_or(own) AS has_own FROM x GROUP BY 1)
+SELECT l_orderkey, min_by(l_partkey, (NOT fit, l_linenumber, l_partkey)) AS part FROM x JOIN k USING (l_orderkey) WHERE own = has_own GROUP BY 1""")
 def array_first_match(spark, d):
-    value = F.struct(F.col("l_partkey").cast("string").alias("href"), F.col("l_returnflag").alias("file_format"))
-    lists = ordered.collected(table(spark, d, "lineitem"), ["l_orderkey"], value, ["l_linenumber", "l_partkey"], "items")
-    return lists.select("l_orderkey", filters.sidecar(F.col("items"), F.lit(None), ("r",))["href"].cast("bigint").alias("part"))
+    """F16: the first list decides as long as it has anything; formats as text or as an object with a title."""
+    fmt = F.when(F.col("l_returnflag") == "R", "BAI").when(F.col("l_returnflag") == "A", '{"display_title": "tbi"}').otherwise("fastq")
+    li = table(spark, d, "lineitem").withColumn("own", (F.col("l_orderkey") % 3 > 0) & (F.col("l_linenumber") % 2 == 1))
+    value = F.struct(F.col("own"), F.struct(F.col("l_partkey").cast("string").alias("href"), fmt.alias("file_format")).alias("x"))
+    lists = ordered.collected(li, ["l_orderkey"], value, ["l_linenumber", "l_partkey"], "items")
+    of = lambda own: F.transform(F.filter("items", lambda e: e["own"] == F.lit(own)), lambda e: e["x"])
+    return lists.select("l_orderkey", filters.sidecar(of(True), of(False))["href"].cast("bigint").alias("part"))
 
 
 # ------------------------------------------------------------------ filters
@@ -189,18 +197,23 @@ def filter_access_guard(spark, d):
 
 
 @register(r"""
-SELECT row_id, regexp_matches(local_id, '^[A-Za-z0-9._-]+$') AND length(local_id) <= 256 AS good_id,
-    coalesce(regexp_extract(access_url, '^([a-z0-9]+)://', 1) IN ('https') AND (regexp_extract(access_url, '://([^/:?#]+)', 1) = 'lungbase.example' OR ends_with(regexp_extract(access_url, '://([^/:?#]+)', 1), '.lungbase.example')), false) AS good_url
-FROM c2m2_file""")
+WITH f AS (SELECT row_id, CASE WHEN row_id % 5 = 0 THEN local_id || chr(10) WHEN row_id % 5 = 1 THEN 'a b' ELSE local_id END AS id, access_url FROM c2m2_file)
+SELECT row_id, row_id % 5 > 1 AND regexp_matches(id, '^[A-Za-z0-9._-]+$') AND length(id) <= 256 AS good_id,
+    coalesce(regexp_extract(access_url, '^([a-z0-9]+)://', 1) IN ('https') AND (regexp_extract(access_url, '://([^/:?#]+)', 1) = 'lungbase.example' OR ends_with(regexp_extract(access_url, '://([^/:?#]+)', 1), '.lungbase.example')), false) AS good_url FROM f""")
 def filter_identifier_url(spark, d):
-    return table(spark, d, "c2m2_file").select("row_id", filters.is_identifier(F.col("local_id")).alias("good_id"), filters.url_allowed(F.col("access_url"), ["lungbase.example"]).alias("good_url"))
+    """an identifier with a line end behind it is none."""
+    n = F.col("row_id") % 5
+    name = F.when(n == 0, F.concat("local_id", F.lit("\n"))).when(n == 1, "a b").otherwise(F.col("local_id"))
+    return table(spark, d, "c2m2_file").select("row_id", filters.is_identifier(name).alias("good_id"), filters.url_allowed(F.col("access_url"), ["lungbase.example"]).alias("good_url"))
 
 
 @register("""
-SELECT row_id, CASE WHEN file_format = 'format:3590' THEN CASE WHEN lower(filename) LIKE '%.mcool' THEN 'mcool' WHEN lower(filename) LIKE '%.cool' THEN 'cool' WHEN lower(filename) LIKE '%.hic' THEN 'hic' END END AS kind FROM c2m2_file""")
+WITH n(k, name, processor) AS (VALUES (0, 'HDF5', 'matrix'), (1, 'bigInteract', NULL), (2, 'BAM', 'alignment_index'), (3, 'bigWig', 'passthrough'), (4, 'NarrowPeak', 'interval_index'), (5, 'odd', NULL))
+SELECT row_id, CASE WHEN name = 'HDF5' THEN CASE WHEN lower(filename) LIKE '%.mcool' THEN 'mcool' WHEN lower(filename) LIKE '%.cool' THEN 'cool' WHEN lower(filename) LIKE '%.hic' THEN 'hic' END END AS kind, processor, name = 'bigInteract' AS interaction FROM c2m2_file JOIN n ON k = row_id % 6""")
 def format_routing(spark, d):
-    fmt = F.when(F.col("file_format") == "format:3590", "HDF5")
-    return table(spark, d, "c2m2_file").select("row_id", filters.matrix_kind(fmt, F.col("filename")).alias("kind"))
+    """contact matrices by name and suffix, the processor of a format, and interactions by format name."""
+    fmt = F.element_at(F.array(*map(F.lit, ("HDF5", "bigInteract", "BAM", "bigWig", "NarrowPeak", "odd"))), (F.col("row_id") % 6 + 1).cast("int"))
+    return table(spark, d, "c2m2_file").select("row_id", filters.matrix_kind(fmt, F.col("filename")).alias("kind"), filters.processor(fmt).alias("processor"), filters.is_interaction(fmt).alias("interaction"))
 
 
 # ------------------------------------------------------------------ pages, counts, distinct values
@@ -320,10 +333,31 @@ def stub_upgrade(spark, d):
     return r.stubs_created().withColumn("k", F.lit(0)).join(r.stubs_surviving().withColumn("k", F.lit(0)), "k").drop("k")
 
 
-@register(r"""
-SELECT row_id, ordinal, item FROM (SELECT row_id, unnest(string_split(name, '_')) AS item, generate_subscripts(string_split(name, '_'), 1) - 1 AS ordinal FROM dump_stat WHERE name IS NOT NULL)""")
+def _with_extras(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Tables of documents with sidecar files (items of orders) and extensions."""
+    items = table(spark, d, "lineitem").where("l_orderkey % 2 = 0")
+    size = F.when(F.col("l_linenumber") % 3 == 0, "n/a").otherwise(F.col("l_suppkey").cast("string"))
+    lists = ordered.collected(items, ["l_orderkey"], F.struct(F.col("l_partkey").cast("string").alias("href"), size.alias("file_size")), ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "files")
+    dcc = F.struct(F.lit("dcc:s").alias("id"))
+    one = lists.select(F.lit("s").alias("submission"), F.lit("o").alias("id_namespace"), F.col("l_orderkey").cast("string").alias("local_id"), dcc.alias("dcc"), F.struct(F.struct(F.col("files").alias("extra_files")).alias("fourdn")).alias("extra"), F.col("l_orderkey").alias("ord"))
+    x = table(spark, d, "file_extra_encode")
+    members = F.struct("read_length", "run_type", "paired_end")
+    two = x.select(F.lit("s").alias("submission"), F.lit("x").alias("id_namespace"), F.col("row_id").cast("string").alias("local_id"), dcc.alias("dcc"), F.struct(members.alias("encode")).alias("extra"), (F.col("row_id") + 10**9).alias("ord"))
+    return flatten.flatten(flatten.as_documents(one, "ord").unionByName(flatten.as_documents(two, "ord"))).tables
+
+
+@register("""
+SELECT CAST(l_orderkey AS VARCHAR) AS local_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS ordinal, CAST(l_partkey AS VARCHAR) AS href, CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_suppkey AS VARCHAR) END AS file_size
+FROM lineitem WHERE l_orderkey % 2 = 0""")
 def explode_ordinal(spark, d):
-    return table(spark, d, "dump_stat").select("row_id", F.posexplode(F.split("name", "_")).alias("ordinal", "item")).select("row_id", *_big("ordinal"), "item")
+    """Sidecar files of documents with their place."""
+    return _with_extras(spark, d)["file_extra_fourdn_extra_file"].select("local_id", *_big("ordinal"), "href", F.col("file_size").cast("string").alias("file_size"))
+
+
+@register("SELECT CAST(row_id AS VARCHAR) AS local_id, read_length, run_type, paired_end FROM file_extra_encode WHERE read_length IS NOT NULL OR run_type IS NOT NULL OR paired_end IS NOT NULL")
+def nonnull_extension(spark, d):
+    """Extension rows of the documents that have any value there."""
+    return _with_extras(spark, d)["file_extra_encode"].select("local_id", "read_length", "run_type", "paired_end")
 
 
 # ------------------------------------------------------------------ scalars
@@ -353,7 +387,10 @@ def basename_ext(spark, d):
 WITH n AS (SELECT row_id, lower(string_split(regexp_replace(filename, '^\s+|\s+$', '', 'g'), '/')[-1]) AS b FROM c2m2_file)
 SELECT row_id, CASE WHEN b IS NULL OR b = '' THEN NULL WHEN regexp_matches(b, '\.starch$|\.bz2$|\.zip$|\.zst$|\.xz$') THEN NULL WHEN regexp_matches(b, '\.gzip$|\.gz$|\.tgz$') THEN 'format:3989' WHEN b LIKE '%.bgz' THEN 'format:3615' ELSE '' END AS compression FROM n""")
 def compression_suffix(spark, d):
-    return table(spark, d, "c2m2_file").select("row_id", scalars.compression_format(F.col("filename")).alias("compression"))
+    """Of names, and of URLs whose query and fragment do not count."""
+    name = scalars.stripped(F.col("filename"))
+    url = F.concat(F.lit("https://h/x.gz/"), F.url_encode(F.substring_index(name, "/", -1)), F.lit("?file=a.gz#b.zip"))
+    return table(spark, d, "c2m2_file").select("row_id", scalars.compression_format(F.when((F.col("row_id") % 2 == 0) & (name != ""), F.replace(url, F.lit("+"), F.lit("%20"))).otherwise(F.col("filename"))).alias("compression"))
 
 
 @register(r"""
@@ -381,9 +418,11 @@ def ts_utc(spark, d):
     return table(spark, d, "c2m2_file").select("row_id", scalars.timestamp_utc(F.col("creation_time")).alias("utc"))
 
 
-@register("""SELECT event_id, '{"a":"x","k":"' || json_extract_string(props, '$.k') || '","z":"' || event_type || '"}' AS canonical FROM events""")
+@register("""SELECT event_id, '{"a":"' || event_type || '","k":' || coalesce(json_extract_string(props, '$.k'), 'null') || ',"z":{"x":"t","y":[1,2.5,{"p":null,"q":true}]}}' AS canonical FROM events""")
 def json_canonical(spark, d):
-    text = F.concat(F.lit('{"z":"'), "event_type", F.lit('","k":"'), F.get_json_object("props", "$.k"), F.lit('","a":"x"}'))
+    """Numbers, nested objects and objects in arrays."""
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("null"))
+    text = F.concat(F.lit('{"z": {"y": [1, 2.5, {"q": true, "p": null}], "x": "t"}, "k": '), k, F.lit(', "a": "'), "event_type", F.lit('"}'))
     return table(spark, d, "events").select("event_id", scalars.canonical_json(text).alias("canonical"))
 
 
@@ -415,24 +454,28 @@ def scrub_paths(spark, d):
     return table(spark, d, "c2m2_file").select("row_id", scalars.redacted_url(url).alias("redacted"), scalars.scrubbed(message).alias("scrubbed"))
 
 
-@register(
-    "WITH v(k, id, name) AS (VALUES "
-    + ", ".join(f"('{k}', '{i}', '{n}')" for k, (i, n) in ontology.ORGANISM_TERMS.items())
-    + ") SELECT row_id, v.id AS taxon_id, v.name AS taxon_name FROM file_extra_encode LEFT JOIN v ON v.k = organism"
-)
+@register("""
+WITH v(k, id, name) AS (VALUES ('Homo sapiens', 'NCBI:txid9606', 'Homo sapiens'), ('human', 'NCBI:txid9606', 'Homo sapiens'), ('Mus musculus', 'NCBI:txid10090', 'Mus musculus'), ('mouse', 'NCBI:txid10090', 'Mus musculus'),
+    ('Drosophila melanogaster', 'NCBI:txid7227', 'Drosophila melanogaster'), ('Caenorhabditis elegans', 'NCBI:txid6239', 'Caenorhabditis elegans'))
+SELECT row_id, v.id AS taxon_id, v.name AS taxon_name FROM file_extra_encode LEFT JOIN v ON v.k = organism""")
 def ontology_terms(spark, d):
     t = ontology.taxonomy(F.col("organism"))
     return table(spark, d, "file_extra_encode").select("row_id", t["id"].alias("taxon_id"), t["name"].alias("taxon_name"))
 
 
-@register(
-    "WITH v(k, id) AS (VALUES "
-    + ", ".join(f"('{k}', '{i}')" for k, (i, _) in ontology.FORMAT_TERMS.items())
-    + ") SELECT row_id, coalesce(a.id, b.id) AS format_id FROM (SELECT row_id, lower(string_split(filename, '.')[2] || ' extra') AS t FROM c2m2_file) LEFT JOIN v a ON a.k = t LEFT JOIN v b ON b.k = string_split(t, ' ')[1]"
-)
+_FORMATS = ("fastq", "BAM", "bed bed3+", "bigBed bedRnaElements", "hic", "starch", "GTF", "nonsense", "bed narrowPeak", "biginteract", " ", "tar")
+_OUTPUTS = ("raw reads", "alignments", "IDR ranked peaks", "fold change over control", "gene quantifications", "methylation state at CHH", "contact matrix", "nonsense", "genome reference", "enrichment", "candidate Cis-Regulatory Elements", "variant calls")
+_ASSAYS = ("ATAC-seq", "TF ChIP-seq", "long read RNA-seq", "scRNA-seq", "WGBS", "intact Hi-C", "eCLIP", "nonsense", "CUT&RUN", "10x multiome", "PRO-cap", "5C")
+
+
+@register("""
+WITH v(k, f, o, a) AS (VALUES (0, 'format:1930', 'data:0924', 'OBI:0002039'), (1, 'format:2572', 'data:0863', 'OBI:0000716'), (2, 'format:3003', 'data:3002', 'OBI:0001271'), (3, 'format:3004', 'data:2884', 'OBI:0002631'), (4, 'format:3590', 'data:2603', 'OBI:0001863'), (5, 'format:3003', 'data:1772', 'OBI:0002042'),
+    (6, 'format:2306', 'data:2082', 'OBI:0002111'), (7, NULL, NULL, NULL), (8, 'format:3613', 'data:2340', 'OBI:0003003'), (9, 'minted:biginteract', 'data:2048', 'OBI:0002764'), (10, NULL, 'data:1255', 'OBI:0002084'), (11, 'format:3981', 'data:3498', 'OBI:0001916'))
+SELECT row_id, f AS format_id, o AS output_id, a AS assay_id FROM c2m2_file JOIN v ON k = row_id % 12""")
 def format_terms(spark, d):
-    token = F.concat(F.try_element_at(F.split("filename", r"\."), F.lit(2)), F.lit(" extra"))
-    return table(spark, d, "c2m2_file").select("row_id", ontology.file_format(token)["id"].alias("format_id"))
+    """X11: terms of formats (by the whole text, else its first word), outputs and assays."""
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("row_id") % 12 + 1).cast("int"))
+    return table(spark, d, "c2m2_file").select("row_id", ontology.file_format(of(_FORMATS))["id"].alias("format_id"), ontology.output_type(of(_OUTPUTS))["id"].alias("output_id"), ontology.assay_type(of(_ASSAYS))["id"].alias("assay_id"))
 
 
 @register("SELECT row_id, nullif(regexp_extract('Biorep ' || row_id || ', Techrep ' || load_no, 'Biorep\\s+(\\S+)', 1), '') AS bio, nullif(regexp_extract('Biorep ' || row_id || ', Techrep ' || load_no, 'Techrep\\s+(\\S+)', 1), '') AS tech FROM c2m2_file")
@@ -571,6 +614,20 @@ def tile_stats(spark, d):
     return matrix.dense_tile(matrix.tile_window(_pixels(spark, d), 0, 0)).select("min_value", "max_value", "size")
 
 
+@register("""
+WITH e AS (SELECT event_id, event_id % 6 AS k, user_id % 5 AS z, user_id % 9 AS x FROM events), r AS (SELECT *, k < 3 AS known, CASE z WHEN 0 THEN 4000 WHEN 1 THEN 2000 WHEN 2 THEN 1000 END AS bin FROM e)
+SELECT event_id, CASE WHEN k = 5 THEN 'malformed tile id' WHEN k = 4 THEN 'no such tileset' WHEN bin IS NULL THEN 'no such zoom level' WHEN x * 256 * bin >= 2000000 THEN 'no such position' WHEN k = 3 THEN 'no such balancing column' END AS error,
+    CASE WHEN k < 4 THEN CAST(bin AS VARCHAR) END AS bin_size FROM r""")
+def tile_requests(spark, d):
+    """Every requested tile id has one answer, its bin size by zoom or why there is none."""
+    k, z, x = F.col("event_id") % 6, (F.col("user_id") % 5).cast("string"), (F.col("user_id") % 9).cast("string")
+    uid = F.when(k == 4, "other").otherwise("m_1")
+    text = F.concat_ws(".", uid, z, F.when(k == 5, "x").otherwise(x), F.lit("0"), F.when(k == 3, "none").when(k == 2, "weight"))
+    ids = table(spark, d, "events").select("event_id", text.alias("id"))
+    levels = spark.createDataFrame([("m_1", [1000, 2000, 4000], 2_000_000, ["weight"])], "uid string, resolutions array<long>, extent long, balancing array<string>")
+    return matrix.requested_tiles(ids, "id", levels).select("event_id", "error", F.col("bin_size").cast("string").alias("bin_size"))
+
+
 @register("""
 SELECT event_id FROM (SELECT event_id, event_id % 900 AS a, user_id % 900 AS b FROM events) WHERE (a < 300 AND a + 10 > 250) OR (b < 300 AND b + 10 > 250)""")
 def link_tile(spark, d):
@@ -669,21 +726,6 @@ def document_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register()
-def documents_rebuilt(spark, d):
-    """The dump's tables taken as raw tables and materialised again; objects by level and submission."""
-    t = flatten.flatten(persisted(document_docs(spark, d), "documents")).tables
-    text = lambda df: df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
-    of = {n: text(t[n]) for n in ("file", "dcc", "project", "collection", "biosample", "subject")}
-    of |= {n: text(t[n]).withColumn("submission", F.lit(None).cast("string")) for n in ("file_in_collection", "biosample_in_collection", "subject_in_collection", "collection_anatomy", "subject_race")}
-    of["biosample_from_subject"] = text(t["biosample_from_subject"]).withColumns({"submission": F.lit(None).cast("string"), "age_at_sampling": F.lit(None).cast("string")})
-    every = [r.submission for r in t["dcc"].select("submission").distinct().collect()]  # as many as centres
-    for n in ("file_format", "data_type", "assay_type", "anatomy", "ncbi_taxonomy"):  # terms hold for every submission
-        of[n] = text(t[n]).withColumn("submission", F.explode(F.array(*map(F.lit, every))))
-    of["subject_role_taxonomy"] = of["subject"].select("submission", F.col("id_namespace").alias("subject_id_namespace"), F.col("local_id").alias("subject_local_id"), F.col("taxonomy").alias("taxonomy_id")).where("taxonomy_id is not null")
-    of["subject"] = of["subject"].drop("taxonomy", "age_at_sampling")
-    docs = materialize.materialize({n: persisted(df, f"raw-{n}") for n, df in of.items()})
-    n = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias
-    c = F.col("collections")
-    return docs.groupBy("submission").agg(
-        F.count("*").alias("files"), n(F.size(c))("collections"), n(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["biosamples"])))("biosamples"), n(F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["subjects"])))("subjects"),
-    )
+def document_stats(spark, d):
+    """Row counts, conflicts and counters of the raw file documents, whatever state they are in."""
+    return flatten.flatten(persisted(document_docs(spark, d), "documents")).stats()

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +124,21 @@ def _at_end(spark: SparkSession) -> None:
         pass
 
 
+def once(spark: SparkSession, what: str, folder: str, tables: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """A table made from tables of a folder, written once a session; made anew if one of their files changes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    state = []
+    for t in tables:
+        path = hadoop.Path(f"{folder}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        state += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in [fs.getFileStatus(path), *fs.listStatus(path)])
+    kept = spark.__dict__.setdefault("_filament_once", {})
+    if (what, folder) not in kept or kept[what, folder][0] != state or kept[what, folder][2] not in scratch_tables(spark):
+        df = persisted(make(), what)
+        kept[what, folder] = (state, df, scratch_tables(spark)[-1])
+    return kept[what, folder][1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -260,3 +260,20 @@ def test_paging(spark, tmp_path):
 def test_tile_requests(spark):
     df = spark.createDataFrame([(2, "b.0.0"), (1, "b.1.0"), (0, "a.0.0.0"), (3, "../x")], "n int, t string")
     assert {r.uid: r.tiles for r in matrix.tile_requests(df, "t", "n").collect()} == {"a": ["a.0.0.0"], "b": ["b.1.0", "b.0.0"]}
+
+
+def test_pyramids_and_requests(spark):
+    chroms = spark.createDataFrame([("a", 200_000, 0)], "chrom string, length long, ord int")
+    pixels = spark.createDataFrame([(0, 1, 2), (1, 1, 3), (2, 5, 1)], "bin1_id long, bin2_id long, count long")
+    levels = matrix.pyramid({200: pixels}, chroms)
+    assert list(levels) == [200, 400, 800] and sorted(tuple(r) for r in levels[800].collect()) == [(0, 0, 5), (0, 1, 1)]
+    assert matrix.pyramid({1: pixels, 2: pixels}, chroms) == {1: pixels, 2: pixels}
+    tilesets = spark.createDataFrame([("m", [200, 400], 200_000, ["weight"])], "uid string, resolutions array<long>, extent long, balancing array<string>")
+    ids = spark.createDataFrame([(x,) for x in ("m.0.0.0", "m.1.3.3.weight", "m.1.4.0", "m.2.0.0", "m.0.0", "n.0.0.0", "m.0.0.0.other", None)], "id string")
+    got = {r.id: (r.bin_size if r.error is None else None, r.error) for r in matrix.requested_tiles(ids, "id", tilesets).collect()}
+    assert got == {
+        "m.0.0.0": (400, None), "m.1.3.3.weight": (200, None), "m.1.4.0": (None, "no such position"), "m.2.0.0": (None, "no such zoom level"), "m.0.0": (None, "malformed tile id"), "n.0.0.0": (None, "no such tileset"),
+        "m.0.0.0.other": (None, "no such balancing column"), None: (None, "malformed tile id"),
+    }
+    sizes = spark.createDataFrame([("5",), (str(21 << 30),), ("n/a",), (None,)], "s string")
+    assert [r[0] for r in sizes.select(matrix.within_cap(F.col("s"))).collect()] == [True, False, True, True]

@@ -93,3 +93,13 @@ def test_predicates(spark):
     urls = ["https://a.example.org/x", "https://evilexample.org", "http://example.org", "https://example.org@evil.org/", None, "x"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(filters.url_allowed(F.col("u"), ["example.org"])).collect()] == [True, False, False, False, False, False]
+
+
+def test_identifiers_and_sidecars(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("a.b",), ("",), ("x" * 256,), ("x" * 257,), ("é",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(filters.is_identifier(F.col("s")), filters.is_identifier(F.col("s"), dots=False)).collect()]
+    assert got == [(True, True), (False, False), (True, False), (False, False), (True, True), (False, False), (False, False), (None, None)]
+    kind = "array<struct<href:string,file_format:string>>"
+    rows = [([("a", "fastq")], [("b", "bai")]), ([], [("b", "fastq"), ("c", '{"display_title": "TBI"}')]), (None, [("b", "x")]), ([("a", None), ("d", "CSI")], None), (None, None)]
+    df = spark.createDataFrame(rows, f"own {kind}, fourdn {kind}")
+    assert [r[0] for r in df.select(filters.sidecar(F.col("own"), F.col("fourdn"))["href"]).collect()] == ["a", "c", "b", "d", None]

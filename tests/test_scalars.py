@@ -54,7 +54,10 @@ def test_settings():
 
 
 def test_json(spark):
-    assert apply(spark, scalars.canonical_json, ['{"b": "1", "a": "2"}', None]) == ['{"a":"2","b":"1"}', None]
+    assert apply(spark, scalars.canonical_json, ['{"b": "1", "a": "2"}', None, '{"b":1,"a":{"z":true,"c":[1,2.50,{"y":null,"x":"t"}]}}', '{"a":{"c":[1,2.50,{"x":"t","y":null}],"z":true},"b":1}', "{", "[1]"]) == [
+        '{"a":"2","b":"1"}', None, *['{"a":{"c":[1,2.5,{"x":"t","y":null}],"z":true},"b":1}'] * 2, None, "[1]",
+    ]
+    assert apply(spark, scalars.single_or_self, ['["a"]', '["a","b"]', "[]", "x", None, "[1.5]", '[{"a":1}]', "7", '["1"', "[null]"]) == ["a", '["a","b"]', "[]", "x", None, "1.5", '{"a":1}', "7", '["1"', None]
 
 
 def test_vocabularies(spark):
