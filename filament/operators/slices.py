@@ -82,12 +82,22 @@ def publish(df: DataFrame, path: str) -> str:
     return version
 
 
+def move(spark, source: str, target: str) -> None:
+    """Rename a file into a folder that is made if it is not there."""
+    old, fs = _fs(spark, source)
+    new, _ = _fs(spark, target)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"{source} cannot be moved")
+
+
 def replace_folder(spark, part: str, path: str) -> None:
     """Put a folder in place of another one: the old one steps aside, and comes back if the new one cannot take its place."""
     new, fs = _fs(spark, part)
     target, _ = _fs(spark, path)
     aside, _ = _fs(spark, f"{part}-old")
     had = fs.exists(target)
+    fs.mkdirs(target.getParent())
     if had and not fs.rename(target, aside):
         raise OSError(f"{path} cannot be replaced")
     if not fs.rename(new, target):

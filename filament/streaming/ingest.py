@@ -1,20 +1,22 @@
 """Micro-batch ingest of metadata files into slices of a table.
 
-Each slice (phase) is read as a stream of its files; its first batch replaces what the slice
-held, later ones are appended, and a clean end without rows clears the slice. A phase that
-fails keeps its error and does not stop the others.
+Each slice (phase) is read as a stream of its files into a folder beside the table, a part a
+micro-batch, so that a batch that is run again replaces itself. When the stream has ended the
+folder takes the slice's place as a whole, or the slice is cleared if there were no rows. A
+phase that fails leaves its slice as it was, keeps its error and does not stop the others.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filament.operators.slices import drop_slice
-from filament.runtime import shared_dir
+from filament.operators.slices import drop_slice, move, replace_folder
+from filament.runtime import children, deleted, shared_dir
 
 
 @dataclass
@@ -55,18 +57,28 @@ def ingest(spark: SparkSession, phases: list[Phase], path: str, budget_s: float
 def _run(spark: SparkSession, phase: Phase, path: str, seconds: float, result: PhaseResult) -> None:
     part = "/".join(f"{k}={v}" for k, v in phase.slice_of.items())
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        n = batch.count()
-        if n:
-            batch.write.mode("append" if result.rows else "overwrite").parquet(f"{path}/{part}")
-            result.rows += n
-        batch.unpersist()
-
-    checkpoint = f"{shared_dir(spark)}/ingest/{phase.name}-{time.time_ns()}"
-    query = phase.stream(spark).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not query.awaitTermination(int(seconds) + 1):
-        query.stop()
-        raise TimeoutError(f"{phase.name} took longer than {seconds:.0f} s")
-    if not result.rows:
-        drop_slice(spark, path, phase.slice_of)
+    stage = f"{path}/_ingest-{uuid.uuid4().hex}"  # readers of the table pass over names that begin so
+    checkpoint = f"{shared_dir(spark)}/ingest/{phase.name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{stage}/batch-{n}")
+
+    try:
+        query = phase.stream(spark).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if not query.awaitTermination(int(seconds) + 1):
+            query.stop()
+            raise TimeoutError(f"{phase.name} took longer than {seconds:.0f} s")
+        parts = [f"{stage}/{n}" for n in children(spark, stage)]
+        result.rows = spark.read.parquet(*parts).count() if parts else 0
+        if not result.rows:
+            drop_slice(spark, path, phase.slice_of)
+            return
+        whole = f"{stage}/whole"
+        for i, p in enumerate(parts):
+            for name in children(spark, p):
+                if name.endswith(".parquet"):
+                    move(spark, f"{p}/{name}", f"{whole}/{i}-{name}")
+        replace_folder(spark, whole, f"{path}/{part}")
+    finally:
+        deleted(spark, stage)
+        deleted(spark, checkpoint)

@@ -4,7 +4,7 @@ An event is (workflow_key, ts, kind, job_id, payload): claim asks for a job on a
 start, heartbeat, complete and fail report on one. At most one job a key is active. A claim
 on a key with an active job attaches to it, unless it was silent for longer than the stale
 threshold: then it is failed and superseded by the new one. Events of a job that has ended
-are ignored.
+are ignored, and an event that comes late does not set a job's time back.
 """
 
 from __future__ import annotations
@@ -38,13 +38,19 @@ class KeyState:
                 last |= {"status": "failed", "active": False, "updated_at": ts, "superseded_by": job_id, "error": "stale: reclaimed by a later request"}
             self.jobs.append({"workflow_key": key, "job_id": job_id, "status": "pending", "active": True, "submitted_at": ts, "updated_at": ts, "superseded_by": None, "error": None})
             return
-        job = next((j for j in self.jobs if j["job_id"] == job_id), None)
+        job = last if last and last["job_id"] == job_id else None  # only the newest can be active
         if job is None or not job["active"]:
             return
         if kind == "start" and job["status"] != "pending":
             return
         status = {"start": "running", "complete": "completed", "fail": "failed"}.get(kind, job["status"])
-        job |= {"status": status, "active": status in ("pending", "running"), "updated_at": ts, "error": error if kind == "fail" else job["error"]}
+        job |= {"status": status, "active": status in ("pending", "running"), "updated_at": max(ts, job["updated_at"]), "error": error if kind == "fail" else job["error"]}
+
+    def forget(self, keep: timedelta = KEEP_FOR) -> None:
+        """Drop ended jobs that were last touched longer ago than keep before the newest one; events of ended jobs do nothing anyway."""
+        newest = max((j["updated_at"] for j in self.jobs), default=None)
+        self.jobs = [j for j in self.jobs if j["active"] or newest - j["updated_at"] <= keep]
+
 
 
 def fold_jobs(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
@@ -72,8 +78,9 @@ def job_stream(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
         keyed = KeyState(old, stale)
         for e in pd.concat(list(frames)).sort_values(["ts", "job_id", "kind"], kind="stable").itertuples():
             keyed.apply(key[0], e.ts, e.kind, e.job_id, e.payload)
-        state.update(([tuple(j[c].to_pydatetime() if isinstance(j[c], pd.Timestamp) else j[c] for c in columns) for j in keyed.jobs],))
         changed = [j for j in keyed.jobs if j != before.get(j["job_id"])]
+        keyed.forget()
+        state.update(([tuple(j[c].to_pydatetime() if isinstance(j[c], pd.Timestamp) else j[c] for c in columns) for j in keyed.jobs],))
         yield pd.DataFrame(changed, columns=columns).astype({"superseded_by": object, "error": object})
 
     keyed = events.select("workflow_key", "ts", "kind", "job_id", "payload").groupBy("workflow_key")
