@@ -24,7 +24,7 @@ from filament.runtime import persisted
 
 CAPACITY = 2_048
 #: Items and tokens a shard is meant to hold at most; the shards' number follows the corpus.
-SHARD_ITEMS, SHARD_TOKENS = 16_384, 8 << 20
+SHARD_ITEMS, SHARD_TOKENS = 32_768, 16 << 20
 #: Items on which the clusters are fitted (expected number; by hash), of each as much as it has.
 SAMPLE = 4_096
 #: Clusters are split whatever their size if the halves' centres are no more alike than this, as long as each half has so many sample items.
@@ -32,7 +32,7 @@ APART, LEAST = 0.5, 32
 #: Clusters at most; what is too large still is cut by hash.
 CLUSTERS = 512
 #: Shards of less than this part of the largest size join the shard they are most alike.
-SMALL = 1 / 256
+SMALL = 1 / 512
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 #: Terms in more than this share of the corpus say nothing about neighbours.
@@ -43,7 +43,7 @@ CLOSE = 8
 _TF_BITS = 12
 _TF = (1 << _TF_BITS) - 1
 #: Places of a hashed vector; seeds scored together; terms kept as columns of a matrix at most.
-_PLACES, _BLOCK, _COLUMNS = 2_048, 16, 512
+_PLACES, _BLOCK, _COLUMNS = 2_048, 64, 512
 
 
 @dataclass
@@ -167,7 +167,7 @@ class Index:
         weight = corpus.weights(terms, (sizes / corpus.mean).astype(np.float32)[item])
         _, term, df = np.unique(terms >> _TF_BITS, return_inverse=True, return_counts=True) if len(terms) else (None, terms, terms)
         many = np.argsort(-df, kind="stable")[:_COLUMNS]
-        many = many[df[many] > n / 8]
+        many = many[df[many] > n / 16]
         column = np.full(len(df), -1)
         column[many] = np.arange(len(many))
         wide = column[term] >= 0 if len(terms) else np.zeros(0, bool)
