@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filament.runtime import children, deleted, is_blank, persisted, scratch_folder, written
+from filament.runtime import children, deleted, is_blank, persisted, scratch_folder, tied, written
 
 
 @dataclass(frozen=True)
@@ -219,7 +219,11 @@ def profile(cols: list[ProfiledColumn], kept: str | None = None) -> DataFrame:
     without one the fold begins with nothing, in a folder of its own.
     """
     spark = cols[0].df.sparkSession
-    return apply_loads(cols, Kept(spark, kept or scratch_folder(spark, "profile")))
+    if kept is not None:
+        return apply_loads(cols, Kept(spark, kept))
+    own = Kept(spark, scratch_folder(spark, "profile"))
+    metrics = apply_loads(cols, own)
+    return tied(metrics, own.path) if own.loads() else metrics
 
 
 def out_of_line(m: DataFrame, null_rate: float = 0.20, violating: float = 0.05, shift: float = 0.25, factor: float = 3.0) -> DataFrame:

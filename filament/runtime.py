@@ -92,9 +92,14 @@ def persisted(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
     clean_scratch(spark, unused=True)
     path = scratch_path(spark, what)
     spark._filament_scratch[path] = None
-    out = written(df, path, by)
-    spark._filament_scratch[path] = spark._jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location())
-    return out
+    return tied(written(df, path, by), path)
+
+
+def tied(df: DataFrame, path: str) -> DataFrame:
+    """A table that was read, whose intermediate folder goes when nothing refers to the table any more."""
+    spark = df.sparkSession
+    spark._filament_scratch[path] = spark._jvm.java.lang.ref.WeakReference(df._jdf.queryExecution().analyzed().relation().location())
+    return df
 
 
 def written(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
