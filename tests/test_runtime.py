@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ def test_tables_end_with_their_results(spark):
     runtime.prepare(spark)
     assert len(runtime.scratch_tables(spark)) == 1 and df.first()[0] == 3
     del df
-    for _ in range(20):
+    for _ in range(100):  # references from Python end in the background
+        time.sleep(0.1)
         gc.collect()
         spark._jvm.System.gc()
         runtime.prepare(spark)
