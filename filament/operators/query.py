@@ -78,6 +78,11 @@ def distinct_values(docs: DataFrame, fields: list[str], tree: Any = None, allowe
     return rows.where(F.col("value").isNotNull()).distinct()
 
 
+def of_submissions(docs: DataFrame, submissions: list[str] | None) -> DataFrame:
+    """The documents of some submissions; None is all."""
+    return docs if submissions is None else docs.where(F.col("submission").isin(*submissions))
+
+
 def keyset_page(df: DataFrame, key: str, after: Any, size: int) -> DataFrame:
     """The size rows that follow a key."""
     return df.where(F.col(key) > F.lit(after)).orderBy(key).limit(size)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +63,6 @@ def publish(df: DataFrame, path: str) -> str:
 
     A run that fails leaves an unnamed folder that is deleted, and the version before in place.
     """
-    import uuid
-
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     try:
@@ -108,6 +109,64 @@ def replace_folder(spark, part: str, path: str) -> None:
         fs.delete(aside, True)
 
 
+#: Seconds after which a lock whose owner has not refreshed it may be taken over.
+LOCK_STALE = 3600.0
+
+
+class Lock:
+    """A lock that one owner at a time holds, as a file that is made by an exclusive create; a stale one is taken over.
+
+    Of several who find it stale one takes it: the stale file is renamed first, which only one can do.
+    """
+
+    def __init__(self, spark, path: str, owner: str, stale: float = LOCK_STALE) -> None:
+        self.path, self.fs = _fs(spark, path)
+        self.owner, self.stale = owner, stale
+
+    def _write(self, overwrite: bool) -> None:
+        out = self.fs.create(self.path, overwrite)
+        out.write(bytearray(self.owner.encode()))
+        out.close()
+
+    def holder(self) -> str | None:
+        """The owner, None if nobody holds it."""
+        if not self.fs.exists(self.path):
+            return None
+        data = self.fs.open(self.path)
+        text = bytes(data.readAllBytes()).decode()
+        data.close()
+        return text
+
+    def acquire(self, now: float | None = None) -> bool:
+        """Take the lock; False if another owner holds it and was there less than stale seconds ago."""
+        if self.holder() == self.owner:
+            return self.refresh()
+        if self.fs.exists(self.path):
+            age = (time.time() if now is None else now) - self.fs.getFileStatus(self.path).getModificationTime() / 1000
+            if age <= self.stale:
+                return False
+            aside = self.path.suffix(f"-{uuid.uuid4().hex}")
+            if not self.fs.rename(self.path, aside):
+                return False
+            self.fs.delete(aside, False)
+        try:
+            self._write(False)
+        except Exception:  # another owner was faster
+            return False
+        return self.holder() == self.owner
+
+    def refresh(self) -> bool:
+        """Keep the lock from growing stale; False if it is no longer held."""
+        if self.holder() != self.owner:
+            return False
+        self._write(True)
+        return True
+
+    def release(self) -> bool:
+        """Give the lock back; False if it was not held."""
+        return self.holder() == self.owner and bool(self.fs.delete(self.path, False))
+
+
 def read_current(spark, path: str) -> DataFrame:
     """The version that is current when this is called; it stays readable while later ones are published."""
     version = spark.read.text(f"{path}/CURRENT").first()[0]

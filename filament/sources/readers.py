@@ -15,15 +15,16 @@ from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from filament.functions import scalars
 
-T = TypeVar("T")
+R = TypeVar("R")
 
 
 # ------------------------------------------------------------------ fetching
-def with_retries(fetch: Callable[[], T], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> T:
+def with_retries(fetch: Callable[[], R], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> R:
     """The result of a call, tried again after 1, 2, 4 … seconds if it fails."""
     for i in range(attempts):
         try:
@@ -142,6 +143,15 @@ def read_datapackage(spark: SparkSession, folder: str, submission: str, public:
     return out
 
 
+def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) of JSON lines: rows that are no object of the schema's types are passed over, with their text; so are damaged files."""
+    wide = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path).where(F.col("value").rlike(r"\S"))
+    rows = lines.select("value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rejected"}).alias("d"))
+    bad = F.col("d").isNull() | F.col("d._rejected").isNotNull()
+    return rows.where(~bad).select("d.*").drop("_rejected"), rows.where(bad).select(F.col("value").alias("text"))
+
+
 # ------------------------------------------------------------------ unquoted metadata lines
 def metadata_rows(lines: DataFrame, header: list[str]) -> DataFrame:
     """Lines (value) of unquoted tab-separated metadata as columns: short rows have nulls, long ones are cut, blank lines and the header are left out."""

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filament.operators.slices import drop_slice, move, replace_folder
+from filament.operators.slices import Lock, drop_slice, move, replace_folder
 from filament.runtime import children, deleted, shared_dir
 
 
@@ -54,6 +54,28 @@ def ingest(spark: SparkSession, phases: list[Phase], path: str, budget_s: float
     return out
 
 
+def synchronise(spark: SparkSession, centres: dict[str, list[Phase]], path: str, owner: str, budget_s: float = 3600.0) -> dict[str, str | None]:
+    """Ingest centre by centre in the order given, under one lock and time budget; the error of each, None if it went well.
+
+    A centre that fails does not stop those after it. RuntimeError if another owner holds the lock.
+    """
+    lock = Lock(spark, f"{path}/_sync-lock", owner)
+    if not lock.acquire():
+        raise RuntimeError(f"{path} is being synchronised by {lock.holder()}")
+    end, out = time.monotonic() + budget_s, {}
+    try:
+        for name, phases in centres.items():
+            try:
+                ingest(spark, phases, path, end - time.monotonic())
+                out[name] = None
+            except Exception as e:
+                out[name] = f"{type(e).__name__}: {e}"[:1024]
+            lock.refresh()
+    finally:
+        lock.release()
+    return out
+
+
 def _run(spark: SparkSession, phase: Phase, path: str, seconds: float, result: PhaseResult) -> None:
     part = "/".join(f"{k}={v}" for k, v in phase.slice_of.items())
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filament.operators import intervals, matrix
+from filament.operators import intervals, matrix, query, slices
 from filament.sources import readers
 from filament.streaming import ingest, jobs
 
@@ -277,3 +277,33 @@ def test_pyramids_and_requests(spark):
     }
     sizes = spark.createDataFrame([("5",), (str(21 << 30),), ("n/a",), (None,)], "s string")
     assert [r[0] for r in sizes.select(matrix.within_cap(F.col("s"))).collect()] == [True, False, True, True]
+
+
+def test_centres_and_lock(spark, tmp_path):
+    header, path = ["id", "v"], str(tmp_path / "table")
+
+    def phase(name, text):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.tsv").write_text(text)
+        return ingest.Phase(name, lambda s: readers.stream_metadata(s, str(tmp_path / name), header), {"slice": name})
+
+    broken = ingest.Phase("x", lambda s: s.readStream.schema("id string").parquet(str(tmp_path / "nowhere")), {"slice": "x"})
+    got = ingest.synchronise(spark, {"one": [broken], "two": [phase("b", "id\tv\n1\tx\n")]}, path, "me")
+    assert got["one"].startswith("RuntimeError: 1 of 1 phases failed") and got["two"] is None
+    assert [(r.slice, r.id) for r in spark.read.parquet(path).collect()] == [("b", "1")] and [p.name for p in (tmp_path / "table").iterdir() if not p.name.endswith(".crc")] == ["slice=b"]
+    a, b = (slices.Lock(spark, f"{path}/_sync-lock", n) for n in ("a", "b"))
+    assert a.acquire() and a.acquire() and not b.acquire() and not b.release() and not b.refresh()
+    with pytest.raises(RuntimeError, match="synchronised by a"):
+        ingest.synchronise(spark, {}, path, "c")
+    later = datetime.now().timestamp() + 4000
+    assert b.acquire(later) and b.holder() == "b" and not a.refresh() and not a.release() and b.release() and b.holder() is None
+
+
+def test_documents_that_cannot_be_read(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.json").write_text('{"id": "1", "n": {"k": 5}}\nnonsense\n{"id": "2", "n": "text"}\n{"id": "3", "more": 1}\n')
+    good, bad = readers.read_documents(spark, str(tmp_path / "d"), StructType.fromDDL("id string, n struct<k:int>"))
+    assert sorted((r.id, r.n and r.n.k) for r in good.collect()) == [("1", 5), ("3", None)] and bad.count() == 2
+    assert query.of_submissions(good.withColumnRenamed("id", "submission"), ["3", "9"]).count() == 1 and query.of_submissions(good, None).count() == 2
