@@ -52,22 +52,44 @@ class KeyState:
         self.jobs = [j for j in self.jobs if j["active"] or newest - j["updated_at"] <= keep]
 
 
+_COLUMNS = [x.strip().split(" ")[0] for x in JOB.split(",")]
 
-def fold_jobs(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
-    """The job table after all events, a key at a time in order of ts; a key's events are its own few."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = KeyState(stale=stale)
-        for e in pdf.sort_values(["ts", "job_id", "kind"], kind="stable").itertuples():
-            state.apply(e.workflow_key, e.ts, e.kind, e.job_id, getattr(e, "payload", None))
-        return pd.DataFrame(state.jobs, columns=[x.strip().split(" ")[0] for x in JOB.split(",")])
+def _whole(events: DataFrame) -> DataFrame:
+    """Events without time, kind or job say nothing and are left out."""
+    return events.select("workflow_key", "ts", "kind", "job_id", "payload").where(F.col("ts").isNotNull() & F.col("kind").isNotNull() & F.col("job_id").isNotNull())
+
 
-    return events.select("workflow_key", "ts", "kind", "job_id", "payload").groupBy("workflow_key").applyInPandas(fold, JOB)
+def fold_jobs(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
+    """The job table after all events, in order of ts by key.
+
+    Events come sorted from the shuffle and go through the state machine one after another;
+    of a key only the newest job is held, as the others cannot change any more, so a key may
+    have any number of events and jobs.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = KeyState(stale=stale), None
+        for frame in frames:
+            done: list[dict] = []
+            for e in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+                if e.workflow_key != key:
+                    done += state.jobs
+                    state, key = KeyState(stale=stale), e.workflow_key
+                state.apply(key, e.ts, e.kind, e.job_id, e.payload)
+                if len(state.jobs) > 1:
+                    done += state.jobs[:-1]
+                    del state.jobs[:-1]
+            yield pd.DataFrame(done, columns=_COLUMNS)
+        yield pd.DataFrame(state.jobs, columns=_COLUMNS)
+
+    order = [F.col(c).asc_nulls_last() for c in ("workflow_key", "ts", "job_id", "kind")]
+    return _whole(events).repartition("workflow_key").sortWithinPartitions(*order).mapInPandas(fold, JOB)
 
 
 def job_stream(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
     """The jobs that each micro-batch of a stream of events changes, state kept by key (update mode)."""
-    columns = [x.strip().split(" ")[0] for x in JOB.split(",")]
+    columns = _COLUMNS
     state_schema = f"jobs array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in JOB.split(','))}>>"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -83,7 +105,7 @@ def job_stream(events: DataFrame, stale: timedelta = STALE) -> DataFrame:
         state.update(([tuple(j[c].to_pydatetime() if isinstance(j[c], pd.Timestamp) else j[c] for c in columns) for j in keyed.jobs],))
         yield pd.DataFrame(changed, columns=columns).astype({"superseded_by": object, "error": object})
 
-    keyed = events.select("workflow_key", "ts", "kind", "job_id", "payload").groupBy("workflow_key")
+    keyed = _whole(events).groupBy("workflow_key")
     return keyed.applyInPandasWithState(step, JOB, state_schema, "update", "NoTimeout")
 
 
