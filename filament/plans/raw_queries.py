@@ -20,6 +20,18 @@ def dump(spark: SparkSession, d: str) -> flatten.Dump:
     return flatten.flatten(flatten.as_documents(documents(spark, d), "ord"))
 
 
+def stored(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of the dump, as they are stored to be queried: each written once a session and folder."""
+    made: list[flatten.Dump] = []
+
+    def make(name: str) -> DataFrame:
+        if not made:
+            made.append(dump(spark, d))
+        return made[0].tables[name]
+
+    return {n: once(spark, f"dump-{n}", d, BASE, lambda n=n: make(n)) for n in names}
+
+
 #: Links of files to collections as materialised: h has a row a file (f, its order), submission and collection, with the place in the file's list.
 _HELD = (
     WITH
@@ -221,7 +233,8 @@ def documents_rebuilt(spark, d):
 )
 def view_wide(spark, d):
     """A row a file with its term names."""
-    return views.file_view(dump(spark, d).tables).select("local_id", "dcc_abbreviation", "file_format_name", "data_type_name", "assay_type_name")
+    t = stored(spark, d, "file", "dcc", "file_format", "data_type", "assay_type", "file_extra_fourdn", "file_extra_encode", "file_extra_hubmap")
+    return views.file_view(t).select("local_id", "dcc_abbreviation", "file_format_name", "data_type_name", "assay_type_name")
 
 
 @register(
@@ -232,7 +245,8 @@ FROM (SELECT DISTINCT f, c FROM h) x JOIN first_c ON first_c.c = x.c LEFT JOIN b
 )
 def view_fanout(spark, d):
     """A row a file, collection, biosample and subject."""
-    v = views.file_biosample_view(dump(spark, d).tables)
+    t = stored(spark, d, "file", "file_in_collection", "collection", "biosample_in_collection", "biosample", "anatomy", "biosample_from_subject", "subject", "ncbi_taxonomy")
+    v = views.file_biosample_view(t)
     return v.select("file_local_id", "collection_local_id", "collection_name", "biosample_local_id", "anatomy_name", "subject_local_id", "taxonomy_name")
 
 
