@@ -7,7 +7,7 @@ import pytest
 from filament.plans import catalog, raw_queries
 
 DATA = "/root/testdata/sf0.001"
-LEVELS = ["distinct_fields", "subject_terms", "biosample_subjects", "collection_members", "materialized_collections", "materialized_terms"]
+LEVELS = ["dataset_files", "distinct_fields", "subject_terms", "biosample_subjects", "collection_members", "materialized_collections", "materialized_terms"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
