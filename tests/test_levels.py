@@ -4,10 +4,13 @@ import os
 
 import pytest
 
+from filament.operators import flatten
+from filament.operators.materialize import Parts
 from filament.plans import catalog, raw_queries
+from filament.plans.raw_tables import raw_tables
 
 DATA = "/root/testdata/sf0.001"
-LEVELS = ["dataset_files", "distinct_fields", "subject_terms", "biosample_subjects", "collection_members", "materialized_collections", "materialized_terms"]
+LEVELS = ["dump_files", "dataset_files", "distinct_fields", "subject_terms", "biosample_subjects", "collection_members", "materialized_collections", "materialized_terms"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -17,5 +20,14 @@ def test_no_documents(spark, monkeypatch, name):
         raise AssertionError("whole documents are made")
 
     monkeypatch.setattr(raw_queries.materialize, "materialize", made)
-    monkeypatch.setattr(raw_queries, "once", made)
+    monkeypatch.setattr(raw_queries, "documents", made, raising=False)
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_counted_copies(spark):
+    """Counted copies give the counters and rows that the documents give."""
+    parts = Parts(raw_tables(spark, DATA))
+    got = flatten.flatten_parts(parts)
+    docs = flatten.as_documents(parts.with_terms(parts.with_collections(parts.files)), "ord")
+    assert got.stats().exceptAll(flatten.flatten(docs).stats()).count() == 0
