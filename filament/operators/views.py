@@ -27,12 +27,14 @@ def file_biosample_view(t: dict[str, DataFrame]) -> DataFrame:
     """A row a file, collection, biosample and subject: files repeat, so sizes must not be summed over it."""
     pair = lambda s: [f"{s}_{k}" for k in KEY]
     f = _side(t["file"], "file", "submission", "filename", F.col("accession_id").alias("file_accession_id"))
-    out = f.join(t["file_in_collection"], pair("file")).join(_side(t["collection"], "collection", F.col("name").alias("collection_name"), "experiment_type"), pair("collection"))
-    out = out.join(t["biosample_in_collection"], pair("collection"), "left").join(_side(t["biosample"], "biosample", F.col("anatomy").alias("anatomy_id")), pair("biosample"), "left")
-    out = out.join(t["anatomy"].select(F.col("id").alias("anatomy_id"), F.col("name").alias("anatomy_name")), "anatomy_id", "left")
-    out = out.join(t["biosample_from_subject"], pair("biosample"), "left").join(_side(t["subject"], "subject", "taxonomy"), pair("subject"), "left")
+    held = f.join(t["file_in_collection"], pair("file")).join(_side(t["collection"], "collection", F.col("name").alias("collection_name"), "experiment_type"), pair("collection"))
+    # a collection's members are put together once; the join with the files that hold it is the last, and nothing is looked up in its rows
+    own = t["biosample_in_collection"].join(_side(t["biosample"], "biosample", F.col("anatomy").alias("anatomy_id")), pair("biosample"), "left")
+    own = own.join(t["anatomy"].select(F.col("id").alias("anatomy_id"), F.col("name").alias("anatomy_name")), "anatomy_id", "left")
+    own = own.join(t["biosample_from_subject"], pair("biosample"), "left").join(_side(t["subject"], "subject", "taxonomy"), pair("subject"), "left")
     taxa = t["ncbi_taxonomy"].select(F.col("id").alias("taxonomy"), F.col("name").alias("taxonomy_name"))
-    return out.join(taxa, "taxonomy", "left").drop("taxonomy")
+    own = own.join(taxa, "taxonomy", "left").drop("taxonomy")
+    return held.join(own, pair("collection"), "left")
 
 
 def subject_demographics_view(t: dict[str, DataFrame]) -> DataFrame:

@@ -10,7 +10,7 @@ from filament.plans import catalog, raw_queries
 from filament.plans.raw_tables import raw_tables
 
 DATA = "/root/testdata/sf0.001"
-LEVELS = ["view_wide", "documents_rebuilt", "junction_union_distinct", "dump_stats", "dump_entities", "dump_files", "dataset_files", "distinct_fields", "subject_terms", "biosample_subjects", "collection_members", "materialized_collections", "materialized_terms"]
+LEVELS = ["view_fanout", "view_wide", "documents_rebuilt", "junction_union_distinct", "dump_stats", "dump_entities", "dump_files", "dataset_files", "distinct_fields", "subject_terms", "biosample_subjects", "collection_members", "materialized_collections", "materialized_terms"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
