@@ -42,3 +42,18 @@ def test_entities_without_copies(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["collection", "biosample", "subject"])
 def test_first_copies(spark, whole, name):
     assert _same(flatten.flatten_parts(Parts(raw_tables(spark, DATA))).tables[name], whole[name])
+
+
+def test_junctions_without_copies(spark, monkeypatch):
+    _never(monkeypatch, *COPIES, "with_terms")
+    made, held = [], Parts._held.func
+    monkeypatch.setattr(Parts, "_held", property(lambda p: made.append(p) or held(p)))
+    assert catalog.QUERIES["junction_union_distinct"](spark, DATA).count() > 0
+    assert len(made) == 1  # files and links are joined once
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_junctions(spark, whole, linked):
+    got = flatten.flatten_parts(Parts(raw_tables(spark, DATA)), linked=linked).tables
+    for name in ("file_in_collection", "biosample_in_collection", "subject_in_collection", "biosample_from_subject", "collection_anatomy", "subject_race"):
+        assert _same(got[name], whole[name]), name
