@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["id_namespace", "local_id"]
@@ -23,18 +23,45 @@ def _side(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return df.select(*(F.col(k).alias(f"{name}_{k}") for k in KEY), *columns)
 
 
-def file_biosample_view(t: dict[str, DataFrame]) -> DataFrame:
-    """A row a file, collection, biosample and subject: files repeat, so sizes must not be summed over it."""
+#: Rows of each side in a block of fanned().
+BLOCK = 1024
+
+
+def _blocks(df: DataFrame, on: list[str], name: str) -> DataFrame:
+    """(on, _name, name): the rows of each key as lists of up to BLOCK structs, which are numbered."""
+    rest = [c for c in df.columns if c not in on]
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy(*rest))
+    return df.withColumn(f"_{name}", F.floor((nth - 1) / BLOCK)).groupBy(*on, f"_{name}").agg(F.collect_list(F.struct(*rest)).alias(name))
+
+
+def fanned(left: DataFrame, right: DataFrame, on: list[str], each: DataFrame) -> DataFrame:
+    """left with each's row of its key and all of right's rows of its key, nulls if there are none: for keys of which both sides have many rows. Both have other columns beside the key.
+
+    Blocks of rows are joined, dealt to tasks evenly however many rows a key has, and only then
+    multiplied out; of a block, a row of right comes with all of left in turn.
+    """
+    blocks = _blocks(left, on, "left").join(each, on).join(_blocks(right, on, "right"), on, "left")
+    blocks = blocks.repartition(8 * left.sparkSession.sparkContext.defaultParallelism, *on, "_left", "_right")
+    more = [c for c in each.columns if c not in on]
+    return blocks.select(*on, *more, "left", F.inline_outer("right")).select("*", F.inline("left")).drop("left")
+
+
+def file_biosample_view(t: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """A row a file, collection, biosample and subject: files repeat, so sizes must not be summed over it. columns: only these, of files none but their key."""
     pair = lambda s: [f"{s}_{k}" for k in KEY]
-    f = _side(t["file"], "file", "submission", "filename", F.col("accession_id").alias("file_accession_id"))
-    held = f.join(t["file_in_collection"], pair("file")).join(_side(t["collection"], "collection", F.col("name").alias("collection_name"), "experiment_type"), pair("collection"))
+    only = lambda df: df.select(*(c for c in df.columns if columns is None or c in (*columns, *pair("collection"))))
+    held = t["file_in_collection"]
+    if columns is None:
+        held = _side(t["file"], "file", "submission", "filename", F.col("accession_id").alias("file_accession_id")).join(held, pair("file"))
+    c = _side(t["collection"], "collection", F.col("name").alias("collection_name"), "experiment_type")
     # a collection's members are put together once; the join with the files that hold it is the last, and nothing is looked up in its rows
     own = t["biosample_in_collection"].join(_side(t["biosample"], "biosample", F.col("anatomy").alias("anatomy_id")), pair("biosample"), "left")
     own = own.join(t["anatomy"].select(F.col("id").alias("anatomy_id"), F.col("name").alias("anatomy_name")), "anatomy_id", "left")
     own = own.join(t["biosample_from_subject"], pair("biosample"), "left").join(_side(t["subject"], "subject", "taxonomy"), pair("subject"), "left")
     taxa = t["ncbi_taxonomy"].select(F.col("id").alias("taxonomy"), F.col("name").alias("taxonomy_name"))
     own = own.join(taxa, "taxonomy", "left").drop("taxonomy")
-    return held.join(own, pair("collection"), "left")
+    out = fanned(only(held), only(own), pair("collection"), only(c))
+    return out if columns is None else out.select(*columns)
 
 
 def subject_demographics_view(t: dict[str, DataFrame]) -> DataFrame:
